@@ -1,0 +1,68 @@
+"""Compare queries with their SQL in DuckDB. Usage: python tests/compare.py [sf_dir] [query ...]"""
+
+import sys
+import time
+from pathlib import Path
+
+import duckdb
+import pandas as pd
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
+).split()
+
+
+def frame(rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows[sorted(rows.columns)].copy()
+    for c in rows.columns:
+        if str(rows[c].dtype).startswith("datetime"):
+            rows[c] = rows[c].astype("datetime64[us]")
+    plain = rows.astype(object).where(rows.notna(), None)
+    return plain.sort_values(by=list(plain.columns), key=lambda s: s.map(repr)).reset_index(drop=True)
+
+
+def difference(spark_rows: pd.DataFrame, sql_rows: pd.DataFrame) -> str:
+    a, b = frame(spark_rows), frame(sql_rows)
+    if list(a.columns) != list(b.columns):
+        return f"columns {list(a.columns)} / {list(b.columns)}"
+    if len(a) != len(b):
+        return f"rows {len(a)} / {len(b)}"
+    unequal = (a.map(repr) != b.map(repr)).any(axis=1)
+    if unequal.any():
+        return f"{unequal.sum()} of {len(a)} rows differ\n{a[unequal].head(3)}\n{b[unequal].head(3)}"
+    return ""
+
+
+def database(sf: str) -> duckdb.DuckDBPyConnection:
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    return con
+
+
+def main() -> int:
+    from conftest import new_session
+
+    from __spark_entry__ import oracle_sql, queries
+
+    sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
+    spark, con, bad = new_session(), database(sf), 0
+    chosen = sys.argv[2:] or list(queries())
+    for name in chosen:
+        began = time.time()
+        try:
+            rows = queries()[name](spark, sf).toPandas()
+            sql = oracle_sql().get(name)
+            verdict = difference(rows, con.execute(sql).df()) if sql else "(no SQL)"
+        except Exception as error:  # report and go on
+            verdict = f"{type(error).__name__}: {str(error)[:1500]}"
+            rows = []
+        bad += bool(verdict) and verdict != "(no SQL)"
+        print(f"{name:32s} {len(rows):8d} rows {time.time() - began:6.1f}s  {verdict or 'equal'}", flush=True)
+    return bad
+
+
+if __name__ == "__main__":
+    sys.exit(main())
