@@ -59,9 +59,10 @@ def point_in_time(
     groups: dict[tuple[str, ...], list[FeatureView]] = {}
     for view in views:
         groups.setdefault(tuple(view.keys), []).append(view)
+    whole = _groups_without_nulls(spine, ts, list(groups)) if policy and len(groups) > 1 else set()
     joined = spine
     for keys, members in groups.items():
-        joined = _join_group(joined, ts, list(keys), members, policy, shift_by_delay)
+        joined = _join_group(joined, ts, list(keys), members, policy, shift_by_delay, keys in whole)
     return joined.select(*spine.columns, *[o for v in views for o in v.outputs])
 
 
@@ -81,15 +82,27 @@ def _check(spine: DataFrame, ts: str, views: Sequence[FeatureView]) -> None:
             taken.add(name)
 
 
-def _join_group(spine, ts, keys, views, policy, shift_by_delay) -> DataFrame:
+def _complete(ts: str, keys: Sequence[str]) -> Column:
+    condition = F.col(ts).isNotNull()
+    for k in keys:
+        condition = condition & F.col(k).isNotNull()
+    return condition
+
+
+def _groups_without_nulls(spine: DataFrame, ts: str, groups: Sequence[tuple[str, ...]]) -> set[tuple[str, ...]]:
+    """Key groups for which every observation can match, so that joining them one after
+    the other does not evaluate the earlier join again just to look for the others."""
+    counts = spine.agg(*[F.count_if(~_complete(ts, keys)).alias(f"g{i}") for i, keys in enumerate(groups)]).first()
+    return {keys for keys, n in zip(groups, counts) if n == 0}
+
+
+def _join_group(spine, ts, keys, views, policy, shift_by_delay, whole) -> DataFrame:
     """All views with the same keys: one union, one running window, one shuffle.
 
     The observation travels as a struct, so nothing is joined back and duplicates stay.
-    Observations that cannot match skip the shuffle altogether.
+    Observations that cannot match skip the shuffle altogether; `whole`: there are none.
     """
-    complete = F.col(ts).isNotNull()
-    for k in keys:
-        complete = complete & F.col(k).isNotNull()
+    complete = _complete(ts, keys)
     names = [f"_k{i}" for i in range(len(keys))]
     sets = [f"_f{i}" for i in range(len(views))]
 
@@ -104,10 +117,7 @@ def _join_group(spine, ts, keys, views, policy, shift_by_delay) -> DataFrame:
         visible = F.col(view.ts).cast("timestamp")
         if shift_by_delay and view.delay:
             visible = visible + F.lit(view.delay)
-        present = F.col(view.ts).isNotNull()
-        for k in keys:
-            present = present & F.col(k).isNotNull()
-        rows = view.df.where(present).select(
+        rows = view.df.where(_complete(view.ts, keys)).select(
             *[F.col(k).alias(n) for k, n in zip(keys, names)],
             visible.alias("_t"),
             F.lit(0).alias("_side"),
@@ -130,6 +140,8 @@ def _join_group(spine, ts, keys, views, policy, shift_by_delay) -> DataFrame:
 
     outputs = [(v, c, f, o) for v, c in zip(views, sets) for f, o in zip(v.features, v.outputs)]
     result = matched.select(*[F.col(f"_obs.`{c}`").alias(c) for c in spine.columns], *[feature(*o) for o in outputs])
+    if whole:
+        return result
     types = {f.name: f.dataType for f in result.schema}
     unmatchable = spine.where(~complete).select(
         *spine.columns, *[F.lit(None).cast(types[o]).alias(o) for _, _, _, o in outputs]

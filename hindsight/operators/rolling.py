@@ -135,23 +135,24 @@ def _tiled(base, keys, ts, aggs, keep, policy: SkewPolicy) -> DataFrame:
         .withColumn("_tile", F.expr(f"(_sec - pmod(_sec, {tile})) div {tile}"))
     )
 
-    # Whole tiles strictly between the first and the last tile of a frame.
+    # Whole tiles strictly between the first and the last tile of a frame.  Rows without a
+    # time have none; they are told apart after the sums, since a filter would be pushed
+    # below the aggregation and keep Spark from reusing its shuffle.
     per_tile = Window.partitionBy(*keys).orderBy("_tile")
+
+    def whole(p: str, d: int) -> Column:
+        between = F.sum(p).over(per_tile.rangeBetween(1 - d // tile, -1))
+        return F.when(F.col("_tile").isNotNull(), between).alias(f"_mid{d}{p}")
+
     totals = (
-        seconds.where("_tile IS NOT NULL")
-        .groupBy(*keys, "_tile")
+        seconds.groupBy(*keys, "_tile")
         .agg(*[F.sum(p).alias(p) for p in partials])
         .select(
             *keys,
             "_tile",
             (F.col("_tile") * tile - 1).alias("_pos"),
             F.lit(-1).alias("_kind"),
-            *[
-                F.sum(p).over(per_tile.rangeBetween(1 - d // tile, -1)).alias(f"_mid{d}{p}")
-                for d in durations
-                if d > tile
-                for p in partials
-            ],
+            *[whole(p, d) for d in durations if d > tile for p in partials],
         )
     )
 

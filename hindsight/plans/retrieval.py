@@ -3,7 +3,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,12 +27,15 @@ def get_offline_features(
     store: OfflineStore | None = None,
     policy: SkewPolicy | None = SkewPolicy(),
     shift_by_delay: bool = True,
+    prefixes: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Observations with the requested features, in the requested order, point-in-time.
 
     Look-back and delay come from each feature set.  Only feature rows that some
     observation can still see are read, from the store where they are materialised.
+    `prefixes` maps feature-set names to a prefix for their output columns.
     """
+    prefixes = prefixes or {}
     known = {(s.name, s.version): s for s in feature_sets}
     wanted: dict[tuple[str, str], list[str]] = {}
     for ref in features:
@@ -52,9 +55,11 @@ def get_offline_features(
             start = (_moment(seen.min_ts) - fs.join_lookback - delay).replace(microsecond=0)
             end = (_moment(seen.max_ts) - delay).replace(microsecond=0) + timedelta(seconds=1)
         rows = read_features(spark, fs, store, start, end)
-        views.append(FeatureView(rows, fs.keys, fs.ts, names, fs.join_lookback, fs.source.delay, name=fs.name))
+        views.append(FeatureView(
+            rows, fs.keys, fs.ts, names, fs.join_lookback, fs.source.delay, prefixes.get(fs.name, ""), fs.name
+        ))
     joined = point_in_time(observations, timestamp_column, views, policy, shift_by_delay)
-    return joined.select(*observations.columns, *[ref.feature for ref in features])
+    return joined.select(*observations.columns, *[prefixes.get(r.feature_set, "") + r.feature for r in features])
 
 
 def write_dataset(df: DataFrame, spec: RetrievalSpec, folder: str) -> None:

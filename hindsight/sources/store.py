@@ -25,6 +25,7 @@ from hindsight.functions.columns import time_literal
 from hindsight.sources.scan import Span, within
 from hindsight.spec.model import FeatureSet
 
+BROADCAST_SEGMENTS = 10_000
 WINDOWS = "seq BIGINT, run STRING, start TIMESTAMP, end TIMESTAMP"
 
 
@@ -62,11 +63,14 @@ class OfflineStore:
         """Disjoint materialised stretches in order of time; later runs win."""
         pieces: list[tuple[int, int, str]] = []
         for row in self._committed(fs):
+            if not pieces or row.start >= pieces[-1][1]:
+                pieces.append((row.start, row.end, row.run))
+                continue
             kept = []
             for start, end, run in pieces:
                 kept += [(start, min(end, row.start), run), (max(start, row.end), end, run)]
-            pieces = [p for p in kept if p[0] < p[1]] + [(row.start, row.end, row.run)]
-        return [Segment(_moment(a), _moment(b), run) for a, b, run in sorted(pieces)]
+            pieces = sorted([p for p in kept if p[0] < p[1]] + [(row.start, row.end, row.run)])
+        return [Segment(_moment(a), _moment(b), run) for a, b, run in pieces]
 
     def covered(self, fs: FeatureSet) -> list[tuple[datetime, datetime]]:
         """Materialised stretches, neighbours joined."""
@@ -84,6 +88,8 @@ class OfflineStore:
         (
             df.where(within(df, fs.ts, [(start, end)]))
             .withColumns({"day": F.col(fs.ts).cast("date"), "run": F.lit(run)})
+            # Whole files per day however the features were partitioned; large days split.
+            .hint("rebalance", F.col("day"))
             .write.mode("append")
             .partitionBy("day", "run")
             .parquet(f"{self.folder(fs)}/data")
@@ -137,8 +143,10 @@ class OfflineStore:
         )
         # One row per stretch of the ledger; a run's stretches do not overlap.
         valid = self.spark.sql(f"SELECT * FROM VALUES {listed} AS t(_run, _start, _end)")
+        if len(wanted) <= BROADCAST_SEGMENTS:
+            valid = F.broadcast(valid)
         inside = (F.col("run") == F.col("_run")) & (F.col(ts) >= F.col("_start")) & (F.col(ts) < F.col("_end"))
-        return rows.join(F.broadcast(valid), inside, "left_semi")
+        return rows.join(valid, inside, "left_semi")
 
 
 def _moment(micros: int) -> datetime:
