@@ -121,7 +121,7 @@ def _join_group(spine, ts, keys, views, policy, shift_by_delay, whole) -> DataFr
             *[F.col(k).alias(n) for k, n in zip(keys, names)],
             visible.alias("_t"),
             F.lit(0).alias("_side"),
-            F.struct(visible.alias("at"), *[F.col(f) for f in view.features]).alias(column),
+            F.struct(visible.alias("at"), *[F.col(f).alias(f"v{i}") for i, f in enumerate(view.features)]).alias(column),
         )
         features = rows if features is None else features.unionByName(rows, allowMissingColumns=True)
 
@@ -132,13 +132,13 @@ def _join_group(spine, ts, keys, views, policy, shift_by_delay, whole) -> DataFr
     else:
         matched = routed
 
-    def feature(view: FeatureView, column: str, f: str, output: str) -> Column:
-        value = F.col(f"{column}.`{f}`")
+    def feature(view: FeatureView, column: str, i: int, output: str) -> Column:
+        value = F.col(f"{column}.v{i}")
         if view.lookback is not None:
             value = F.when(F.col(f"_obs.`{ts}`").cast("timestamp") <= F.col(f"{column}.at") + F.lit(view.lookback), value)
         return value.alias(output)
 
-    outputs = [(v, c, f, o) for v, c in zip(views, sets) for f, o in zip(v.features, v.outputs)]
+    outputs = [(v, c, i, o) for v, c in zip(views, sets) for i, o in enumerate(v.outputs)]
     result = matched.select(*[F.col(f"_obs.`{c}`").alias(c) for c in spine.columns], *[feature(*o) for o in outputs])
     if whole:
         return result

@@ -19,7 +19,8 @@ from hindsight.functions.columns import epoch_seconds
 from hindsight.operators.skew import SkewPolicy, heavy_groups, inline, is_in, key_hash
 
 FUNCTIONS = {"count": F.count, "sum": F.sum, "avg": F.avg}
-LONGEST_TILE = 86_400
+LONGEST_TILE = 21_600
+VERY_DENSE = 10
 
 
 @dataclass(frozen=True)
@@ -59,53 +60,59 @@ def rolling(
     """
     if not aggs:
         raise ValueError("no aggregates given")
-    arguments = [a.column for a in aggs]
-    columns = list(dict.fromkeys([*keys, ts, *keep, *arguments]))
-    base = df.select(*columns, epoch_seconds(ts).alias("_sec"))
+    columns = list(dict.fromkeys([*keys, ts, *keep, *[a.column for a in aggs]]))
+    names = [*dict.fromkeys([*keys, ts, *keep]), *[a.name for a in aggs]]
+    if len(set(names)) < len(names) or any(n.startswith("__") for n in [*columns, *names]):
+        raise ValueError(f"output names must differ and not start with two underscores: {names}")
+    base = df.select(*columns, epoch_seconds(ts).alias("__sec"))
     plain = _plain(base, keys, ts, aggs, keep)
     if policy is None:
         return plain
 
-    longest = max(a.seconds for a in aggs)
-    dense = _dense_keys(base, keys, longest, policy)
+    dense = _dense_keys(base, keys, max(a.seconds for a in aggs), policy)
     if not dense:
         return plain
-    if len(dense) > policy.max_groups:
+    if len(dense) > policy.max_groups and min(dense.values()) > VERY_DENSE * policy.dense_rows:
         return _tiled(base, keys, ts, aggs, keep, policy).select(plain.columns)
-    hashed = base.withColumn("_h", key_hash(keys))
-    in_dense = is_in("_h", dense)
+    hashed = base.withColumn("__h", key_hash(keys))
+    in_dense = is_in("__h", dense)
     ordinary = _plain(hashed.where(~in_dense), keys, ts, aggs, keep)
-    crowded = _tiled(hashed.where(in_dense).drop("_h"), keys, ts, aggs, keep, policy)
+    crowded = _tiled(hashed.where(in_dense).drop("__h"), keys, ts, aggs, keep, policy)
     return ordinary.unionByName(crowded)
 
 
 def _plain(base, keys, ts, aggs, keep) -> DataFrame:
-    ordered = Window.partitionBy(*keys).orderBy("_sec")
+    ordered = Window.partitionBy(*keys).orderBy("__sec")
     return base.select(
         *dict.fromkeys([*keys, ts, *keep]),
         *[FUNCTIONS[a.func](a.column).over(ordered.rangeBetween(-a.seconds, 0)).alias(a.name) for a in aggs],
     )
 
 
-def _dense_keys(base, keys, longest: int, policy: SkewPolicy) -> list[int]:
-    """Hashes of keys with a crowded stretch of one frame length, at most max_groups + 1."""
+def _dense_keys(base, keys, longest: int, policy: SkewPolicy) -> dict[int, int]:
+    """Hash and rows of the most crowded stretch of one frame length, densest keys first.
+
+    At most max_groups + 1 keys.  Dense keys beyond the list use the plain form, unless
+    even the last one listed is so dense that every key is better off in tiles.
+    """
     stretch = policy.sampled(base).select(
-        key_hash(keys).alias("h"), F.expr(f"(_sec - pmod(_sec, {longest})) div {longest}").alias("b")
+        key_hash(keys).alias("h"), F.expr(f"(__sec - pmod(__sec, {longest})) div {longest}").alias("b")
     )
     rows = (
         stretch.groupBy("h", "b")
         .count()
         .where(F.col("count") > policy.expected(policy.dense_rows))
-        .select("h")
-        .distinct()
+        .groupBy("h")
+        .agg((F.max("count") / min(policy.fraction, 1.0)).cast("long").alias("n"))
+        .orderBy(F.desc("n"), "h")
         .limit(policy.max_groups + 1)
         .collect()
     )
-    return [r.h for r in rows]
+    return {r.h: r.n for r in rows}
 
 
 def _tile_length(aggs) -> int:
-    """Longest tile, up to a day, that divides every duration."""
+    """Longest tile, up to six hours, that divides every duration."""
     common = math.gcd(*[a.seconds for a in aggs])
     return max(t for t in range(1, min(common, LONGEST_TILE) + 1) if common % t == 0)
 
@@ -126,32 +133,32 @@ def _tiled(base, keys, ts, aggs, keep, policy: SkewPolicy) -> DataFrame:
 
     partials: dict[str, Column] = {}
     for column, i in index.items():
-        partials[f"_n{i}"] = F.count(column)
+        partials[f"__n{i}"] = F.count(column)
         if column in summed:
-            partials[f"_s{i}"] = F.sum(column)
+            partials[f"__s{i}"] = F.sum(column)
     seconds = (
-        base.groupBy(*keys, "_sec")
+        base.groupBy(*keys, "__sec")
         .agg(*[c.alias(name) for name, c in partials.items()])
-        .withColumn("_tile", F.expr(f"(_sec - pmod(_sec, {tile})) div {tile}"))
+        .withColumn("__tile", F.expr(f"(__sec - pmod(__sec, {tile})) div {tile}"))
     )
 
     # Whole tiles strictly between the first and the last tile of a frame.  Rows without a
     # time have none; they are told apart after the sums, since a filter would be pushed
     # below the aggregation and keep Spark from reusing its shuffle.
-    per_tile = Window.partitionBy(*keys).orderBy("_tile")
+    per_tile = Window.partitionBy(*keys).orderBy("__tile")
 
     def whole(p: str, d: int) -> Column:
         between = F.sum(p).over(per_tile.rangeBetween(1 - d // tile, -1))
-        return F.when(F.col("_tile").isNotNull(), between).alias(f"_mid{d}{p}")
+        return F.when(F.col("__tile").isNotNull(), between).alias(f"__mid{d}{p}")
 
     totals = (
-        seconds.groupBy(*keys, "_tile")
+        seconds.groupBy(*keys, "__tile")
         .agg(*[F.sum(p).alias(p) for p in partials])
         .select(
             *keys,
-            "_tile",
-            (F.col("_tile") * tile - 1).alias("_pos"),
-            F.lit(-1).alias("_kind"),
+            "__tile",
+            (F.col("__tile") * tile - 1).alias("__pos"),
+            F.lit(-1).alias("__kind"),
             *[whole(p, d) for d in durations if d > tile for p in partials],
         )
     )
@@ -161,41 +168,41 @@ def _tiled(base, keys, ts, aggs, keep, policy: SkewPolicy) -> DataFrame:
         for kind, shift in enumerate([0, *durations])
     ]))
     placed = (
-        seconds.withColumn("_m", moved)
-        .where("_sec IS NOT NULL OR _m.kind = 0")
+        seconds.withColumn("__m", moved)
+        .where("__sec IS NOT NULL OR __m.kind = 0")
         .select(
             *keys,
-            F.expr(f"_tile + _m.shift div {tile}").alias("_tile"),
-            F.expr("_sec + _m.shift").alias("_pos"),
-            F.col("_m.kind").alias("_kind"),
+            F.expr(f"__tile + __m.shift div {tile}").alias("__tile"),
+            F.expr("__sec + __m.shift").alias("__pos"),
+            F.col("__m.kind").alias("__kind"),
             *partials,
         )
     )
 
-    within = Window.partitionBy(*keys, "_tile")
-    upward = within.orderBy("_pos").rangeBetween(Window.unboundedPreceding, 0)
-    downward = within.orderBy(F.desc("_pos")).rangeBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy(*keys, "__tile")
+    upward = within.orderBy("__pos").rangeBetween(Window.unboundedPreceding, 0)
+    downward = within.orderBy(F.desc("__pos")).rangeBetween(Window.unboundedPreceding, 0)
     both = placed.unionByName(totals, allowMissingColumns=True) if max(durations) > tile else placed
     parts = both.select(
         *keys,
-        "_pos",
-        "_kind",
-        *[F.sum(F.when(F.col("_kind") == 0, F.col(p))).over(upward).alias(f"_last{p}") for p in partials],
+        "__pos",
+        "__kind",
+        *[F.sum(F.when(F.col("__kind") == 0, F.col(p))).over(upward).alias(f"__last{p}") for p in partials],
         *[
-            F.sum(F.when(F.col("_kind") == kind, F.col(p))).over(downward).alias(f"_first{d}{p}")
+            F.sum(F.when(F.col("__kind") == kind, F.col(p))).over(downward).alias(f"__first{d}{p}")
             for kind, d in enumerate(durations, 1)
             for p in partials
         ],
         *[
-            F.max(f"_mid{d}{p}").over(upward).alias(f"_whole{d}{p}")
+            F.max(f"__mid{d}{p}").over(upward).alias(f"__whole{d}{p}")
             for d in durations
             if d > tile
             for p in partials
         ],
-    ).where("_kind = 0")
+    ).where("__kind = 0")
 
     def total(d: int, p: str) -> Column:
-        pieces = [f"_first{d}{p}", *([f"_whole{d}{p}"] if d > tile else []), f"_last{p}"]
+        pieces = [f"__first{d}{p}", *([f"__whole{d}{p}"] if d > tile else []), f"__last{p}"]
         added = F.coalesce(F.col(pieces[0]), F.lit(0))
         for piece in pieces[1:]:
             added = added + F.coalesce(F.col(piece), F.lit(0))
@@ -204,15 +211,15 @@ def _tiled(base, keys, ts, aggs, keep, policy: SkewPolicy) -> DataFrame:
     types = {f.name: f.dataType for f in _plain(base, keys, ts, aggs, ()).schema}
 
     def result(a: Rolling) -> Column:
-        n = total(a.seconds, f"_n{index[a.column]}")
+        n = total(a.seconds, f"__n{index[a.column]}")
         if a.func == "count":
             value = n
         else:
-            value = total(a.seconds, f"_s{index[a.column]}")
+            value = total(a.seconds, f"__s{index[a.column]}")
             value = F.when(n > 0, value if a.func == "sum" else value / n)
         return value.cast(types[a.name]).alias(a.name)
 
-    results = parts.select(*[F.col(k).alias(f"_r_{k}") for k in keys], F.col("_pos").alias("_r_pos"), *map(result, aggs))
+    results = parts.select(*[F.col(k).alias(f"__r_{k}") for k in keys], F.col("__pos").alias("__at"), *map(result, aggs))
     return _attach(base, results, keys, [*dict.fromkeys([*keys, ts, *keep])], [a.name for a in aggs], policy)
 
 
@@ -222,24 +229,25 @@ def _attach(base, results, keys, columns, names, policy: SkewPolicy) -> DataFram
     Seconds that hold more rows than one task should take are few (rows / hot_rows), so
     their results are broadcast and their rows stay where they are; the rest is shuffled.
     """
-    where = F.col("_sec").eqNullSafe(F.col("_r_pos"))
+    base = base.select(*columns, "__sec")
+    where = F.col("__sec").eqNullSafe(F.col("__at"))
     for k in keys:
-        where = where & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-    hashed = base.withColumn("_h", key_hash(keys))
-    crowded = heavy_groups(hashed, ["_h", "_sec"], policy.hot_rows, policy)
+        where = where & F.col(k).eqNullSafe(F.col(f"__r_{k}"))
+    hashed = base.withColumn("__h", key_hash(keys))
+    crowded = heavy_groups(hashed, ["__h", "__sec"], policy.hot_rows, policy)
     if not crowded:
         return base.join(results, where, "left").select(*columns, *names)
 
-    listed = F.broadcast(inline(base.sparkSession, ["h", "s"], [(r["_h"], r["_sec"]) for r in crowded]))
+    listed = F.broadcast(inline(base.sparkSession, ["__lh", "__ls"], [(r["__h"], r["__sec"]) for r in crowded]))
 
     def among(df: DataFrame, sec: str, how: str) -> DataFrame:
-        matched = (F.col("_h") == F.col("h")) & F.col(sec).eqNullSafe(F.col("s"))
+        matched = (F.col("__h") == F.col("__lh")) & F.col(sec).eqNullSafe(F.col("__ls"))
         return df.join(listed, matched, how)
 
-    hashed_results = results.withColumn("_h", key_hash([f"_r_{k}" for k in keys]))
-    few = F.broadcast(among(hashed_results, "_r_pos", "left_semi").drop("_h"))
-    hot = among(hashed, "_sec", "left_semi").join(few, where, "left")
-    rest = among(hashed, "_sec", "left_anti").join(results, where, "left")
+    hashed_results = results.withColumn("__h", key_hash([f"__r_{k}" for k in keys]))
+    few = F.broadcast(among(hashed_results, "__at", "left_semi").drop("__h"))
+    hot = among(hashed, "__sec", "left_semi").join(few, where, "left")
+    rest = among(hashed, "__sec", "left_anti").join(results, where, "left")
     return hot.select(*columns, *names).unionByName(rest.select(*columns, *names))
 
 

@@ -1,0 +1,193 @@
+from datetime import timedelta
+
+import pytest
+from helpers import at, count, plan, rows, table
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+import hindsight as hs
+from hindsight.operators.rolling import _tile_length
+
+SCHEMA = "acc string, ts timestamp, id string, amount double"
+DAYS_3, DAYS_7 = timedelta(days=3), timedelta(days=7)
+AGGS = [
+    hs.Rolling(f"{func}_{days}d", func, "id" if func == "count" else "amount", timedelta(days=days))
+    for days in (3, 7)
+    for func in ("count", "sum", "avg")
+]
+PLAIN = None
+TILED = hs.SkewPolicy(dense_rows=0, max_groups=0)
+SPLIT = hs.SkewPolicy(dense_rows=2, hot_rows=1)
+ROUTES = [PLAIN, hs.SkewPolicy(), TILED, SPLIT]
+
+
+def roll(spark, data, policy, aggs=AGGS):
+    df = table(spark, SCHEMA, data)
+    return rows(hs.rolling(df, ["acc"], "ts", aggs, keep=["id"], policy=policy))
+
+
+@pytest.mark.parametrize("policy", ROUTES)
+def test_frame_edges_are_inclusive(spark, policy):
+    data = [
+        ("a", at(seconds=-259_200), "edge", 1.0),
+        ("a", at(seconds=-259_201), "outside", 2.0),
+        ("a", at(), "now", 4.0),
+        ("b", at(), "other", 8.0),
+    ]
+    sums = {r[2]: r[4] for r in roll(spark, data, policy)}
+    assert sums == {"edge": 3.0, "outside": 2.0, "now": 5.0, "other": 8.0}
+
+
+@pytest.mark.parametrize("policy", ROUTES)
+def test_rows_of_the_same_second_see_each_other(spark, policy):
+    data = [("a", at(milliseconds=200), "x", 1.0), ("a", at(milliseconds=900), "y", 2.0)]
+    assert {r[4] for r in roll(spark, data, policy)} == {3.0}
+
+
+@pytest.mark.parametrize("policy", ROUTES)
+def test_null_times_form_their_own_group(spark, policy):
+    data = [("a", None, "x", 16.0), ("a", None, "y", 32.0), ("a", at(), "z", 1.0), (None, at(), "w", 5.0)]
+    sums = {r[2]: r[4] for r in roll(spark, data, policy)}
+    assert sums == {"x": 48.0, "y": 48.0, "z": 1.0, "w": 5.0}
+
+
+@pytest.mark.parametrize("policy", ROUTES)
+def test_null_ids_and_amounts(spark, policy):
+    data = [("a", at(), None, None), ("a", at(days=1), "y", None), ("b", at(), "z", 0.0), ("b", at(days=1), "z", None)]
+    got = {(r[0], r[1]): r[3:6] for r in roll(spark, data, policy)}
+    assert got == {
+        ("a", at()): (0, None, None),
+        ("a", at(days=1)): (1, None, None),
+        ("b", at()): (1, 0.0, 0.0),
+        ("b", at(days=1)): (2, 0.0, 0.0),
+    }
+
+
+def test_rows_before_1970_and_tiles_that_do_not_start_at_midnight(spark):
+    aggs = [hs.Rolling("s", "sum", "amount", timedelta(hours=7))]
+    data = [("a", at(days=-25_000, minutes=m), str(m), 1.0) for m in range(0, 1500, 35)]
+    assert roll(spark, data, TILED, aggs) == roll(spark, data, PLAIN, aggs)
+
+
+def test_large_and_small_values_do_not_cancel(spark):
+    data = [("a", at(), "x", 1e16), ("a", at(days=8), "y", 1.0), ("a", at(days=9), "z", 2.0)]
+    for policy in ROUTES:
+        assert {r[2]: r[4] for r in roll(spark, data, policy)}["z"] == 3.0
+
+
+def expected(data):
+    """Frames by definition: every row against every row."""
+    result = []
+    for acc, ts, ident, _ in data:
+        line = [acc, ts, ident]
+        for days in (3, 7):
+            now = ts and ts.replace(microsecond=0)
+            frame = [
+                d for d in data
+                if d[0] == acc
+                and (
+                    (ts is None and d[1] is None)
+                    or (ts and d[1] and now - timedelta(days=days) <= d[1].replace(microsecond=0) <= now)
+                )
+            ]
+            amounts = [d[3] for d in frame if d[3] is not None]
+            line += [
+                sum(d[2] is not None for d in frame),
+                sum(amounts) if amounts else None,
+                sum(amounts) / len(amounts) if amounts else None,
+            ]
+        result.append(tuple(line))
+    return sorted(result, key=repr)
+
+
+# Quarters add up without rounding, so any order of summation gives the same double.
+times = st.one_of(
+    st.none(),
+    st.builds(
+        lambda d, s, m: at(days=d, seconds=s, microseconds=m),
+        st.integers(-12, 12), st.sampled_from([0, 1, 3600, 21_599, 21_600, 86_399]), st.sampled_from([0, 1, 999_999]),
+    ),
+)
+transactions = st.lists(
+    st.tuples(
+        st.sampled_from(["a", "b", None]), times, st.one_of(st.none(), st.sampled_from(["x", "y"])),
+        st.one_of(st.none(), st.integers(-40, 40).map(lambda q: q / 4)),
+    ),
+    min_size=1, max_size=60,
+)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck), derandomize=True)
+@given(transactions)
+def test_every_route_equals_the_definition(spark, data):
+    wanted = expected(data)
+    for policy in (PLAIN, TILED, SPLIT):
+        assert roll(spark, data, policy) == wanted
+
+
+def test_result_types_do_not_depend_on_the_route(spark):
+    df = spark.range(20).select(
+        F.lit("a").alias("acc"), F.timestamp_seconds("id").alias("ts"), F.col("id").cast("int").alias("i"),
+        F.col("id").cast("decimal(10,2)").alias("d"), F.col("id").cast("float").alias("f"),
+    )
+    aggs = [hs.Rolling(f"{func}_{c}", func, c, DAYS_3) for c in "idf" for func in ("count", "sum", "avg")]
+    schemas = [hs.rolling(df, ["acc"], "ts", aggs, policy=p).schema for p in (PLAIN, TILED, SPLIT)]
+    assert [f.dataType for f in schemas[0]] == [f.dataType for f in schemas[1]] == [f.dataType for f in schemas[2]]
+    assert rows(hs.rolling(df, ["acc"], "ts", aggs, policy=PLAIN)) == rows(hs.rolling(df, ["acc"], "ts", aggs, policy=TILED))
+
+
+def test_a_profile_on_a_sample_changes_no_result(spark):
+    data = [(f"a{i % 3}", at(minutes=i), str(i), float(i)) for i in range(300)]
+    sampled = hs.SkewPolicy(dense_rows=5, hot_rows=1, fraction=0.3, max_groups=2)
+    assert roll(spark, data, sampled) == roll(spark, data, PLAIN)
+
+
+def test_plain_form_has_one_shuffle_one_sort_one_window(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    aggs = [hs.Rolling(f"n{d}", "count", "event_id", timedelta(days=d)) for d in (1, 3, 7)]
+    result = hs.rolling(df, ["user_id"], "ts", aggs)
+    assert (count(result, "Exchange"), count(result, "Sort"), count(result, "Window")) == (1, 1, 1)
+    assert "props" not in plan(result) and "event_type" not in plan(result)
+
+
+def test_unused_frames_and_columns_are_pruned_and_key_filters_reach_the_scan(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    aggs = [hs.Rolling("n", "count", "event_id", DAYS_3), hs.Rolling("s", "sum", "value", DAYS_7)]
+    result = hs.rolling(df, ["user_id"], "ts", aggs, policy=None).where("user_id = 3").select("user_id", "s")
+    text = plan(result)
+    assert "event_id" not in text
+    assert "EqualTo(user_id,3)" in text
+
+
+def test_crowded_keys_run_without_a_long_sliding_frame(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    aggs = [hs.Rolling("s", "sum", "value", DAYS_7)]
+    text = plan(hs.rolling(df, ["user_id"], "ts", aggs, policy=TILED))
+    assert "RangeFrame, -604800" not in text
+    assert "partial_sum" in text
+
+
+def test_tile_length():
+    tile = lambda *s: _tile_length([hs.Rolling("x", "sum", "v", timedelta(seconds=n)) for n in s])
+    assert tile(259_200, 604_800) == 21_600
+    assert tile(3600) == 3600
+    assert tile(7, 13) == 1
+
+
+def test_rejects_bad_aggregates(spark):
+    with pytest.raises(ValueError, match="unknown aggregate"):
+        hs.Rolling("x", "median", "v", DAYS_3)
+    with pytest.raises(ValueError, match="whole seconds"):
+        hs.Rolling("x", "sum", "v", timedelta(milliseconds=1500))
+    with pytest.raises(ValueError, match="no aggregates"):
+        hs.rolling(spark.range(1), ["id"], "id", [])
+
+
+@pytest.mark.parametrize("policy", ROUTES)
+def test_names_may_repeat_source_columns_but_not_each_other(spark, policy):
+    df = table(spark, "h string, s timestamp, amount double", [("a", at(), 1.0), ("a", at(days=1), 2.0)])
+    result = hs.rolling(df, ["h"], "s", [hs.Rolling("amount", "sum", "amount", DAYS_3)], policy=policy)
+    assert rows(result) == [("a", at(), 1.0), ("a", at(days=1), 3.0)]
+    with pytest.raises(ValueError, match="differ"):
+        hs.rolling(df, ["h"], "s", [hs.Rolling("amount", "sum", "amount", DAYS_3)], keep=["amount"], policy=policy)
