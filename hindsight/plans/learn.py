@@ -76,7 +76,11 @@ def train(
 
 
 def score(
-    model: PipelineModel, df: DataFrame, probability: str | None = None, drop: Sequence[str] = ()
+    model: PipelineModel,
+    df: DataFrame,
+    probability: str | None = None,
+    drop: Sequence[str] = (),
+    output: str = PREDICTION,
 ) -> DataFrame:
     """Rows with the predicted class, and if named the class probabilities (ML3, ML4).
 
@@ -86,7 +90,7 @@ def score(
     predicted = model.transform(fill_missing(df, features))
     extra = [vector_to_array("_probability").alias(probability)] if probability else []
     kept = [c for c in df.columns if c not in drop]
-    return predicted.select(*kept, F.col("_prediction").cast("int").alias(PREDICTION), *extra)
+    return predicted.select(*kept, F.col("_prediction").cast("int").alias(output), *extra)
 
 
 def save_model(model: PipelineModel, spec: RetrievalSpec, spark: SparkSession, folder: str) -> None:

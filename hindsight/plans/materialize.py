@@ -51,22 +51,42 @@ def backfill(fs: FeatureSet, start: Time, end: Time, store: OfflineStore) -> str
     return store.write(fs, compute_features(store.spark, fs, [(a, b)]), a, b)
 
 
+# The frequency names of a schedule.
+FREQUENCIES = {
+    "minute": timedelta(minutes=1),
+    "hour": timedelta(hours=1),
+    "day": timedelta(days=1),
+    "week": timedelta(weeks=1),
+}
+
+
+def interval_of(fs: FeatureSet) -> timedelta:
+    """The interval of the feature set's own schedule."""
+    if not fs.schedule:
+        raise ValueError(f"{fs.name}: no interval given and no schedule declared")
+    return fs.schedule["interval"] * FREQUENCIES[fs.schedule["frequency"].lower()]
+
+
 def next_window(
-    fs: FeatureSet, store: OfflineStore, now: Time, interval: timedelta, first: Time
+    fs: FeatureSet, store: OfflineStore, now: Time, interval: timedelta | None = None, first: Time | None = None
 ) -> tuple[datetime, datetime] | None:
     """The stretch a recurring run has to add (M3), or None if nothing is due.
 
     It starts where the stored windows end, or at `first`, and ends a whole number of
     intervals later, not after `now - delay`: later source rows may still be on their way.
+    Interval and first time come from the feature set's schedule unless given.
     """
+    interval = interval or interval_of(fs)
     covered = store.covered(fs)
-    start = covered[-1][1] if covered else _bound(first)
+    start = covered[-1][1] if covered else _bound(first or fs.schedule.get("start_time"))
+    if start is None:
+        raise ValueError(f"{fs.name}: nothing is stored and no first time is given")
     due = (utc_time(now) - fs.source.delay - start) // interval
     return (start, start + due * interval) if due > 0 else None
 
 
 def materialize_next(
-    fs: FeatureSet, store: OfflineStore, now: Time, interval: timedelta, first: Time
+    fs: FeatureSet, store: OfflineStore, now: Time, interval: timedelta | None = None, first: Time | None = None
 ) -> tuple[datetime, datetime] | None:
     """Run the next due window (M3) and return it."""
     window = next_window(fs, store, now, interval, first)

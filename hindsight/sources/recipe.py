@@ -13,7 +13,10 @@ from hindsight.functions import columns as C
 from hindsight.sources.scan import scan
 from hindsight.spec.model import _dump, _parse, read_text, write_text
 
+# File name, type and default path column of a saved recipe.
 RECIPE_FILE = "MLTable"
+RECIPE_TYPE = "mltable"
+PATH_COLUMN = "Path"
 PATH = "__path"
 
 
@@ -63,9 +66,9 @@ class Recipe:
         return reduce(apply, self.steps, start).drop(PATH)
 
     def save(self, spark: SparkSession, folder: str) -> None:
-        read = {"include_path_column": self.path_column is not None, "path_column": self.path_column or "Path"}
+        read = {"include_path_column": self.path_column is not None, "path_column": self.path_column or PATH_COLUMN}
         content = {
-            "type": "mltable",
+            "type": RECIPE_TYPE,
             "paths": [{"pattern": p} for p in self.paths],
             "transformations": [{"read_parquet": read}, *[{name: argument} for name, argument in self.steps]],
         }
@@ -79,7 +82,7 @@ class Recipe:
             [(name, argument)] = step.items()
             if name == "read_parquet":
                 if argument.get("include_path_column"):
-                    recipe = cls(recipe.paths, recipe.steps, argument.get("path_column", "Path"))
+                    recipe = cls(recipe.paths, recipe.steps, argument.get("path_column", PATH_COLUMN))
             else:
                 recipe = recipe.then(name, argument)
         return recipe

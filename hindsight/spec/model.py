@@ -22,6 +22,7 @@ try:
 except ImportError:  # JSON files still work
     yaml = None
 
+# The look-back where none is declared, the name of a packed retrieval spec.
 DEFAULT_LOOKBACK = timedelta(days=365)
 SPEC_FILE = "feature_retrieval_spec.yaml"
 

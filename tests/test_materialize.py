@@ -126,6 +126,18 @@ def test_incremental_runs(spark, store):
     assert rows(store.read(fs)) == full(spark, "2024-01-05", "2024-01-05 12:00:00")
 
 
+def test_schedule_of_the_feature_set(spark, store):
+    schedule = {"interval": 3, "frequency": "Hour", "start_time": "2024-01-05 00:04:10"}
+    fs = replace(feature_set(), schedule=schedule)
+    assert hs.next_window(fs, store, "2024-01-05 09:59:59") == (
+        datetime(2024, 1, 5, 0, 4, 10), datetime(2024, 1, 5, 9, 4, 10),
+    )
+    with pytest.raises(ValueError, match="no schedule"):
+        hs.next_window(feature_set(), store, "2024-01-05 09:59:59")
+    with pytest.raises(ValueError, match="no first time"):
+        hs.next_window(feature_set(), store, "2024-01-05 09:59:59", timedelta(hours=3))
+
+
 def test_read_through_equals_the_computation(spark, store):
     fs = feature_set()
     hs.backfill(fs, "2024-01-05", "2024-01-08", store)

@@ -11,8 +11,8 @@ import hindsight as hs
 SPINE = "obs long, acc string, ts timestamp"
 FEATURE = "acc string, ts timestamp, x double, y string"
 PLAIN = None
-HOT = hs.SkewPolicy(hot_rows=1)
-WARM = hs.SkewPolicy(hot_rows=4, max_groups=3)
+HOT = hs.SkewPolicy(hot_rows=1, fraction=1.0)
+WARM = hs.SkewPolicy(hot_rows=4, max_groups=3, fraction=1.0)
 ROUTES = [PLAIN, hs.SkewPolicy(), HOT]
 
 
@@ -165,7 +165,7 @@ def range_join(spine, features, delay, lookback):
     )
 
 
-@pytest.mark.parametrize("policy", [PLAIN, hs.SkewPolicy(hot_rows=60)])
+@pytest.mark.parametrize("policy", [PLAIN, hs.SkewPolicy(hot_rows=60, fraction=1.0)])
 def test_equals_a_range_join_and_shows_nothing_from_the_future(spark, policy):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     spine = events.where("event_type = 'purchase'").selectExpr("event_id AS obs", "user_id AS acc", "ts")
@@ -203,7 +203,7 @@ def test_hot_entities_are_cut_into_cells(spark):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     spine = events.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
     v = hs.FeatureView(events.where("event_type = 'click'").select("user_id", "ts", "value"), ["user_id"], "ts", ["value"])
-    result = hs.point_in_time(spine, "ts", [v], hs.SkewPolicy(hot_rows=20))
+    result = hs.point_in_time(spine, "ts", [v], hs.SkewPolicy(hot_rows=20, fraction=1.0))
     text = plan(result)
     assert "_cell" in text and "NestedLoop" not in text and "CartesianProduct" not in text
     assert rows(result) == rows(hs.point_in_time(spine, "ts", [v], PLAIN))
@@ -214,6 +214,6 @@ def test_an_instant_that_is_too_large_for_one_task(spark):
     spine = [(i, "hot", at()) for i in range(60)] + [(100 + i, f"c{i % 7}", at(hours=i)) for i in range(120)]
     data = [("hot", at(hours=-1), float(i % 5), "x") for i in range(60)]
     data += [(f"c{i % 7}", at(hours=i, minutes=-30), float(i), "y") for i in range(120)]
-    policy = hs.SkewPolicy(hot_rows=25)
+    policy = hs.SkewPolicy(hot_rows=25, fraction=1.0)
     assert join(spark, spine, data, policy) == join(spark, spine, data, PLAIN)
     assert join(spark, spine, data, policy)[7] == (4.0, "x")

@@ -17,8 +17,8 @@ AGGS = [
     for func in ("count", "sum", "avg")
 ]
 PLAIN = None
-TILED = hs.SkewPolicy(dense_rows=0, max_groups=0)
-SPLIT = hs.SkewPolicy(dense_rows=2, hot_rows=1)
+TILED = hs.SkewPolicy(dense_rows=0, max_groups=0, fraction=1.0)
+SPLIT = hs.SkewPolicy(dense_rows=2, hot_rows=1, fraction=1.0)
 ROUTES = [PLAIN, hs.SkewPolicy(), TILED, SPLIT]
 
 

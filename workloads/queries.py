@@ -17,6 +17,7 @@ from hindsight.session import prepare, shared_folder
 from hindsight.sources.scan import write_table
 from hindsight.spec.model import Column
 
+# Column names, frames and the requested features of the feature sets.
 DAYS_3, DAYS_7 = timedelta(days=3), timedelta(days=7)
 TRANSACTIONS = {
     "event_id": "transactionID",
@@ -44,8 +45,8 @@ REQUESTED = [
 ]
 KEYS = ["accountID"]
 # Small sizes that send keys of the test tables down the routes for crowded keys.
-SOME_CROWDED = hs.SkewPolicy(dense_rows=22, hot_rows=70)
-ALL_CROWDED = hs.SkewPolicy(dense_rows=1, hot_rows=3)
+SOME_CROWDED = hs.SkewPolicy(dense_rows=22, hot_rows=70, fraction=1.0)
+ALL_CROWDED = hs.SkewPolicy(dense_rows=1, hot_rows=3, fraction=1.0)
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -209,7 +210,7 @@ def rolling_orders_30d(spark, sf, policy=hs.SkewPolicy()):
 
 
 def rolling_orders_30d_crowded(spark, sf):
-    return rolling_orders_30d(spark, sf, hs.SkewPolicy(dense_rows=1, hot_rows=1))
+    return rolling_orders_30d(spark, sf, hs.SkewPolicy(dense_rows=1, hot_rows=1, fraction=1.0))
 
 
 # Point-in-time joins
@@ -415,7 +416,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pit_two_sets_hot": _pit_two_sets(SOME_CROWDED),
     "pit_composite_key": pit_composite_key,
     "pit_ties": _pit_ties(),
-    "pit_ties_hot": _pit_ties(hs.SkewPolicy(hot_rows=1)),
+    "pit_ties_hot": _pit_ties(hs.SkewPolicy(hot_rows=1, fraction=1.0)),
     "pit_two_keys": pit_two_keys,
     "backfill_window": backfill_window,
     "incremental_equals_full": incremental_equals_full,
