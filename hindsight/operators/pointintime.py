@@ -24,6 +24,8 @@ class FeatureView:
 
     A row is visible from `ts + delay` on, and counts as missing once it is older than
     `lookback` (None: never).  `prefix` is put before the feature names in the output.
+    `outline` may hold keys and time of about the same rows where that is cheaper than
+    `df`, such as the source of computed features; only the profile reads it.
     """
 
     df: DataFrame = field(repr=False)
@@ -34,6 +36,7 @@ class FeatureView:
     delay: timedelta = timedelta(0)
     prefix: str = ""
     name: str = ""
+    outline: DataFrame | None = field(default=None, repr=False)
 
     @property
     def outputs(self) -> list[str]:
@@ -106,26 +109,29 @@ def _join_group(spine, ts, keys, views, policy, shift_by_delay, whole) -> DataFr
     names = [f"_k{i}" for i in range(len(keys))]
     sets = [f"_f{i}" for i in range(len(views))]
 
-    obs = spine.where(complete).select(
-        *[F.col(k).alias(n) for k, n in zip(keys, names)],
-        F.col(ts).cast("timestamp").alias("_t"),
-        F.lit(1).alias("_side"),
-        F.struct(*[F.col(c) for c in spine.columns]).alias("_obs"),
+    def placed(df: DataFrame, time: Column, side: int, **carried: Column) -> DataFrame:
+        return df.select(
+            *[F.col(k).alias(n) for k, n in zip(keys, names)],
+            time.alias("_t"),
+            F.lit(side).alias("_side"),
+            *[value.alias(column) for column, value in carried.items()],
+        )
+
+    obs = placed(
+        spine.where(complete), F.col(ts).cast("timestamp"), 1, _obs=F.struct(*[F.col(c) for c in spine.columns])
     )
-    features = None
+    features = outline = None
     for view, column in zip(views, sets):
         visible = F.col(view.ts).cast("timestamp")
         if shift_by_delay and view.delay:
             visible = visible + F.lit(view.delay)
-        rows = view.df.where(_complete(view.ts, keys)).select(
-            *[F.col(k).alias(n) for k, n in zip(keys, names)],
-            visible.alias("_t"),
-            F.lit(0).alias("_side"),
-            F.struct(visible.alias("at"), *[F.col(f).alias(f"v{i}") for i, f in enumerate(view.features)]).alias(column),
-        )
+        shown = F.struct(visible.alias("at"), *[F.col(f).alias(f"v{i}") for i, f in enumerate(view.features)])
+        rows = placed(view.df.where(_complete(view.ts, keys)), visible, 0, **{column: shown})
         features = rows if features is None else features.unionByName(rows, allowMissingColumns=True)
+        lines = placed((view.df if view.outline is None else view.outline).where(_complete(view.ts, keys)), visible, 0)
+        outline = lines if outline is None else outline.unionByName(lines)
 
-    routed = _route(obs, features, names, sets, policy) if policy else None
+    routed = _route(obs, features, outline, names, sets, policy) if policy else None
     if routed is None:
         matched = _last_visible(obs.unionByName(features, allowMissingColumns=True), names, sets)
         matched = matched.select("_obs", *sets)
@@ -165,7 +171,7 @@ def _last_visible(rows: DataFrame, group: Sequence[str], sets: Sequence[str]) ->
     return rows.select(*others, *[F.last(s, ignorenulls=True).over(running).alias(s) for s in sets]).where("_side = 1")
 
 
-def _route(obs, features, names, sets, policy: SkewPolicy) -> DataFrame | None:
+def _route(obs, features, outline, names, sets, policy: SkewPolicy) -> DataFrame | None:
     """The join with hot entities cut into time cells, or None if there are none.
 
     A cell starts with one carried row: the last row of each set in earlier cells.  It is
@@ -173,10 +179,9 @@ def _route(obs, features, names, sets, policy: SkewPolicy) -> DataFrame | None:
     single stand-in, and its rows get the answer by broadcast.
     """
     spark = obs.sparkSession
-    micros = F.unix_micros("_t").alias("_u")
-    obs = obs.withColumn("_h", key_hash(names)).withColumn("_u", micros)
-    features = features.withColumn("_h", key_hash(names)).withColumn("_u", micros)
-    every = obs.select("_h", "_u", "_side").unionByName(features.select("_h", "_u", "_side"))
+    place = {"_h": key_hash(names), "_u": F.unix_micros("_t")}
+    obs, features, outline = (df.withColumns(place) for df in (obs, features, outline))
+    every = obs.select("_h", "_u", "_side").unionByName(outline.select("_h", "_u", "_side"))
     hot = heavy_groups(
         every, ["_h"], policy.hot_rows, policy, [F.min("_u").alias("first"), F.max("_u").alias("last")]
     )
@@ -184,12 +189,6 @@ def _route(obs, features, names, sets, policy: SkewPolicy) -> DataFrame | None:
         return None
     in_hot = is_in("_h", [r["_h"] for r in hot])
 
-    # Cold entities: the plain form.
-    cold = _last_visible(
-        obs.where(~in_hot).unionByName(features.where(~in_hot), allowMissingColumns=True), names, sets
-    ).select("_obs", *sets)
-
-    obs, features = obs.where(in_hot), features.where(in_hot)
     every = every.where(in_hot)
     instants = heavy_groups(every, ["_h", "_u", "_side"], policy.hot_rows, policy)
     crowded = [[(r["_h"], r["_u"]) for r in instants if r["_side"] == side] for side in (0, 1)]
@@ -207,12 +206,12 @@ def _route(obs, features, names, sets, policy: SkewPolicy) -> DataFrame | None:
         stand_in = held.select(*names, "_t", "_side", "_h", "_u").distinct()
         obs = obs.join(listed, ["_h", "_u"], "left_anti").unionByName(stand_in, allowMissingColumns=True)
 
+    # One pass for all entities; those that are not hot lie in a single cell.
     cell = _cells(spark, every, hot, instants, policy)
     obs, features = cell(obs), cell(features)
-
     group = [*names, "_cell"]
-    tops = features.groupBy(*group).agg(*[F.max(s).alias(s) for s in sets])
-    wanted = obs.select(*group).distinct()
+    tops = features.where(in_hot).groupBy(*group).agg(*[F.max(s).alias(s) for s in sets])
+    wanted = obs.where(in_hot).select(*group).distinct()
     earlier = Window.partitionBy(*names).orderBy("_cell", "_want").rowsBetween(Window.unboundedPreceding, -1)
     # In a cell the question sorts before the cell's own last row, so it sees earlier cells only.
     carried = (
@@ -225,7 +224,7 @@ def _route(obs, features, names, sets, policy: SkewPolicy) -> DataFrame | None:
     rows = obs.unionByName(features, allowMissingColumns=True).unionByName(carried, allowMissingColumns=True)
     found = _last_visible(rows, group, sets)
     if held is None:
-        return cold.unionByName(found.select("_obs", *sets))
+        return found.select("_obs", *sets)
     answers = found.where("_obs IS NULL").select(
         *[F.col(n).alias(f"_a{n}") for n in names], F.col("_t").alias("_a_t"), *sets
     )
@@ -235,7 +234,7 @@ def _route(obs, features, names, sets, policy: SkewPolicy) -> DataFrame | None:
     # One answer per listed instant, so at most max_groups rows are broadcast.
     given = held.join(F.broadcast(answers), same, "left").select("_obs", *sets)
     found = found.where("_obs IS NOT NULL").select("_obs", *sets)
-    return cold.unionByName(found).unionByName(given)
+    return found.unionByName(given)
 
 
 def _cells(spark, every, hot, instants, policy: SkewPolicy):
@@ -267,7 +266,7 @@ def _cells(spark, every, hot, instants, policy: SkewPolicy):
         ))
 
     def cell(df: DataFrame) -> DataFrame:
-        df = df.join(widths, "_h").withColumn("_cell", first).drop("_w")
+        df = df.join(widths, "_h", "left").withColumn("_cell", F.coalesce(first, F.lit(0))).drop("_w")
         if finer is None:
             return df
         cut = F.expr("_cell + (_u - _cell) - pmod(_u - _cell, _w2)")

@@ -129,3 +129,23 @@ def read_features(
     if missing or untimed or not parts:
         parts.append(compute_features(spark, fs, missing, untimed))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def outline(
+    spark: SparkSession, fs: FeatureSet, store: OfflineStore | None = None, start: Time | None = None, end: Time | None = None
+) -> DataFrame | None:
+    """Keys and time of about the rows of `read_features`, without computing any feature.
+
+    Where the features are not stored, the rows of the source stand for them; None if the
+    source lacks the keys in their declared type, because the transformer makes them.
+    """
+    span = (_bound(start), _bound(end))
+    covered = store.covered(fs) if store else []
+    missing = gaps(covered, span)
+    source = read_source(spark, fs.source, missing)
+    types = {f.name: f.dataType for f in source.schema}
+    if fs.ts not in types or any(types.get(c.name) != c.spark.dataType for c in fs.index_columns):
+        return None
+    rows = source.select(*fs.keys, fs.ts)
+    stored = store.read(fs, span) if covered else None
+    return rows if stored is None else rows.unionByName(stored.select(*fs.keys, fs.ts))

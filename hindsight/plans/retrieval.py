@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from hindsight.operators.metrics import time_coverage
 from hindsight.operators.pointintime import FeatureView, point_in_time
 from hindsight.operators.skew import SkewPolicy
-from hindsight.plans.materialize import read_features
+from hindsight.plans.materialize import outline, read_features
 from hindsight.sources.scan import scan_dataset, write_table
 from hindsight.sources.store import OfflineStore, _moment
 from hindsight.spec.model import FeatureRef, FeatureSet, RetrievalSpec
@@ -56,7 +56,8 @@ def get_offline_features(
             end = (_moment(seen.max_ts) - delay).replace(microsecond=0) + timedelta(seconds=1)
         rows = read_features(spark, fs, store, start, end)
         views.append(FeatureView(
-            rows, fs.keys, fs.ts, names, fs.join_lookback, fs.source.delay, prefixes.get(fs.name, ""), fs.name
+            rows, fs.keys, fs.ts, names, fs.join_lookback, fs.source.delay, prefixes.get(fs.name, ""), fs.name,
+            outline(spark, fs, store, start, end) if policy else None,
         ))
     joined = point_in_time(observations, timestamp_column, views, policy, shift_by_delay)
     return joined.select(*observations.columns, *[prefixes.get(r.feature_set, "") + r.feature for r in features])

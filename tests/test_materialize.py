@@ -213,3 +213,16 @@ def test_function_and_no_transformer(spark):
     assert compute_features(spark, doubled).columns == ["acc", "at", "twice"]
     same = feature_set(transformer=None)
     assert compute_features(spark, same).columns == ["acc", "at", "id", "event_type", "amount", "props"]
+
+
+def test_outline_has_the_rows_of_the_features(spark, store):
+    from hindsight.plans.materialize import outline
+
+    fs = feature_set()
+    hs.backfill(fs, "2024-01-05", "2024-01-08", store)
+    span = ("2024-01-04", "2024-01-10 06:00:00")
+    lines = outline(spark, fs, store, *span)
+    assert rows(lines) == rows(hs.read_features(spark, fs, store, *span).select("acc", "at"))
+    assert "Window" not in plan(lines)
+    renamed = feature_set(transformer=lambda df: df.selectExpr("CAST(acc AS STRING) AS name", "at", "amount"))
+    assert outline(spark, replace(renamed, index_columns=(Column("name", "string"),)), store) is None

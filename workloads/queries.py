@@ -228,7 +228,8 @@ def _pit_events(policy=hs.SkewPolicy(), **bounds) -> Callable[[SparkSession, str
 
 def _pit_two_sets(policy=hs.SkewPolicy()) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark, sf):
-        transactions = hs.rolling(_transactions(spark, sf), KEYS, "timestamp", ROLLING, policy=policy)
+        source = _transactions(spark, sf)
+        transactions = hs.rolling(source, KEYS, "timestamp", ROLLING, policy=policy)
         views = [
             hs.FeatureView(
                 _accounts(spark, sf), KEYS, "timestamp", ["accountAge", "numPaymentRejects1dPerUser"],
@@ -237,7 +238,7 @@ def _pit_two_sets(policy=hs.SkewPolicy()) -> Callable[[SparkSession, str], DataF
             hs.FeatureView(
                 transactions, KEYS, "timestamp",
                 ["transaction_amount_7d_sum", "transaction_amount_3d_sum", "transaction_amount_7d_avg"],
-                timedelta(days=60), timedelta(minutes=20), name="transactions",
+                timedelta(days=60), timedelta(minutes=20), name="transactions", outline=source,
             ),
         ]
         return _rounded(hs.point_in_time(_observations(spark, sf), "timestamp", views, policy))
