@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hindsight.functions.columns import utc_time
 from hindsight.sources.scan import EVERYTHING, Span, read_source, within
-from hindsight.sources.store import OfflineStore
+from hindsight.sources.store import OfflineStore, stretches
 from hindsight.spec.model import FeatureSet
 
 Time = str | datetime
@@ -121,9 +121,9 @@ def read_features(
     Rows without a time belong to no window; they come with an unlimited read.
     """
     span = (_bound(start), _bound(end))
-    covered = store.covered(fs) if store else []
-    stored = store.read(fs, span) if covered else None
-    missing = gaps(covered, span)
+    segments = store.segments(fs) if store else []
+    stored = store.read(fs, span, segments) if segments else None
+    missing = gaps(stretches(segments), span)
     untimed = span == EVERYTHING
     parts = [] if stored is None else [fs.conform(stored)]
     if missing or untimed or not parts:
@@ -140,12 +140,12 @@ def outline(
     source lacks the keys in their declared type, because the transformer makes them.
     """
     span = (_bound(start), _bound(end))
-    covered = store.covered(fs) if store else []
-    missing = gaps(covered, span)
+    segments = store.segments(fs) if store else []
+    missing = gaps(stretches(segments), span)
     source = read_source(spark, fs.source, missing)
     types = {f.name: f.dataType for f in source.schema}
     if fs.ts not in types or any(types.get(c.name) != c.spark.dataType for c in fs.index_columns):
         return None
     rows = source.select(*fs.keys, fs.ts)
-    stored = store.read(fs, span) if covered else None
+    stored = store.read(fs, span, segments) if segments else None
     return rows if stored is None else rows.unionByName(stored.select(*fs.keys, fs.ts))

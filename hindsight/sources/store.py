@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hindsight.functions.columns import time_literal
-from hindsight.sources.scan import Span, within
+from hindsight.sources.scan import EVERYTHING, Span, within
 from hindsight.spec.model import FeatureSet
 
 BROADCAST_SEGMENTS = 10_000
@@ -74,13 +74,7 @@ class OfflineStore:
 
     def covered(self, fs: FeatureSet) -> list[tuple[datetime, datetime]]:
         """Materialised stretches, neighbours joined."""
-        merged: list[tuple[datetime, datetime]] = []
-        for s in self.segments(fs):
-            if merged and merged[-1][1] == s.start:
-                merged[-1] = (merged[-1][0], s.end)
-            else:
-                merged.append((s.start, s.end))
-        return merged
+        return stretches(self.segments(fs))
 
     def write(self, fs: FeatureSet, df: DataFrame, start: datetime, end: datetime) -> str:
         """Store the rows of the window [start, end) as one run and make it visible."""
@@ -108,11 +102,16 @@ class OfflineStore:
         )
         return run
 
-    def read(self, fs: FeatureSet, span: Span = (None, None)) -> DataFrame | None:
-        """Valid stored rows of a time span; None if none of it is materialised."""
+    def read(
+        self, fs: FeatureSet, span: Span = EVERYTHING, segments: Sequence[Segment] | None = None
+    ) -> DataFrame | None:
+        """Valid stored rows of a time span; None if none of it is materialised.
+
+        `segments`: those of the feature set, if they have been looked up already.
+        """
         low, high = span
         wanted = []
-        for s in self.segments(fs):
+        for s in self.segments(fs) if segments is None else segments:
             start = s.start if low is None else max(s.start, low)
             end = s.end if high is None else min(s.end, high)
             if start < end:
@@ -149,5 +148,15 @@ class OfflineStore:
         return rows.join(valid, inside, "left_semi")
 
 
+def stretches(segments: Sequence[Segment]) -> list[tuple[datetime, datetime]]:
+    merged: list[tuple[datetime, datetime]] = []
+    for s in segments:
+        if merged and merged[-1][1] == s.start:
+            merged[-1] = (merged[-1][0], s.end)
+        else:
+            merged.append((s.start, s.end))
+    return merged
+
+
 def _moment(micros: int) -> datetime:
     return datetime(1970, 1, 1) + timedelta(microseconds=micros)

@@ -219,14 +219,23 @@ def load_config(path: str | Path, transformers: Mapping[str, Any] | None = None)
     """Entities and feature sets of a store configuration file.
 
     `transformers` maps transformer class names to instances or functions; other names
-    are loaded from the configured code folder.
+    are loaded from the configured code folder.  A feature set must have the index columns
+    of its entities, as far as they are in the file.
     """
     config = _parse(Path(path).read_text())
     entities = [
-        Entity(e["name"], e["version"], _columns(e["index_columns"]), e.get("description", ""), e.get("tags", {}))
+        Entity(e["name"], str(e["version"]), _columns(e["index_columns"]), e.get("description", ""), e.get("tags", {}))
         for e in config.get("entities", [])
     ]
-    return entities, [_from_config(c, transformers or {}) for c in config.get("feature_sets", [])]
+    feature_sets = [_from_config(c, transformers or {}) for c in config.get("feature_sets", [])]
+    known = {(e.name, e.version): e for e in entities}
+    for fs in feature_sets:
+        for reference in fs.entities:
+            entity = known.get(tuple(reference.split(":")[-2:]))
+            declared = {(c.name, c.spark.dataType) for c in fs.index_columns}
+            if entity and not {(c.name, c.spark.dataType) for c in entity.index_columns} <= declared:
+                raise ValueError(f"feature set {fs.name} lacks index columns of its entity {reference}")
+    return entities, feature_sets
 
 
 def _from_config(c: Mapping[str, Any], transformers: Mapping[str, Any]) -> FeatureSet:

@@ -72,6 +72,14 @@ def test_config(tmp_path, spark):
     )
 
 
+def test_feature_sets_have_the_keys_of_their_entities(tmp_path):
+    wrong = json.loads(json.dumps(CONFIG))
+    wrong["feature_sets"][0]["index_columns"][0]["type"] = "LONG"
+    (tmp_path / "config.json").write_text(json.dumps(wrong))
+    with pytest.raises(ValueError, match="lacks index columns"):
+        hs.load_config(tmp_path / "config.json", {"halves.Halves": lambda df: df})
+
+
 def test_feature_set_file_with_its_code(tmp_path, spark):
     pytest.importorskip("yaml")
     (tmp_path / "code").mkdir()
