@@ -3,10 +3,6 @@
 from __future__ import annotations
 
 
-def _round_sum(expr: str) -> str:
-    return f"round({expr}, 4)"
-
-
 def _frame(days: int) -> str:
     return f"(PARTITION BY user_id ORDER BY sec RANGE BETWEEN INTERVAL {days} DAY PRECEDING AND CURRENT ROW)"
 
@@ -126,10 +122,10 @@ WHERE ('0x' || substr(md5(event_id::VARCHAR), 1, 6))::INT % 10000 < 1000
     "pit_two_sets": TWO_SETS,
     "pit_two_sets_hot": TWO_SETS,
     "pit_composite_key": """
-SELECT s.event_id, s.user_id, s.event_type, s.ts, CASE WHEN s.ts <= f.ts + INTERVAL 5 DAY THEN f.value END AS previous
-FROM (SELECT * FROM events WHERE event_id % 3 = 0) s
-ASOF LEFT JOIN (SELECT * FROM events WHERE event_id % 3 <> 0) f
-  ON s.user_id = f.user_id AND s.event_type = f.event_type AND s.ts >= f.ts
+SELECT s.event_id, s.user_id, s.event_type, s.ts, CASE WHEN s.ts <= f.visible + INTERVAL 5 DAY THEN f.value END AS previous
+FROM events s
+ASOF LEFT JOIN (SELECT *, ts + INTERVAL 1 SECOND AS visible FROM events) f
+  ON s.user_id = f.user_id AND s.event_type = f.event_type AND s.ts >= f.visible
 """,
     "pit_ties": TIES,
     "pit_ties_hot": TIES,

@@ -247,14 +247,13 @@ def _pit_two_sets(policy=hs.SkewPolicy()) -> Callable[[SparkSession, str], DataF
 
 
 def pit_composite_key(spark, sf):
-    """Observations find the last event of their user and kind, on two key columns."""
+    """Every event finds the one before of its user and kind, on two key columns."""
     events = _table(spark, sf, "events")
-    spine = events.where("event_id % 3 = 0").select("event_id", "user_id", "event_type", "ts")
     view = hs.FeatureView(
-        events.where("event_id % 3 <> 0").select("user_id", "event_type", "ts", F.col("value").alias("previous")),
-        ["user_id", "event_type"], "ts", ["previous"], timedelta(days=5),
+        events.select("user_id", "event_type", "ts", F.col("value").alias("previous")),
+        ["user_id", "event_type"], "ts", ["previous"], timedelta(days=5), timedelta(seconds=1),
     )
-    return hs.point_in_time(spine, "ts", [view])
+    return hs.point_in_time(events.select("event_id", "user_id", "event_type", "ts"), "ts", [view])
 
 
 def _pit_ties(policy=hs.SkewPolicy()) -> Callable[[SparkSession, str], DataFrame]:
