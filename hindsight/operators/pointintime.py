@@ -49,12 +49,14 @@ def point_in_time(
     views: Sequence[FeatureView],
     policy: SkewPolicy | None = SkewPolicy(),
     shift_by_delay: bool = True,
+    profile: SpineProfile | None = None,
 ) -> DataFrame:
     """The spine's rows and columns, then the features of every view in order.
 
     Each observation is kept once; without a visible feature row, with a NULL key or with
     a NULL time its features are NULL.  Views on the same key columns share one shuffle
-    and one window; `policy=None` skips the profile that looks for hot entities.
+    and one window; `policy=None` skips the jobs that look at the spine and for hot
+    entities.  `profile`: that of the spine, if the views were narrowed to its entities.
     """
     if not views:
         raise ValueError("no feature views given")
@@ -62,10 +64,14 @@ def point_in_time(
     groups: dict[tuple[str, ...], list[FeatureView]] = {}
     for view in views:
         groups.setdefault(tuple(view.keys), []).append(view)
-    whole = _groups_without_nulls(spine, ts, list(groups)) if policy and len(groups) > 1 else set()
+    narrow = policy is not None and profile is None
+    if narrow:
+        profile = profile_spine(spine, ts, list(groups))
     joined = spine
     for keys, members in groups.items():
-        joined = _join_group(joined, ts, list(keys), members, policy, shift_by_delay, keys in whole)
+        whole = profile is not None and profile.unmatchable[keys] == 0
+        wanted = observed_entities(spine, ts, keys, profile, policy) if narrow else None
+        joined = _join_group(joined, ts, list(keys), members, policy, shift_by_delay, whole, wanted)
     return joined.select(*spine.columns, *[o for v in views for o in v.outputs])
 
 
@@ -92,18 +98,48 @@ def _complete(ts: str, keys: Sequence[str]) -> Column:
     return condition
 
 
-def _groups_without_nulls(spine: DataFrame, ts: str, groups: Sequence[tuple[str, ...]]) -> set[tuple[str, ...]]:
-    """Key groups for which every observation can match, so that joining them one after
-    the other does not evaluate the earlier join again just to look for the others."""
-    counts = spine.agg(*[F.count_if(~_complete(ts, keys)).alias(f"g{i}") for i, keys in enumerate(groups)]).first()
-    return {keys for keys, n in zip(groups, counts) if n == 0}
+@dataclass(frozen=True)
+class SpineProfile:
+    """What one pass over the observations tells: first and last time in microseconds, and
+    per tuple of key columns the rows that cannot match and the estimated entities."""
+
+    first: int | None
+    last: int | None
+    unmatchable: dict[tuple[str, ...], int]
+    entities: dict[tuple[str, ...], int]
+
+
+def profile_spine(spine: DataFrame, ts: str, groups: Sequence[tuple[str, ...]]) -> SpineProfile:
+    time = F.unix_micros(F.col(ts).cast("timestamp"))
+    row = spine.agg(
+        F.min(time).alias("first"),
+        F.max(time).alias("last"),
+        *[F.count_if(~_complete(ts, keys)).alias(f"n{i}") for i, keys in enumerate(groups)],
+        *[F.approx_count_distinct(key_hash(keys)).alias(f"e{i}") for i, keys in enumerate(groups)],
+    ).first()
+    return SpineProfile(
+        row["first"], row["last"],
+        {keys: row[f"n{i}"] for i, keys in enumerate(groups)},
+        {keys: row[f"e{i}"] for i, keys in enumerate(groups)},
+    )
+
+
+def observed_entities(
+    spine: DataFrame, ts: str, keys: Sequence[str], profile: SpineProfile, policy: SkewPolicy
+) -> DataFrame | None:
+    """The spine's keys to be broadcast, or None if they are too many for that."""
+    if profile.entities[tuple(keys)] > policy.max_keys:
+        return None
+    return F.broadcast(spine.where(_complete(ts, keys)).select(*keys).distinct())
 
 
-def _join_group(spine, ts, keys, views, policy, shift_by_delay, whole) -> DataFrame:
+def _join_group(spine, ts, keys, views, policy, shift_by_delay, whole, wanted) -> DataFrame:
     """All views with the same keys: one union, one running window, one shuffle.
 
     The observation travels as a struct, so nothing is joined back and duplicates stay.
     Observations that cannot match skip the shuffle altogether; `whole`: there are none.
+    `wanted` holds the keys of the spine, if they are few: other feature rows are left out
+    before the shuffle.
     """
     complete = _complete(ts, keys)
     names = [f"_k{i}" for i in range(len(keys))]
@@ -126,9 +162,12 @@ def _join_group(spine, ts, keys, views, policy, shift_by_delay, whole) -> DataFr
         if shift_by_delay and view.delay:
             visible = visible + F.lit(view.delay)
         shown = F.struct(visible.alias("at"), *[F.col(f).alias(f"v{i}") for i, f in enumerate(view.features)])
-        rows = placed(view.df.where(_complete(view.ts, keys)), visible, 0, **{column: shown})
+        rows, lines = view.df, view.df if view.outline is None else view.outline
+        if wanted is not None:
+            rows, lines = (df.join(wanted, keys, "left_semi") for df in (rows, lines))
+        rows, lines = (df.where(_complete(view.ts, keys)) for df in (rows, lines))
+        rows, lines = placed(rows, visible, 0, **{column: shown}), placed(lines, visible, 0)
         features = rows if features is None else features.unionByName(rows, allowMissingColumns=True)
-        lines = placed((view.df if view.outline is None else view.outline).where(_complete(view.ts, keys)), visible, 0)
         outline = lines if outline is None else outline.unionByName(lines)
 
     routed = _route(obs, features, outline, names, sets, policy) if policy else None

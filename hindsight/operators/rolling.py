@@ -252,7 +252,10 @@ def _attach(base, results, keys, columns, names, policy: SkewPolicy) -> DataFram
 
 
 class RollingTransformer(Transformer):
-    """A feature-set transformer that is a list of rolling aggregates."""
+    """A feature-set transformer that is a list of rolling aggregates.
+
+    `keys` and `longest` tell that it works entity by entity, and how far it looks back.
+    """
 
     def __init__(self, keys, ts, aggs, keep=(), policy: SkewPolicy | None = SkewPolicy()):
         super().__init__()

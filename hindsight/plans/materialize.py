@@ -29,20 +29,33 @@ def _bound(value: Time | None) -> datetime | None:
 
 
 def compute_features(
-    spark: SparkSession, fs: FeatureSet, spans: Sequence[Span] = (EVERYTHING,), untimed: bool = False
+    spark: SparkSession,
+    fs: FeatureSet,
+    spans: Sequence[Span] = (EVERYTHING,),
+    untimed: bool = False,
+    entities: DataFrame | None = None,
 ) -> DataFrame:
     """The feature rows of some time spans, straight from the source.
 
     The source is read from `source_lookback` before each span on (M2), so that frames
-    are complete at its left edge; the spans are cut out afterwards (P14).
+    are complete at its left edge; the spans are cut out afterwards (P14).  `entities`: a
+    table of keys outside of which no rows are wanted; a transformer that works entity by
+    entity, as rolling aggregates do, then sees only their source rows.
     """
     widened = [(None if a is None else a - fs.source_lookback, b) for a, b in spans]
-    features = fs.conform(fs.transform(read_source(spark, fs.source, widened, untimed)))
+    source = read_source(spark, fs.source, widened, untimed)
+    if entities is not None and (fs.transformer is None or set(fs.keys) <= set(getattr(fs.transformer, "keys", ()))):
+        source, entities = _only(source, fs, entities), None
+    features = _only(fs.conform(fs.transform(source)), fs, entities)
     if EVERYTHING in spans:
         return features
     return features.where(within(features, fs.ts, spans, untimed))
 
 
+def _only(df: DataFrame, fs: FeatureSet, entities: DataFrame | None) -> DataFrame:
+    return df if entities is None else df.join(entities, fs.keys, "left_semi")
+
+
 def backfill(fs: FeatureSet, start: Time, end: Time, store: OfflineStore) -> str:
     """Compute and store the window [start, end) (M1). Repeating it replaces its rows."""
     a, b = _bound(start), _bound(end)
@@ -113,9 +126,14 @@ def gaps(covered: Sequence[tuple[datetime, datetime]], span: Span) -> list[Span]
 
 
 def read_features(
-    spark: SparkSession, fs: FeatureSet, store: OfflineStore | None = None, start: Time | None = None, end: Time | None = None
+    spark: SparkSession,
+    fs: FeatureSet,
+    store: OfflineStore | None = None,
+    start: Time | None = None,
+    end: Time | None = None,
+    entities: DataFrame | None = None,
 ) -> DataFrame:
-    """The feature rows of a time span, or all of them.
+    """The feature rows of a time span, or all of them (S4, M4), if given of some entities.
 
     Materialised stretches come from the store, the rest is computed from the source.
     Rows without a time belong to no window; they come with an unlimited read.
@@ -125,14 +143,19 @@ def read_features(
     stored = store.read(fs, span, segments) if segments else None
     missing = gaps(stretches(segments), span)
     untimed = span == EVERYTHING
-    parts = [] if stored is None else [fs.conform(stored)]
+    parts = [] if stored is None else [_only(fs.conform(stored), fs, entities)]
     if missing or untimed or not parts:
-        parts.append(compute_features(spark, fs, missing, untimed))
+        parts.append(compute_features(spark, fs, missing, untimed, entities))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def outline(
-    spark: SparkSession, fs: FeatureSet, store: OfflineStore | None = None, start: Time | None = None, end: Time | None = None
+    spark: SparkSession,
+    fs: FeatureSet,
+    store: OfflineStore | None = None,
+    start: Time | None = None,
+    end: Time | None = None,
+    entities: DataFrame | None = None,
 ) -> DataFrame | None:
     """Keys and time of about the rows of `read_features`, without computing any feature.
 
@@ -148,4 +171,4 @@ def outline(
         return None
     rows = source.select(*fs.keys, fs.ts)
     stored = store.read(fs, span, segments) if segments else None
-    return rows if stored is None else rows.unionByName(stored.select(*fs.keys, fs.ts))
+    return _only(rows if stored is None else rows.unionByName(stored.select(*fs.keys, fs.ts)), fs, entities)

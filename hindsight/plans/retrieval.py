@@ -7,10 +7,8 @@ from collections.abc import Iterable, Mapping, Sequence
 from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from hindsight.operators.metrics import time_coverage
-from hindsight.operators.pointintime import FeatureView, point_in_time
+from hindsight.operators.pointintime import FeatureView, observed_entities, point_in_time, profile_spine
 from hindsight.operators.skew import SkewPolicy
 from hindsight.plans.materialize import outline, read_features
 from hindsight.sources.scan import scan_dataset, write_table
@@ -43,23 +41,24 @@ def get_offline_features(
             raise ValueError(f"unknown feature set {ref.feature_set}:{ref.version}")
         wanted.setdefault((ref.feature_set, ref.version), []).append(ref.feature)
 
-    seen = time_coverage(
-        observations.select(F.unix_micros(F.col(timestamp_column).cast("timestamp")).alias("t")), "t"
-    ).first()
+    profile = profile_spine(observations, timestamp_column, [tuple(known[key].keys) for key in wanted])
     views = []
     for key, names in wanted.items():
         fs = known[key]
         start = end = None
-        if seen.min_ts is not None:
+        if profile.first is not None:
             delay = fs.source.delay if shift_by_delay else timedelta(0)
-            start = (_moment(seen.min_ts) - fs.join_lookback - delay).replace(microsecond=0)
-            end = (_moment(seen.max_ts) - delay).replace(microsecond=0) + timedelta(seconds=1)
-        rows = read_features(spark, fs, store, start, end)
+            start = (_moment(profile.first) - fs.join_lookback - delay).replace(microsecond=0)
+            end = (_moment(profile.last) - delay).replace(microsecond=0) + timedelta(seconds=1)
+        entities = None
+        if policy:
+            entities = observed_entities(observations, timestamp_column, fs.keys, profile, policy)
+        rows = read_features(spark, fs, store, start, end, entities)
         views.append(FeatureView(
             rows, fs.keys, fs.ts, names, fs.join_lookback, fs.source.delay, prefixes.get(fs.name, ""), fs.name,
-            outline(spark, fs, store, start, end) if policy else None,
+            outline(spark, fs, store, start, end, entities) if policy else None,
         ))
-    joined = point_in_time(observations, timestamp_column, views, policy, shift_by_delay)
+    joined = point_in_time(observations, timestamp_column, views, policy, shift_by_delay, profile)
     return joined.select(*observations.columns, *[prefixes.get(r.feature_set, "") + r.feature for r in features])
 
 

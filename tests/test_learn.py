@@ -1,5 +1,5 @@
 import pytest
-from helpers import at, rows, table
+from helpers import at, plan, rows, table
 from pyspark.sql import functions as F
 
 import hindsight as hs
@@ -117,6 +117,12 @@ def test_retrieval_for_training_and_for_a_model(spark, tmp_path):
     training = hs.get_offline_features(spark, refs, sets, spine, "timestamp")
     assert rows(training) == wanted
 
+    text = plan(training)
+    assert "LeftSemi" in text[text.index("sum(transactionAmount"):], "the key filter must lie below the window"
+    unfiltered = hs.get_offline_features(spark, refs, sets, spine, "timestamp", policy=hs.SkewPolicy(max_keys=0))
+    assert "LeftSemi" not in plan(unfiltered) and rows(unfiltered) == wanted
+    assert rows(hs.get_offline_features(spark, refs, sets, spine, "timestamp", policy=None)) == wanted
+
     store = hs.OfflineStore(spark, str(tmp_path / "store"))
     hs.backfill(sets[0], at(days=-2), at(), store)
     assert rows(hs.get_offline_features(spark, refs, sets, spine, "timestamp", store)) == wanted

@@ -226,3 +226,12 @@ def test_outline_has_the_rows_of_the_features(spark, store):
     assert "Window" not in plan(lines)
     renamed = feature_set(transformer=lambda df: df.selectExpr("CAST(acc AS STRING) AS name", "at", "amount"))
     assert outline(spark, replace(renamed, index_columns=(Column("name", "string"),)), store) is None
+
+
+def test_features_of_some_entities(spark, store):
+    few = spark.sql("SELECT explode(array(1L, 3L, 1000L)) AS acc").distinct()
+    hs.backfill(feature_set(), "2024-01-05", "2024-01-08", store)
+    for fs in (feature_set(), feature_set(transformer=lambda df: hs.rolling(df, ["acc"], "at", AGGS))):
+        found = hs.read_features(spark, fs, store, "2024-01-04", "2024-01-12", few)
+        wanted = hs.read_features(spark, fs, store, "2024-01-04", "2024-01-12").where("acc IN (1, 3)")
+        assert rows(found) == rows(wanted) != []

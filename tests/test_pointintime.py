@@ -192,7 +192,7 @@ def test_two_sets_share_one_shuffle_and_one_window(spark):
         )
         for kind, delay in (("click", 0), ("error", 20))
     ]
-    result = hs.point_in_time(spine, "ts", views)
+    result = hs.point_in_time(spine, "ts", views, PLAIN)
     assert (count(result, "Exchange"), count(result, "Sort"), count(result, "Window")) == (1, 1, 1)
     text = plan(result)
     assert "Join" not in text and "CartesianProduct" not in text
@@ -217,3 +217,17 @@ def test_an_instant_that_is_too_large_for_one_task(spark):
     policy = hs.SkewPolicy(hot_rows=25, fraction=1.0)
     assert join(spark, spine, data, policy) == join(spark, spine, data, PLAIN)
     assert join(spark, spine, data, policy)[7] == (4.0, "x")
+
+
+def test_only_feature_rows_of_the_observed_entities_are_shuffled(spark):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    spine = events.where("event_type = 'purchase' AND user_id < 4").select("event_id", "user_id", "ts")
+    rolled = hs.rolling(events, ["user_id"], "ts", [hs.Rolling("n", "count", "event_id", timedelta(days=3))])
+    view = hs.FeatureView(rolled, ["user_id"], "ts", ["n"], delay=timedelta(minutes=1))
+    few, many = hs.SkewPolicy(), hs.SkewPolicy(max_keys=1)
+    filtered = hs.point_in_time(spine, "ts", [view], few)
+    text = plan(filtered)
+    assert "LeftSemi" in text[text.index("Union"):]
+    unfiltered = hs.point_in_time(spine, "ts", [view], many)
+    assert "LeftSemi" not in plan(unfiltered)
+    assert rows(filtered) == rows(unfiltered) == rows(hs.point_in_time(spine, "ts", [view], PLAIN))
