@@ -9,6 +9,7 @@ from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hindsight.functions.columns import require_columns
 from hindsight.operators.skew import SkewPolicy, heavy_groups, inline, is_in, key_hash
@@ -16,6 +17,7 @@ from hindsight.operators.skew import SkewPolicy, heavy_groups, inline, is_in, ke
 MICRO = 1_000_000
 FINEST_FIRST_CELL = 60 * MICRO
 CELLS_PER_TASK = 16
+ROW_BYTES = 16
 
 
 @dataclass(frozen=True)
@@ -101,34 +103,43 @@ def _complete(ts: str, keys: Sequence[str]) -> Column:
 @dataclass(frozen=True)
 class SpineProfile:
     """What one pass over the observations tells: first and last time in microseconds, and
-    per tuple of key columns the rows that cannot match and the estimated entities."""
+    per tuple of key columns the rows that cannot match and a bound on the size of the
+    distinct keys, up to the few percent of the distinct count's own error."""
 
     first: int | None
     last: int | None
     unmatchable: dict[tuple[str, ...], int]
-    entities: dict[tuple[str, ...], int]
+    key_bytes: dict[tuple[str, ...], int]
 
 
 def profile_spine(spine: DataFrame, ts: str, groups: Sequence[tuple[str, ...]]) -> SpineProfile:
     time = F.unix_micros(F.col(ts).cast("timestamp"))
+
+    def longest(key: str) -> Column:
+        measured = isinstance(spine.schema[key].dataType, (T.StringType, T.BinaryType))
+        return F.coalesce(F.max(F.octet_length(key)), F.lit(0)) if measured else F.lit(8)
+
     row = spine.agg(
         F.min(time).alias("first"),
         F.max(time).alias("last"),
         *[F.count_if(~_complete(ts, keys)).alias(f"n{i}") for i, keys in enumerate(groups)],
-        *[F.approx_count_distinct(key_hash(keys)).alias(f"e{i}") for i, keys in enumerate(groups)],
+        *[
+            (F.approx_count_distinct(key_hash(keys)) * sum((longest(k) for k in keys), F.lit(ROW_BYTES))).alias(f"b{i}")
+            for i, keys in enumerate(groups)
+        ],
     ).first()
     return SpineProfile(
         row["first"], row["last"],
         {keys: row[f"n{i}"] for i, keys in enumerate(groups)},
-        {keys: row[f"e{i}"] for i, keys in enumerate(groups)},
+        {keys: row[f"b{i}"] for i, keys in enumerate(groups)},
     )
 
 
 def observed_entities(
     spine: DataFrame, ts: str, keys: Sequence[str], profile: SpineProfile, policy: SkewPolicy
 ) -> DataFrame | None:
-    """The spine's keys to be broadcast, or None if they are too many for that."""
-    if profile.entities[tuple(keys)] > policy.max_keys:
+    """The spine's keys to be broadcast, or None if they are too large for that."""
+    if profile.key_bytes[tuple(keys)] > policy.broadcast_bytes:
         return None
     return F.broadcast(spine.where(_complete(ts, keys)).select(*keys).distinct())
 

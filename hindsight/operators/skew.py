@@ -24,8 +24,8 @@ class SkewPolicy:
         same time at about 350 rows.
     hot_rows: rows one task should hold; larger keys and instants are split.
     max_groups: upper length of every list brought to the driver.
-    max_keys: entities of an observation table, by estimate, up to which its keys are
-        broadcast to read only their feature rows.
+    broadcast_bytes: size, as distinct keys times the longest key, up to which the keys of
+        an observation table are broadcast to read only their feature rows.
     fraction: share of the rows a profile counts, which keeps its own shuffle far below
         that of the operator.  Results never depend on it.
     """
@@ -33,7 +33,7 @@ class SkewPolicy:
     dense_rows: int = 500
     hot_rows: int = 4_000_000
     max_groups: int = 10_000
-    max_keys: int = 1_000_000
+    broadcast_bytes: int = 64 << 20
     fraction: float = 0.1
 
     def sampled(self, df: DataFrame) -> DataFrame:

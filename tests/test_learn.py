@@ -119,7 +119,7 @@ def test_retrieval_for_training_and_for_a_model(spark, tmp_path):
 
     text = plan(training)
     assert "LeftSemi" in text[text.index("sum(transactionAmount"):], "the key filter must lie below the window"
-    unfiltered = hs.get_offline_features(spark, refs, sets, spine, "timestamp", policy=hs.SkewPolicy(max_keys=0))
+    unfiltered = hs.get_offline_features(spark, refs, sets, spine, "timestamp", policy=hs.SkewPolicy(broadcast_bytes=0))
     assert "LeftSemi" not in plan(unfiltered) and rows(unfiltered) == wanted
     assert rows(hs.get_offline_features(spark, refs, sets, spine, "timestamp", policy=None)) == wanted
 

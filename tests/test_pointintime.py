@@ -224,7 +224,7 @@ def test_only_feature_rows_of_the_observed_entities_are_shuffled(spark):
     spine = events.where("event_type = 'purchase' AND user_id < 4").select("event_id", "user_id", "ts")
     rolled = hs.rolling(events, ["user_id"], "ts", [hs.Rolling("n", "count", "event_id", timedelta(days=3))])
     view = hs.FeatureView(rolled, ["user_id"], "ts", ["n"], delay=timedelta(minutes=1))
-    few, many = hs.SkewPolicy(), hs.SkewPolicy(max_keys=1)
+    few, many = hs.SkewPolicy(), hs.SkewPolicy(broadcast_bytes=50)
     filtered = hs.point_in_time(spine, "ts", [view], few)
     text = plan(filtered)
     assert "LeftSemi" in text[text.index("Union"):]
