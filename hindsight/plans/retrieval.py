@@ -12,7 +12,7 @@ from hindsight.operators.pointintime import FeatureView, observed_entities, poin
 from hindsight.operators.skew import SkewPolicy
 from hindsight.plans.materialize import outline, read_features
 from hindsight.sources.scan import scan_dataset, write_table
-from hindsight.sources.store import OfflineStore, _moment
+from hindsight.sources.store import OfflineStore, from_micros
 from hindsight.spec.model import FeatureRef, FeatureSet, RetrievalSpec
 
 
@@ -48,8 +48,8 @@ def get_offline_features(
         start = end = None
         if profile.first is not None:
             delay = fs.source.delay if shift_by_delay else timedelta(0)
-            start = (_moment(profile.first) - fs.join_lookback - delay).replace(microsecond=0)
-            end = (_moment(profile.last) - delay).replace(microsecond=0) + timedelta(seconds=1)
+            start = (from_micros(profile.first) - fs.join_lookback - delay).replace(microsecond=0)
+            end = (from_micros(profile.last) - delay).replace(microsecond=0) + timedelta(seconds=1)
         entities = None
         if policy:
             entities = observed_entities(observations, timestamp_column, fs.keys, profile, policy)

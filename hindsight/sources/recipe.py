@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from hindsight.functions import columns as C
 from hindsight.sources.scan import scan
-from hindsight.spec.model import _dump, _parse, read_text, write_text
+from hindsight.spec.model import dump_text, parse_text, read_text, write_text
 
 # File name, type and default path column of a saved recipe.
 RECIPE_FILE = "MLTable"
@@ -72,11 +72,11 @@ class Recipe:
             "paths": [{"pattern": p} for p in self.paths],
             "transformations": [{"read_parquet": read}, *[{name: argument} for name, argument in self.steps]],
         }
-        write_text(spark, _dump(content), f"{folder}/{RECIPE_FILE}")
+        write_text(spark, dump_text(content), f"{folder}/{RECIPE_FILE}")
 
     @classmethod
     def open(cls, spark: SparkSession, folder: str) -> Recipe:
-        content = _parse(read_text(spark, f"{folder}/{RECIPE_FILE}"))
+        content = parse_text(read_text(spark, f"{folder}/{RECIPE_FILE}"))
         recipe = cls(tuple(p.get("pattern") or p.get("file") or p["folder"] for p in content["paths"]))
         for step in content.get("transformations", []):
             [(name, argument)] = step.items()

@@ -70,7 +70,7 @@ class OfflineStore:
             for start, end, run in pieces:
                 kept += [(start, min(end, row.start), run), (max(start, row.end), end, run)]
             pieces = sorted([p for p in kept if p[0] < p[1]] + [(row.start, row.end, row.run)])
-        return [Segment(_moment(a), _moment(b), run) for a, b, run in pieces]
+        return [Segment(from_micros(a), from_micros(b), run) for a, b, run in pieces]
 
     def covered(self, fs: FeatureSet) -> list[tuple[datetime, datetime]]:
         """Materialised stretches, neighbours joined."""
@@ -158,5 +158,5 @@ def stretches(segments: Sequence[Segment]) -> list[tuple[datetime, datetime]]:
     return merged
 
 
-def _moment(micros: int) -> datetime:
+def from_micros(micros: int) -> datetime:
     return datetime(1970, 1, 1) + timedelta(microseconds=micros)

@@ -155,12 +155,12 @@ class RetrievalSpec:
 
     def text(self) -> str:
         entries = [{"feature_name": f.feature, "feature_set": f"{f.feature_set}:{f.version}"} for f in self.features]
-        return _dump({"feature_stores": [{"features": entries}], "serialization_version": 2})
+        return dump_text({"feature_stores": [{"features": entries}], "serialization_version": 2})
 
     @classmethod
     def parse(cls, text: str) -> RetrievalSpec:
         refs = []
-        for store in _parse(text)["feature_stores"]:
+        for store in parse_text(text)["feature_stores"]:
             for entry in store["features"]:
                 name, _, version = entry["feature_set"].rpartition(":")
                 refs.append(FeatureRef(entry["feature_name"], name, version))
@@ -184,13 +184,13 @@ def write_text(spark: SparkSession, text: str, path: str) -> None:
     spark.range(0, 1, 1, 1).select(F.lit(text).alias("value")).write.mode("overwrite").text(path)
 
 
-def _parse(text: str) -> dict:
+def parse_text(text: str) -> dict:
     if yaml is not None:
         return yaml.safe_load(text)
     return json.loads(text)
 
 
-def _dump(value: dict) -> str:
+def dump_text(value: dict) -> str:
     """JSON is YAML too, so files can be read with and without a YAML library."""
     return json.dumps(value, indent=2)
 
@@ -222,7 +222,7 @@ def load_config(path: str | Path, transformers: Mapping[str, Any] | None = None)
     are loaded from the configured code folder.  A feature set must have the index columns
     of its entities, as far as they are in the file.
     """
-    config = _parse(Path(path).read_text())
+    config = parse_text(Path(path).read_text())
     entities = [
         Entity(e["name"], str(e["version"]), _columns(e["index_columns"]), e.get("description", ""), e.get("tags", {}))
         for e in config.get("entities", [])
@@ -264,7 +264,7 @@ def load_feature_set(
     path: str | Path, name: str, version: str, transformers: Mapping[str, Any] | None = None
 ) -> FeatureSet:
     """A feature set from an exported spec file; its code folder lies beside the file."""
-    c = _parse(Path(path).read_text())
+    c = parse_text(Path(path).read_text())
     transformer = None
     if code := c.get("feature_transformation_code"):
         class_name = code["transformer_class"]

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 import hindsight as hs
+from hindsight.plans.learn import training_matrix as make_numeric
 from hindsight.session import prepare, shared_folder
 from hindsight.sources.scan import write_table
 from hindsight.spec.model import Column
@@ -338,9 +339,7 @@ def training_matrix(spark, sf):
     rows, _, folder = _retrieved(spark, sf)
     hs.write_dataset(rows, hs.RetrievalSpec(tuple(REQUESTED)), f"{folder}/training")
     data, spec = hs.read_dataset(spark, f"{folder}/training")
-    from hindsight.plans.learn import training_matrix as matrix
-
-    return _rounded(matrix(data, [f.feature for f in spec.features], "is_fraud"))
+    return _rounded(make_numeric(data, [f.feature for f in spec.features], "is_fraud"))
 
 
 def inference_dataset(spark, sf):
