@@ -2,6 +2,8 @@ import pytest
 from compare import database, difference
 
 from __spark_entry__ import entry, oracle_sql, queries
+from workloads.oracle import ORACLE
+from workloads.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -13,16 +15,17 @@ def con():
 
 def test_every_query_has_sql_or_a_reason():
     without = {"sample_rows", "rf_score"}  # random numbers and a fitted model
-    assert set(queries()) - set(oracle_sql()) == without
+    assert set(QUERIES) - set(ORACLE) == without
     assert set(oracle_sql()) <= set(queries())
+    assert set(QUERIES) <= set(queries())
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_its_sql(spark, con, name):
     assert difference(queries()[name](spark, SF).toPandas(), con.execute(oracle_sql()[name]).df()) == ""
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - set(oracle_sql())))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_query_without_sql_runs(spark, name):
     assert queries()[name](spark, SF).count() > 0
 
