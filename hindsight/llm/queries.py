@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from hindsight.llm.bpe import round_trips
+from hindsight.llm.packing import pack
 from hindsight.llm.quality import quality_rules
 from hindsight.llm.shared import table
 
@@ -15,6 +18,19 @@ def op1_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality_rules(table(spark, sf, "documents"))
 
 
+def op9_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents in sequences of 2048 tokens."""
+    return pack(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op10_byte_level_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids of all documents and what they decode to, as digests."""
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return round_trips(table(spark, sf, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_byte_level_bpe": op10_byte_level_bpe,
 }
