@@ -8,6 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from hindsight.llm.bpe import round_trips
+from hindsight.llm.jaccard import similar_documents
+from hindsight.llm.language import identify
+from hindsight.llm.lm import cross_entropy_difference
 from hindsight.llm.packing import pack
 from hindsight.llm.quality import quality_rules
 from hindsight.llm.shared import table
@@ -18,6 +21,22 @@ def op1_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality_rules(table(spark, sf, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    """Language of all documents, learned from three fourths of them."""
+    return identify(table(spark, sf, "documents"))
+
+
+def op5_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents, scored for being like those that are labelled good."""
+    good = table(spark, sf, "labels").where("quality = 1")
+    return cross_entropy_difference(table(spark, sf, "documents"), good)
+
+
+def op6_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    """Components of all documents linked by their 5-word shingles."""
+    return similar_documents(table(spark, sf, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     """All documents in sequences of 2048 tokens."""
     return pack(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -31,6 +50,9 @@ def op10_byte_level_bpe(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op4_language_id": op4_language_id,
+    "op5_lm_scoring": op5_lm_scoring,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_byte_level_bpe": op10_byte_level_bpe,
 }
