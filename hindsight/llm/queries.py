@@ -14,6 +14,7 @@ from hindsight.llm.lm import cross_entropy_difference
 from hindsight.llm.packing import pack
 from hindsight.llm.quality import quality_rules
 from hindsight.llm.shared import table
+from hindsight.llm.suffix import repeated_strings
 
 
 def op1_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
@@ -21,6 +22,11 @@ def op1_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality_rules(table(spark, sf, "documents"))
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """What is left of all documents without strings of 50 bytes that earlier ones have."""
+    return repeated_strings(table(spark, sf, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf: str) -> DataFrame:
     """Language of all documents, learned from three fourths of them."""
     return identify(table(spark, sf, "documents"))
@@ -50,6 +56,7 @@ def op10_byte_level_bpe(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op4_language_id": op4_language_id,
     "op5_lm_scoring": op5_lm_scoring,
     "op6_ngram_jaccard": op6_ngram_jaccard,
