@@ -34,6 +34,20 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND coalesce(host_kept, true) AS kept, coalesce(host_kept, true) AS host_kept
 FROM f LEFT JOIN v USING (source)"""
 
+TOOL_CALLS = """
+WITH m AS (SELECT conv_id, turn, role, text FROM conversations),
+calls AS (SELECT conv_id, turn, 'call_' || conv_id || '_' || turn AS call_id, text FROM m WHERE role = 'user'),
+results AS (SELECT conv_id, turn, 'call_' || conv_id || '_' || (turn - 1) AS call_id, text FROM m WHERE role = 'assistant')
+SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.turn, r.turn) AS turn, coalesce(c.call_id, r.call_id) AS call_id,
+  CASE WHEN c.turn IS NULL THEN 'orphan' WHEN r.turn IS NULL THEN 'no result' ELSE 'linked' END AS status,
+  coalesce(r.turn, -1) AS result_turn, coalesce(c.turn, -1) AS rank, CASE WHEN c.turn IS NULL THEN -1 ELSE 0 END::BIGINT AS hop,
+  CASE WHEN c.turn IS NOT NULL AND c.text IS NULL THEN 'prompt: no string' ELSE '' END AS errors,
+  CASE WHEN c.turn IS NULL THEN '{"id":"' || r.call_id || '","result":' || coalesce(to_json(r.text)::VARCHAR, 'null') || '}'
+  ELSE '{"arguments":{"prompt":' || coalesce(to_json(c.text)::VARCHAR, 'null') || ',"turn":' || c.turn || '},"id":"' || c.call_id
+    || '","name":"reply","result":' || coalesce(to_json(r.text)::VARCHAR, 'null') || '}' END AS json
+FROM calls c FULL JOIN results r ON c.conv_id = r.conv_id AND c.call_id = r.call_id"""
+
 ORACLE = {
+    "op8_tool_call_linking": TOOL_CALLS,
     "op1_quality_rules": QUALITY,
 }

@@ -18,6 +18,7 @@ from hindsight.llm.pseudonyms import pseudonyms
 from hindsight.llm.quality import quality_rules
 from hindsight.llm.shared import table
 from hindsight.llm.suffix import repeated_strings
+from hindsight.llm.toolcalls import conversation_calls
 
 #: Whoever runs this on real texts passes a secret; this one makes results comparable.
 PSEUDONYM_KEY = "key of the test tables"
@@ -59,6 +60,11 @@ def op7_feistel_pseudonyms(spark: SparkSession, sf: str) -> DataFrame:
     return pseudonyms(table(spark, sf, "documents"), PSEUDONYM_KEY)
 
 
+def op8_tool_call_linking(spark: SparkSession, sf: str) -> DataFrame:
+    """All turns of conversations as calls and results."""
+    return conversation_calls(table(spark, sf, "conversations"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     """All documents in sequences of 2048 tokens."""
     return pack(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -78,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_lm_scoring": op5_lm_scoring,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_feistel_pseudonyms": op7_feistel_pseudonyms,
+    "op8_tool_call_linking": op8_tool_call_linking,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_byte_level_bpe": op10_byte_level_bpe,
 }
