@@ -64,9 +64,13 @@ def key_bucket(key: str, buckets: int = 100) -> Column:
     return F.conv(digits, 16, 10).cast("long") % buckets
 
 
-def sample_by_key(df: DataFrame, key: str, probability: float, resolution: int = 10_000) -> DataFrame:
-    """Sample whole keys, repeatable under any partitioning (P5)."""
-    return df.where(key_bucket(key, resolution) < round(probability * resolution))
+def sample_by_key(df: DataFrame, key: str, probability: float) -> DataFrame:
+    """Sample whole keys, repeatable under any partitioning (P5).
+
+    Of 2**48 buckets of keys, as many as the probability says are kept.
+    """
+    bucket = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 12), 16, 10).cast("long")
+    return df.where(bucket < round(probability * 2**48))
 
 
 def to_bool(

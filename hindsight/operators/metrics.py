@@ -14,10 +14,9 @@ def time_coverage(df: DataFrame, ts: str) -> DataFrame:
 
 
 def confusion(df: DataFrame, label: str, prediction: str) -> DataFrame:
-    """Row count of every (label, prediction) pair that occurs (A5)."""
-    return df.groupBy(F.col(label).cast("int").alias("label"), F.col(prediction).cast("int").alias("prediction")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    """Row count of every (label, prediction) pair that occurs (A5), without NULLs as in `evaluate`."""
+    pairs = df.select(F.col(label).cast("int").alias("label"), F.col(prediction).cast("int").alias("prediction"))
+    return pairs.dropna().groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n"))
 
 
 def evaluate(df: DataFrame, label: str, prediction: str) -> DataFrame:

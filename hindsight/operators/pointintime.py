@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hindsight.functions.columns import require_columns
+from hindsight.session import require_utc
 from hindsight.operators.skew import SkewPolicy, heavy_groups, inline, is_in, key_hash
 
 MICRO = 1_000_000
@@ -62,6 +63,7 @@ def point_in_time(
     """
     if not views:
         raise ValueError("no feature views given")
+    require_utc(spine.sparkSession)
     _check(spine, ts, views)
     groups: dict[tuple[str, ...], list[FeatureView]] = {}
     for view in views:
@@ -71,9 +73,8 @@ def point_in_time(
         profile = profile_spine(spine, ts, list(groups))
     joined = spine
     for keys, members in groups.items():
-        whole = profile is not None and profile.unmatchable[keys] == 0
         wanted = observed_entities(spine, ts, keys, profile, policy) if narrow else None
-        joined = _join_group(joined, ts, list(keys), members, policy, shift_by_delay, whole, wanted)
+        joined = _join_group(joined, ts, list(keys), members, policy, shift_by_delay, wanted)
     return joined.select(*spine.columns, *[o for v in views for o in v.outputs])
 
 
@@ -144,11 +145,11 @@ def observed_entities(
     return F.broadcast(spine.where(_complete(ts, keys)).select(*keys).distinct())
 
 
-def _join_group(spine, ts, keys, views, policy, shift_by_delay, whole, wanted) -> DataFrame:
+def _join_group(spine, ts, keys, views, policy, shift_by_delay, wanted) -> DataFrame:
     """All views with the same keys: one union, one running window, one shuffle.
 
     The observation travels as a struct, so nothing is joined back and duplicates stay.
-    Observations that cannot match skip the shuffle altogether; `whole`: there are none.
+    Observations that cannot match skip the shuffle altogether.
     `wanted` holds the keys of the spine, if they are few: other feature rows are left out
     before the shuffle.
     """
@@ -196,8 +197,6 @@ def _join_group(spine, ts, keys, views, policy, shift_by_delay, whole, wanted) -
 
     outputs = [(v, c, i, o) for v, c in zip(views, sets) for i, o in enumerate(v.outputs)]
     result = matched.select(*[F.col(f"_obs.`{c}`").alias(c) for c in spine.columns], *[feature(*o) for o in outputs])
-    if whole:
-        return result
     types = {f.name: f.dataType for f in result.schema}
     unmatchable = spine.where(~complete).select(
         *spine.columns, *[F.lit(None).cast(types[o]).alias(o) for _, _, _, o in outputs]

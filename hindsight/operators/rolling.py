@@ -81,12 +81,59 @@ def rolling(
     return ordinary.unionByName(crowded)
 
 
+def _parts(schema, aggs) -> dict[str, dict[str, Column]]:
+    """For each aggregated column, what is summed up: its values, or exact parts of them.
+
+    A floating number is cut into a whole number of millionths, as two longs, and what is
+    left.  Sums of the longs do not depend on the order, so neither do those of numbers below
+    2**31 with up to six decimals; others depend on it by the rounding of what is left.
+    """
+    out: dict[str, dict[str, Column]] = {}
+    for i, column in enumerate(dict.fromkeys(a.column for a in aggs)):
+        c = F.col(column)
+        parts = {f"__n{i}": F.when(c.isNotNull(), 1)}
+        if any(a.column == column and a.func != "count" for a in aggs):
+            if schema[column].dataType.typeName() in ("double", "float"):
+                x = c.cast("double")
+                fits = F.abs(x) < float(1 << 31)
+                millionths = F.when(fits, F.round(x * 1e6).cast("long")).otherwise(F.lit(0).cast("long"))
+                high = F.floor(millionths / float(1 << 26)).cast("long")
+                parts[f"__h{i}"] = F.when(c.isNotNull(), high)
+                parts[f"__l{i}"] = F.when(c.isNotNull(), millionths - high * (1 << 26))
+                parts[f"__s{i}"] = x - millionths / 1e6
+            else:
+                parts[f"__s{i}"] = c
+        out[column] = parts
+    return out
+
+
+def _result(a: Rolling, i: int, exact: bool, total, dtype) -> Column:
+    """The aggregate from the totals of its column's parts."""
+    n = total(f"__n{i}")
+    if a.func == "count":
+        return F.coalesce(n, F.lit(0)).cast(dtype).alias(a.name)
+    value = total(f"__s{i}")
+    if exact:
+        value = (total(f"__h{i}") * float(1 << 26) + total(f"__l{i}")) / 1e6 + value
+    return F.when(n > 0, value if a.func == "sum" else value / n).cast(dtype).alias(a.name)
+
+
+def _types(base, aggs) -> dict:
+    """The types that Spark gives these aggregates."""
+    return {f.name: f.dataType for f in base.select(*[FUNCTIONS[a.func](a.column).alias(a.name) for a in aggs]).schema}
+
+
 def _plain(base, keys, ts, aggs, keep) -> DataFrame:
     ordered = Window.partitionBy(*keys).orderBy("__sec")
-    return base.select(
-        *dict.fromkeys([*keys, ts, *keep]),
-        *[FUNCTIONS[a.func](a.column).over(ordered.rangeBetween(-a.seconds, 0)).alias(a.name) for a in aggs],
-    )
+    parts, types = _parts(base.schema, aggs), _types(base, aggs)
+    cut = base.withColumns({name: c for some in parts.values() for name, c in some.items()})
+
+    def result(a: Rolling) -> Column:
+        frame = ordered.rangeBetween(-a.seconds, 0)
+        i = list(parts).index(a.column)
+        return _result(a, i, f"__h{i}" in parts[a.column], lambda p: F.sum(p).over(frame), types[a.name])
+
+    return cut.select(*dict.fromkeys([*keys, ts, *keep]), *map(result, aggs))
 
 
 def _dense_keys(base, keys, longest: int, policy: SkewPolicy) -> dict[int, int]:
@@ -95,15 +142,15 @@ def _dense_keys(base, keys, longest: int, policy: SkewPolicy) -> dict[int, int]:
     At most max_groups + 1 keys.  Dense keys beyond the list use the plain form, unless
     even the last one listed is so dense that every key is better off in tiles.
     """
-    stretch = policy.sampled(base).select(
+    stretch = base.select(
         key_hash(keys).alias("h"), F.expr(f"(__sec - pmod(__sec, {longest})) div {longest}").alias("b")
     )
     rows = (
         stretch.groupBy("h", "b")
         .count()
-        .where(F.col("count") > policy.expected(policy.dense_rows))
+        .where(F.col("count") > policy.dense_rows)
         .groupBy("h")
-        .agg((F.max("count") / min(policy.fraction, 1.0)).cast("long").alias("n"))
+        .agg(F.max("count").alias("n"))
         .orderBy(F.desc("n"), "h")
         .limit(policy.max_groups + 1)
         .collect()
@@ -124,18 +171,13 @@ def _tiled(base, keys, ts, aggs, keep, policy: SkewPolicy) -> DataFrame:
     duration, a frame is: the end of its first tile, whole tiles, the start of its last
     tile.  The start is a running sum in the tile; the end is a running sum, backwards, of
     copies moved one duration ahead into the same tile; the whole tiles are summed over
-    one row per tile.  Nothing is subtracted, so doubles keep their accuracy.
+    one row per tile.  Nothing is subtracted, so doubles keep their accuracy; what is summed
+    are the same parts as in the plain form (`_parts`).
     """
     tile = _tile_length(aggs)
     durations = sorted({a.seconds for a in aggs})
-    summed = {a.column for a in aggs if a.func != "count"}
-    index = {c: i for i, c in enumerate(dict.fromkeys(a.column for a in aggs))}
-
-    partials: dict[str, Column] = {}
-    for column, i in index.items():
-        partials[f"__n{i}"] = F.count(column)
-        if column in summed:
-            partials[f"__s{i}"] = F.sum(column)
+    parts = _parts(base.schema, aggs)
+    partials = {name: F.sum(c) for some in parts.values() for name, c in some.items()}
     seconds = (
         base.groupBy(*keys, "__sec")
         .agg(*[c.alias(name) for name, c in partials.items()])
@@ -183,7 +225,7 @@ def _tiled(base, keys, ts, aggs, keep, policy: SkewPolicy) -> DataFrame:
     upward = within.orderBy("__pos").rangeBetween(Window.unboundedPreceding, 0)
     downward = within.orderBy(F.desc("__pos")).rangeBetween(Window.unboundedPreceding, 0)
     both = placed.unionByName(totals, allowMissingColumns=True) if max(durations) > tile else placed
-    parts = both.select(
+    framed = both.select(
         *keys,
         "__pos",
         "__kind",
@@ -208,18 +250,13 @@ def _tiled(base, keys, ts, aggs, keep, policy: SkewPolicy) -> DataFrame:
             added = added + F.coalesce(F.col(piece), F.lit(0))
         return added
 
-    types = {f.name: f.dataType for f in _plain(base, keys, ts, aggs, ()).schema}
+    types = _types(base, aggs)
 
     def result(a: Rolling) -> Column:
-        n = total(a.seconds, f"__n{index[a.column]}")
-        if a.func == "count":
-            value = n
-        else:
-            value = total(a.seconds, f"__s{index[a.column]}")
-            value = F.when(n > 0, value if a.func == "sum" else value / n)
-        return value.cast(types[a.name]).alias(a.name)
-
-    results = parts.select(*[F.col(k).alias(f"__r_{k}") for k in keys], F.col("__pos").alias("__at"), *map(result, aggs))
+        i = list(parts).index(a.column)
+        return _result(a, i, f"__h{i}" in parts[a.column], lambda p: total(a.seconds, p), types[a.name])
+
+    results = framed.select(*[F.col(k).alias(f"__r_{k}") for k in keys], F.col("__pos").alias("__at"), *map(result, aggs))
     return _attach(base, results, keys, [*dict.fromkeys([*keys, ts, *keep])], [a.name for a in aggs], policy)
 
 
@@ -251,12 +288,20 @@ def _attach(base, results, keys, columns, names, policy: SkewPolicy) -> DataFram
     return hot.select(*columns, *names).unionByName(rest.select(*columns, *names))
 
 
-class RollingTransformer(Transformer):
-    """A feature-set transformer that is a list of rolling aggregates.
+class EntityWise:
+    """A declaration of transformers: each output row depends on rows of its own entity only.
 
-    `keys` and `longest` tell that it works entity by entity, and how far it looks back.
+    keys: the columns that name the entity.  longest: how far before an output row's time
+    those rows can lie.  Feature sets then read no more of their source than that.
     """
 
+    keys: list[str]
+    longest: timedelta
+
+
+class RollingTransformer(Transformer, EntityWise):
+    """A feature-set transformer that is a list of rolling aggregates."""
+
     def __init__(self, keys, ts, aggs, keep=(), policy: SkewPolicy | None = SkewPolicy()):
         super().__init__()
         self.keys, self.ts, self.aggs, self.keep, self.policy = list(keys), ts, list(aggs), list(keep), policy

@@ -2,8 +2,8 @@
 
 Every profile below returns a list with a fixed upper length to the driver; the lists
 only choose the physical route of a row, never whether it is kept.  All routes of an
-operator give the same result and every row takes exactly one, so the profile itself may
-look at a part of the rows: a key it misses is joined or summed by the plain route.
+operator give the same result and every row takes exactly one.  A profile counts all rows;
+a key beyond its list is joined or summed by the plain route.
 """
 
 from __future__ import annotations
@@ -26,22 +26,12 @@ class SkewPolicy:
     max_groups: upper length of every list brought to the driver.
     broadcast_bytes: size, as distinct keys times the longest key, up to which the keys of
         an observation table are broadcast to read only their feature rows.
-    fraction: share of the rows a profile counts, which keeps its own shuffle far below
-        that of the operator.  Results never depend on it.
     """
 
     dense_rows: int = 500
     hot_rows: int = 4_000_000
     max_groups: int = 10_000
     broadcast_bytes: int = 64 << 20
-    fraction: float = 0.1
-
-    def sampled(self, df: DataFrame) -> DataFrame:
-        return df if self.fraction >= 1.0 else df.sample(self.fraction, seed=0)
-
-    def expected(self, rows: int) -> float:
-        """Threshold on a sampled count that stands for `rows` real rows."""
-        return rows * min(self.fraction, 1.0)
 
 
 def key_hash(keys: Sequence[str]) -> Column:
@@ -54,11 +44,9 @@ def heavy_groups(
 ) -> list[Row]:
     """The largest groups with more than `min_rows` rows: their columns, `n` and `extra`."""
     return (
-        policy.sampled(df)
-        .groupBy(*by)
+        df.groupBy(*by)
         .agg(F.count(F.lit(1)).alias("n"), *extra)
-        .where(F.col("n") > policy.expected(min_rows))
-        .withColumn("n", (F.col("n") / min(policy.fraction, 1.0)).cast("long"))
+        .where(F.col("n") > min_rows)
         .orderBy(F.desc("n"), *by)
         .limit(policy.max_groups)
         .collect()

@@ -12,6 +12,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 
 from hindsight.functions.columns import utc_time
+from hindsight.operators.rolling import EntityWise
 from hindsight.sources.scan import EVERYTHING, Span, read_source, within
 from hindsight.sources.store import OfflineStore, stretches
 from hindsight.spec.model import FeatureSet
@@ -38,13 +39,16 @@ def compute_features(
     """The feature rows of some time spans, straight from the source.
 
     The source is read from `source_lookback` before each span on (M2), so that frames
-    are complete at its left edge; the spans are cut out afterwards (P14).  `entities`: a
-    table of keys outside of which no rows are wanted; a transformer that works entity by
-    entity, as rolling aggregates do, then sees only their source rows.
+    are complete at its left edge, or from where its frames begin if the transformer
+    declares that (`EntityWise`); the spans are cut out afterwards (P14).  `entities`: a
+    table of keys outside of which no rows are wanted; a transformer that declares to work
+    entity by entity, as rolling aggregates do, then sees only their source rows.
     """
-    widened = [(None if a is None else a - fs.source_lookback, b) for a, b in spans]
+    own = fs.transformer if isinstance(fs.transformer, EntityWise) else None
+    back = fs.source_lookback if own is None else min(fs.source_lookback, own.longest)
+    widened = [(None if a is None else a - back, b) for a, b in spans]
     source = read_source(spark, fs.source, widened, untimed)
-    if entities is not None and (fs.transformer is None or set(fs.keys) <= set(getattr(fs.transformer, "keys", ()))):
+    if entities is not None and (fs.transformer is None or own is not None and set(fs.keys) <= set(own.keys)):
         source, entities = _only(source, fs, entities), None
     features = _only(fs.conform(fs.transform(source)), fs, entities)
     if EVERYTHING in spans:

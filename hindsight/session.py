@@ -22,10 +22,29 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one the cluster names in spark.checkpoint.dir.
+UTC = {"utc", "etc/utc", "gmt", "z", "+00:00", "utc+00:00", "gmt+00:00", "etc/gmt", "zulu", "etc/zulu", "uct", "etc/uct"}
 
-    Only where that is unset, as in tests, a temporary folder takes its place.
+
+def require_utc(spark: SparkSession) -> None:
+    """Raise unless the session's zone is UTC, in which stored times, days and windows are read.
+
+    In another zone rows would fall out of their days without an error.
+    """
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    if zone.lower() not in UTC:
+        raise ValueError(f"the session's zone is {zone!r}; set spark.sql.session.timeZone to UTC (hindsight.session.prepare)")
+
+
+def shared_folder(spark: SparkSession, base: str | None = None) -> str:
+    """A new folder below `base`, or below the one the cluster names in spark.checkpoint.dir.
+
+    Only a session in one process may do without, as in tests: a temporary folder takes its
+    place.  On a cluster each executor would write to a folder of its own.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="hindsight-")
+    base = base or spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"no shared folder: set spark.checkpoint.dir (the master is {master!r})")
+        base = tempfile.mkdtemp(prefix="hindsight-")
     return f"{base.rstrip('/')}/hindsight-{uuid.uuid4().hex}"

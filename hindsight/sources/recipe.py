@@ -31,7 +31,7 @@ STEPS = {
     "take_random_sample": lambda df, probability, seed: C.sample_rows(df, probability, seed),
     "filter": C.filter_rows,
     "drop_columns": C.drop_columns,
-    "keep_columns": lambda df, names: C.pick(df, *names),
+    "keep_columns": lambda df, names: C.pick(df, *names, *[PATH for c in df.columns if c == PATH and PATH not in names]),
     "convert_column_types": _convert,
     "extract_columns_from_partition_format": lambda df, pattern: C.path_columns(df, pattern, F.col(PATH)),
 }

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hindsight.functions.columns import require_columns, time_literal
+from hindsight.session import require_utc
 from hindsight.spec.model import Source
 
 
@@ -39,6 +40,7 @@ def read_source(
     The limits are compared with the stored column in its stored type, so they reach the
     parquet reader.  Rows without a time are read with everything, or if `untimed`.
     """
+    require_utc(spark)
     df = scan(spark, source.path)
     column = source.timestamp_column
     if column is not None:

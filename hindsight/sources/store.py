@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hindsight.functions.columns import time_literal
+from hindsight.session import require_utc
 from hindsight.sources.scan import EVERYTHING, Span, within
 from hindsight.spec.model import FeatureSet
 
@@ -78,6 +79,7 @@ class OfflineStore:
 
     def write(self, fs: FeatureSet, df: DataFrame, start: datetime, end: datetime) -> str:
         """Store the rows of the window [start, end) as one run and make it visible."""
+        require_utc(self.spark)
         run = f"r-{uuid.uuid4().hex}"
         (
             df.where(within(df, fs.ts, [(start, end)]))
@@ -109,6 +111,7 @@ class OfflineStore:
 
         `segments`: those of the feature set, if they have been looked up already.
         """
+        require_utc(self.spark)
         low, high = span
         wanted = []
         for s in self.segments(fs) if segments is None else segments:

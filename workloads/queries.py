@@ -46,8 +46,8 @@ REQUESTED = [
 ]
 KEYS = ["accountID"]
 # Small sizes that send keys of the test tables down the routes for crowded keys.
-SOME_CROWDED = hs.SkewPolicy(dense_rows=22, hot_rows=70, fraction=1.0)
-ALL_CROWDED = hs.SkewPolicy(dense_rows=1, hot_rows=3, fraction=1.0)
+SOME_CROWDED = hs.SkewPolicy(dense_rows=22, hot_rows=70)
+ALL_CROWDED = hs.SkewPolicy(dense_rows=1, hot_rows=3)
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -174,7 +174,18 @@ def sample_by_key(spark, sf):
 
 
 def sample_rows(spark, sf):
-    return hs.sample_rows(_table(spark, sf, "events"), 0.05, 735).select("event_id", "user_id", "value")
+    """What holds of any sample: rows of the table, none twice, about as many as asked for."""
+    events = _table(spark, sf, "events").select("event_id", "user_id", "value")
+    sample, share = hs.sample_rows(events, 0.05, 735), 0.05
+    of_table = sample.join(events, ["event_id", "user_id", "value"], "left_semi").agg(F.count("*").alias("known"))
+    counts = sample.agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"))
+    whole = events.agg(F.count("*").alias("all"))
+    # six standard deviations around the mean
+    near = F.abs(F.col("n") - share * F.col("all")) <= 6 * F.sqrt(share * (1 - share) * F.col("all"))
+    one = [df.withColumn("_", F.lit(1)) for df in (of_table, counts, whole)]
+    return one[0].join(one[1], "_").join(one[2], "_").select(
+        (F.col("known") == F.col("n")).alias("subset"), (F.col("ids") == F.col("n")).alias("distinct"), near.alias("near")
+    )
 
 
 def time_coverage(spark, sf):
@@ -196,6 +207,17 @@ def rolling_transformer(spark, sf):
     return _rounded(hs.read_features(prepare(spark), _transactions_set(sf)))
 
 
+def rolling_odd_frames(spark, sf):
+    """Frames of 7 days, 90 seconds and a day and a second, for crowded keys."""
+    aggs = [
+        hs.Rolling("count_7d", "count", "transactionID", DAYS_7),
+        hs.Rolling("sum_90s", "sum", "transactionAmount", timedelta(seconds=90)),
+        hs.Rolling("sum_1d1s", "sum", "transactionAmount", timedelta(days=1, seconds=1)),
+    ]
+    rows = hs.rolling(_transactions(spark, sf), KEYS, "timestamp", aggs, keep=["transactionID"], policy=ALL_CROWDED)
+    return _rounded(rows.withColumnsRenamed({"sum_90s": "short_sum", "sum_1d1s": "long_sum"}))
+
+
 def rolling_orders_30d(spark, sf, policy=hs.SkewPolicy()):
     orders = _table(spark, sf, "orders")
     aggs = [
@@ -211,7 +233,7 @@ def rolling_orders_30d(spark, sf, policy=hs.SkewPolicy()):
 
 
 def rolling_orders_30d_crowded(spark, sf):
-    return rolling_orders_30d(spark, sf, hs.SkewPolicy(dense_rows=1, hot_rows=1, fraction=1.0))
+    return rolling_orders_30d(spark, sf, hs.SkewPolicy(dense_rows=1, hot_rows=1))
 
 
 # Point-in-time joins
@@ -273,8 +295,8 @@ def _pit_ties(policy=hs.SkewPolicy()) -> Callable[[SparkSession, str], DataFrame
 def pit_two_keys(spark, sf):
     """Two sets with different keys: per customer and per order priority."""
     orders = _table(spark, sf, "orders")
-    done = orders.where("o_orderstatus = 'F'")
-    spine = orders.where("o_orderstatus = 'O'").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate")
+    done = orders.where("o_orderstatus <> 'O'")
+    spine = orders.select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate")
     by_customer = hs.FeatureView(
         done.select("o_custkey", "o_orderdate", F.col("o_totalprice").alias("customer_price")),
         ["o_custkey"], "o_orderdate", ["customer_price"],
@@ -319,7 +341,7 @@ def read_through(spark, sf):
 def passthrough_set(spark, sf):
     """A feature set without transformer: the precalculated accounts table."""
     fs = _accounts_set(prepare(spark), sf, shared_folder(spark))
-    return _rounded(hs.read_features(spark, fs, start="2024-01-05", end="2024-01-12"))
+    return _rounded(hs.read_features(spark, fs))
 
 
 # Retrieval
@@ -377,16 +399,56 @@ def _trained(spark, sf):
     features = [f.feature for f in spec.features]
     trained = hs.train(data, "is_fraud", features, "transactionID")
     hs.save_model(trained.model, spec, spark, f"{folder}/fitted")
-    return data, folder
+    return data, trained.model, folder
+
+
+def _scored(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """All observations as scored by the fitted and by the loaded model, written and read back."""
+    data, model, folder = _trained(spark, sf)
+    loaded, _ = hs.load_model(spark, f"{folder}/fitted")
+    for name, m in (("scored", loaded), ("by_fitted", model)):
+        write_table(hs.score(m, data, probability="probability"), f"{folder}/{name}")
+    return hs.scan(spark, f"{folder}/scored"), hs.scan(spark, f"{folder}/by_fitted")
 
 
 def rf_score(spark, sf):
-    """Forest fitted, saved, loaded; all observations scored, written and read back."""
-    data, folder = _trained(spark, sf)
-    model, _ = hs.load_model(spark, f"{folder}/fitted")
-    scored = hs.score(model, data, probability="probability", drop=["is_fraud"])
-    write_table(scored, f"{folder}/scored")
-    return hs.scan(spark, f"{folder}/scored")
+    """What holds of the scores of every observation, whatever the trees are."""
+    scored, fitted = _scored(spark, sf)
+    p, label = F.col("probability"), F.col("predict_is_fraud")
+    other = fitted.select("transactionID", p.alias("p"), label.alias("l"))
+    return scored.join(other, "transactionID").select(
+        "transactionID",
+        label.isin(0, 1).alias("is_class"),
+        (F.abs(F.aggregate(p, F.lit(0.0), lambda a, x: a + x) - 1) < 1e-9).alias("sums_to_one"),
+        (F.get(p, label) == F.array_max(p)).alias("is_larger"),
+        ((F.col("p") == p) & (F.col("l") == label)).alias("as_fitted"),
+    )
+
+
+def rf_metrics(spark, sf):
+    """Metrics of stored scores against counts of the stored rows."""
+    scored, _ = _scored(spark, sf)
+    y, p = F.col("is_fraud").cast("int"), F.col("predict_is_fraud")
+    counted = scored.agg(F.count_if((p == 1) & (y == 1)).alias("a"), F.count_if(p == 1).alias("b"), F.count_if(y == p).alias("c"), F.count("*").alias("d"))
+    found = hs.evaluate(scored, "is_fraud", "predict_is_fraud").withColumn("_", F.lit(1)).join(counted.withColumn("_", F.lit(1)), "_")
+    share = F.when(F.col("b") > 0, F.col("a") / F.col("b")).otherwise(0.0)
+    return found.select(
+        "n", (F.col("precision") == share).alias("precision_right"), (F.col("accuracy") == F.col("c") / F.col("d")).alias("accuracy_right")
+    )
+
+
+def quality_gate(spark, sf):
+    """Which of some thresholds the metrics of a table pass."""
+    metrics = hs.evaluate(_table(spark, sf, "labels"), "quality", "toxic")
+    passed = []
+    for bound in (0.0, 0.25, 0.5, 0.75, 1.0):
+        try:
+            hs.check_quality(metrics, {"accuracy": bound})
+            passed.append((bound, True))
+        except ValueError:
+            passed.append((bound, False))
+    gates = spark.createDataFrame(passed, "bound double, passed boolean")
+    return gates.withColumn("_", F.lit(1)).join(metrics.select(F.round("accuracy", 9).alias("accuracy"), F.lit(1).alias("_")), "_").drop("_")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -415,7 +477,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pit_two_sets_hot": _pit_two_sets(SOME_CROWDED),
     "pit_composite_key": pit_composite_key,
     "pit_ties": _pit_ties(),
-    "pit_ties_hot": _pit_ties(hs.SkewPolicy(hot_rows=1, fraction=1.0)),
+    "pit_ties_hot": _pit_ties(hs.SkewPolicy(hot_rows=1)),
     "pit_two_keys": pit_two_keys,
     "backfill_window": backfill_window,
     "incremental_equals_full": incremental_equals_full,
@@ -426,5 +488,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "split_by_key": split_by_key,
     "confusion": confusion,
     "classification_metrics": classification_metrics,
+    "quality_gate": quality_gate,
     "rf_score": rf_score,
+    "rf_metrics": rf_metrics,
+    "rolling_odd_frames": rolling_odd_frames,
 }
