@@ -16,7 +16,7 @@ def test_metrics(spark):
     m = hs.evaluate(df, "y", "p").first()
     assert (m.n, m.tp, m.fp, m.fn) == (10, 3, 1, 2)
     assert (m.precision, m.recall, m.f1, m.accuracy) == (0.75, 0.6, 6 / 9, 0.7)
-    assert {(r.label, r.prediction): r.n for r in hs.confusion(df.dropna(), "y", "p").collect()} == {
+    assert {(r.label, r.prediction): r.n for r in hs.confusion(df, "y", "p").collect()} == {
         (1, 1): 3, (0, 1): 1, (1, 0): 2, (0, 0): 4,
     }
 

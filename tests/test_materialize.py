@@ -127,10 +127,10 @@ def test_incremental_runs(spark, store):
 
 
 def test_schedule_of_the_feature_set(spark, store):
-    schedule = {"interval": 3, "frequency": "Hour", "start_time": "2024-01-05 00:04:10"}
+    schedule = {"interval": 3, "frequency": "Hour", "start_time": "2024-01-05 00:30:20"}
     fs = replace(feature_set(), schedule=schedule)
     assert hs.next_window(fs, store, "2024-01-05 09:59:59") == (
-        datetime(2024, 1, 5, 0, 4, 10), datetime(2024, 1, 5, 9, 4, 10),
+        datetime(2024, 1, 5, 0, 30, 20), datetime(2024, 1, 5, 9, 30, 20),
     )
     with pytest.raises(ValueError, match="no schedule"):
         hs.next_window(feature_set(), store, "2024-01-05 09:59:59")
@@ -235,3 +235,66 @@ def test_features_of_some_entities(spark, store):
         found = hs.read_features(spark, fs, store, "2024-01-04", "2024-01-12", few)
         wanted = hs.read_features(spark, fs, store, "2024-01-04", "2024-01-12").where("acc IN (1, 3)")
         assert rows(found) == rows(wanted) != []
+
+
+@pytest.fixture
+def elsewhere(spark):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    yield lambda zone: spark.conf.set("spark.sql.session.timeZone", zone)
+    spark.conf.set("spark.sql.session.timeZone", old)
+
+
+@pytest.mark.parametrize("zone", ["America/New_York", "Asia/Kolkata"])
+def test_other_zones_are_an_error_and_lose_no_row(spark, store, elsewhere, zone):
+    fs = feature_set()
+    hs.backfill(fs, "2024-01-10", "2024-01-12", store)
+    wanted = store.read(fs).count()
+    elsewhere(zone)
+    spine = spark.sql("SELECT 1L AS acc, TIMESTAMP '2024-01-11 00:00:00' AS at")
+    view = hs.FeatureView(spine.withColumnRenamed("at", "seen"), ["acc"], "seen", [])
+    for action in (
+        lambda: hs.backfill(fs, "2024-01-10", "2024-01-12", store), lambda: store.read(fs),
+        lambda: hs.read_features(spark, fs, store), lambda: hs.point_in_time(spine, "at", [view]),
+    ):
+        with pytest.raises(ValueError, match="UTC"):
+            action()
+    elsewhere("Etc/UTC")
+    assert store.read(fs).count() == wanted == len(full(spark, "2024-01-10", "2024-01-12"))
+
+
+def test_no_more_is_read_than_the_frames_need(spark):
+    fs = feature_set(source_lookback=timedelta(days=60))
+    text = plan(compute_features(spark, fs, [(datetime(2024, 1, 20), datetime(2024, 1, 20, 3))]))
+    assert "GreaterThanOrEqual(ts,2024-01-13T00:00" in text
+
+
+def test_only_declared_transformers_see_a_part_of_the_entities(spark):
+    class Ranks(hs.RollingTransformer.__mro__[1]):
+        keys = ["acc"]
+
+        def _transform(self, df):
+            return df.groupBy("acc").agg(F.max("at").alias("at"), F.sum("amount").alias("own")).withColumn(
+                "place", F.expr("rank() OVER (ORDER BY own, acc)").cast("long")
+            )
+
+    fs = feature_set(transformer=Ranks())
+    one = spark.createDataFrame([(3,)], "acc long")
+    everything = compute_features(spark, fs).where("acc = 3").first()
+    assert compute_features(spark, fs, entities=one).collect() == [everything]
+
+
+def test_scratch_folders_are_shared(monkeypatch):
+    from types import SimpleNamespace
+
+    from hindsight.session import shared_folder
+
+    def session(master, folder=None):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: folder), sparkContext=SimpleNamespace(master=master))
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(session("spark://there:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(session("local-cluster[2,1,1024]"))
+    assert shared_folder(session("yarn", "hdfs://x/tmp/")).startswith("hdfs://x/tmp/hindsight-")
+    assert shared_folder(session("yarn"), "s3://given").startswith("s3://given/hindsight-")
+    assert shared_folder(session("local[2]")).startswith("/")

@@ -137,12 +137,30 @@ def test_result_types_do_not_depend_on_the_route(spark):
     assert rows(hs.rolling(df, ["acc"], "ts", aggs, policy=PLAIN)) == rows(hs.rolling(df, ["acc"], "ts", aggs, policy=TILED))
 
 
-def test_a_profile_on_a_sample_changes_no_result(spark):
+def test_a_short_list_of_crowded_keys_changes_no_result(spark):
     data = [(f"a{i % 3}", at(minutes=i), str(i), float(i)) for i in range(300)]
     some = hs.SkewPolicy(dense_rows=5, hot_rows=1, max_groups=2)
     assert roll(spark, data, some) == roll(spark, data, PLAIN)
 
 
+def test_routes_agree_in_every_bit(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "value")
+    aggs = [hs.Rolling(f"{f}{d}", f, "value", timedelta(days=d)) for f in ("sum", "avg") for d in (3, 7)]
+    results = [
+        rows(hs.rolling(df.repartition(n), ["user_id"], "ts", aggs, ["event_id"], policy))
+        for n, policy in ((1, PLAIN), (7, TILED), (3, SPLIT), (5, hs.SkewPolicy(dense_rows=22, hot_rows=70)))
+    ]
+    assert results[0] == results[1] == results[2] == results[3]
+
+
+def test_sums_are_exact_and_lose_nothing(spark):
+    values = [0.1, 0.2, 0.3, 1e12, -1e12, 1e-9, 2.5e-13, 1e300, -1e300]
+    df = spark.createDataFrame([("a", at(), v) for v in values[:3]] + [("b", at(), v) for v in values] + [("c", at(), 2.5e-13)], "k string, t timestamp, v double")
+    for policy in (PLAIN, TILED, SPLIT):
+        got = {r.k: r.s for r in hs.rolling(df, ["k"], "t", [hs.Rolling("s", "sum", "v", DAYS_3)], policy=policy).collect()}
+        assert got["a"] == 0.6 and got["c"] == 2.5e-13 and abs(got["b"]) < 1e285
+
+
 def test_plain_form_has_one_shuffle_one_sort_one_window(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     aggs = [hs.Rolling(f"n{d}", "count", "event_id", timedelta(days=d)) for d in (1, 3, 7)]
