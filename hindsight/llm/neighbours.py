@@ -134,8 +134,11 @@ def nearest(vectors: DataFrame, is_query: Column, how: Search = Search()) -> Dat
     ).where("parts > 0"))
     known = rows.join(sent_if_small(sizes), "dim")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-    data = known.select("dim", "vec_id", "v", F.pmod(F.xxhash64("vec_id"), "blocks").alias("block"), every("parts").alias("part"))
-    asked = known.where("q").select("dim", "vec_id", "v", F.pmod(F.xxhash64("vec_id", F.lit(1)), "parts").alias("part"), every("blocks").alias("block"))
+    data = known.select("dim", "vec_id", "v", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int").alias("block"), every("parts").alias("part"))
+    asked = known.where("q").select(
+        F.col("dim").alias("q_dim"), F.col("vec_id").alias("q_id"), F.col("v").alias("q_v"),
+        F.pmod(F.xxhash64("vec_id", F.lit(1)), "parts").cast("int").alias("q_part"), every("blocks").alias("q_block"),
+    )
 
     def search(data: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
@@ -143,12 +146,13 @@ def nearest(vectors: DataFrame, is_query: Column, how: Search = Search()) -> Dat
             data = data.sort_values("vec_id")
             ids = data["vec_id"].to_numpy()
             block = Block(np.stack(data["v"].to_numpy()), ids, how)
-            for own, query in zip(asked["vec_id"], asked["v"], strict=True):
+            for own, query in zip(asked["q_id"], asked["q_v"], strict=True):
                 found, distance = block.search(np.asarray(query), own)
                 out += zip([own] * len(found), ids[found].tolist(), distance.tolist(), strict=True)
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-    key = ["dim", "block", "part"]
-    found = data.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(search, "query_id long, vec_id long, score double")
+    # both sides have keys of the same types, else they would be dealt differently
+    pairs = data.groupBy("dim", "block", "part").cogroup(asked.groupBy("q_dim", "q_block", "q_part"))
+    found = pairs.applyInPandas(search, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= how.k).select("query_id", "rank", "vec_id", "score")
