@@ -5,9 +5,11 @@ every text has ids and every list of ids has bytes.  Ids may cut a character in
 bytes are joined before they are read as UTF-8, and a cut character belongs to each of the
 ids that hold a part of it (`character_spans`).
 
-Texts are cut before single inner spaces, where no match of the splitting patterns ever
-reaches across; the chunks, mostly words, repeat, so their ids are kept while a worker
-lives, up to a bound after which it starts anew.  The result is that of whole texts.
+Texts are cut where no match of the splitting patterns ever reaches across: before single
+spaces and around single line breaks between other characters, and where signs follow a
+letter at a chunk's end.  The chunks, mostly words, repeat, so their ids are kept while a
+worker lives, up to a bound after which it starts anew.  The result is that of whole texts;
+texts with longer runs of white space are cut more carefully.
 
 Cases: a null text is an empty one, which has no ids; every row gives one row; no rows give
 no rows.  Strings of special tokens in a text are ordinary text.
@@ -31,6 +33,9 @@ from hindsight.llm.arrays import slices
 
 KEPT_CHUNKS = 500_000
 LONGEST_KEPT = 48
+SIGNS = ".,;:!?"
+WORD = re.compile(r" ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+")
+SAFE = re.compile(r"(?<=\S)(?= \S)")
 #: So many characters of new chunks are encoded in one call.
 JOINED = 1 << 16
 
@@ -103,26 +108,45 @@ class Encoder:
     """Ids of texts as little-endian 32-bit bytes."""
 
     def __init__(self, tokenizer: Tokenizer):
-        self.tokenizer, self.kept = tokenizer, {}
+        self.tokenizer, self.model, self.kept = tokenizer, tokenizer.model, {}
+        self.letters = {b: c for b, c in enumerate(byte_characters())}
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _learn(self, chunks: set[str]) -> dict[str, bytes | None]:
         """Ids of chunks; None for those that need what stands beside them."""
-        found, joined, size = {}, [], 0
+        found: dict[str, bytes | None] = {"\n": self._encode("\n")}
+        cores, parts = set(), {}
         for c in chunks:
-            if c[-1:].isspace() or c[1:2].isspace():
+            if c == "\n":
+                continue
+            if not c or c[-1].isspace() or c[1:2].isspace() or c[0].isspace() and c[0] != " ":
                 found[c] = None
-            elif c[:1] != " " or len(c) < 2:
-                found[c] = self._encode(c)
+                continue
+            core = c.rstrip(SIGNS)
+            if core != c and core[-1:].isalpha():
+                parts[c] = core, c[len(core) :]
+                cores.update(x for x in parts[c] if x not in self.kept)
             else:
-                joined.append(c)
-                size += len(c)
-                if size > JOINED:
-                    self._encode_joined(joined, found)
-                    joined, size = [], 0
+                cores.add(c)
+        joined, size = [], 0
+        for c in cores:
+            if WORD.fullmatch(c):  # one match of the splitting patterns
+                name = c.encode().decode("latin-1").translate(self.letters)
+                found[c] = np.array([t.id for t in self.model.tokenize(name)], dtype="<u4").tobytes()
+                continue
+            if c[0] != " " or len(c) < 2:
+                found[c] = self._encode(c)
+                continue
+            joined.append(c)
+            size += len(c)
+            if size > JOINED:
+                self._encode_joined(joined, found)
+                joined, size = [], 0
         self._encode_joined(joined, found)
+        known = lambda x: found[x] if x in found else self.kept[x]
+        found.update({c: known(core) + known(tail) for c, (core, tail) in parts.items()})
         return found
 
     def _encode_joined(self, chunks: list[str], found: dict) -> None:
@@ -135,19 +159,19 @@ class Encoder:
         found.update({c: raw[cut[i] : cut[i + 1]] for i, c in enumerate(chunks)})
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [re.split(r"(?<=\S)(?= \S)", t) if "\0" in t else t.replace(" ", "\0 ").split("\0") for t in texts]
+        cut = [[""] if "\0" in t else t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") for t in texts]
         new = set().union(*cut).difference(self.kept)
         found = self._learn(new)
         if len(self.kept) + len(found) > KEPT_CHUNKS:
             self.kept = {}
-            found |= self._learn(set().union(*cut).difference(found))
+            found = self._learn(set().union(*cut))
         get = self.kept.get
         out = []
         for text, chunks in zip(texts, cut, strict=True):
             try:
                 out.append(b"".join([found[c] if (x := get(c)) is None else x for c in chunks]))
             except (TypeError, KeyError):  # runs of white space
-                out.append(b"".join([get(c) or found.get(c) or self._encode(c) for c in re.split(r"(?<=\S)(?= \S)", text)]))
+                out.append(b"".join([get(c) or found.get(c) or self._encode(c) for c in SAFE.split(text)]))
         self.kept.update({c: x for c, x in found.items() if x is not None and len(c) <= LONGEST_KEPT})
         return out
 
