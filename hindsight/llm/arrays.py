@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 
 #: A slice holds so many bytes of text, or one longer text.  Memory of a task is some
 #: dozens of times this, or of its longest text.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 #: What parts words: space and the five control characters from tab to carriage return.
 SEPARATORS = np.zeros(256, bool)
@@ -70,7 +70,7 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return begin, end, np.searchsorted(at, begin, "right") - 1
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def _powers(length: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse, modulo 2**64."""
     base = 0x9E3779B97F4A7C15
@@ -83,10 +83,8 @@ def _powers(length: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(length: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << 16
-    while size < length:
-        size *= 2
-    return _powers(size)
+    """Enough of them; longer texts than a slice get their own."""
+    return _powers(max(SLICE_BYTES + 1, length))
 
 
 @lru_cache(maxsize=1)

@@ -4,14 +4,14 @@ The incidence matrix of documents and shingles is cut into blocks of columns (`r
 where shingles of one document only, which add nothing to any product, drop out.  What is
 left of a document is ordered from its rarest shingle on.  Sizes bound the rest: a document
 of n shingles that reaches the threshold with any other shares ceil(t * n) of them at least,
-so both have one among their first n - ceil(t * n) + 1 in common.  Overlap counts start with
-the columns of these firsts; pairs that cannot reach the bound any more, by their sizes and by
-how far their common shingles stand in both, are discarded, and the others get their
+so both have one among their first n - ceil(t * n) + 1 in common: only in the columns of these
+firsts do rows meet.  Pairs that cannot reach the bound, by their sizes, by how many shingles
+they share with anybody, and by a sketch of these, are discarded there; the others get their
 product from the two whole rows.
 
-Only components are asked for, so pairs within one are not needed.  In each column the
-documents meet a leader first, and are merged if linked, then another one, and only what lies
-in different components after that meets pairwise.  So a group of near copies costs a few
+Only components are asked for, so pairs within one are not needed.  Rows first meet one that
+leads a column of theirs, and are merged if linked, a few times over, and only what lies in
+different components after that meets pairwise.  So a group of near copies costs a few
 products for each copy, and nothing is left out: a pair is never compared only if its two
 documents are known to be connected, or the bounds say that they are not linked.
 
@@ -33,12 +33,16 @@ from pyspark.sql import functions as F
 
 from hindsight.llm.arrays import LOWER, mix, running_sums, signed, slices, span_hashes, windows, words
 from hindsight.llm.repeats import HOT_OWNERS, Entries, bucket_bits, pack_entries, shared_entries
-from hindsight.llm.shared import components, order_key, settle
+from hindsight.llm.shared import components, order_key, sent_if_small, settle, small_batches
 
 SHINGLE = 5
 #: Documents are linked if PERCENT * union <= 100 * intersection.
 PERCENT = 75
+#: How often rows meet leaders of their columns before all that is left meets, and how many.
+TURNS = 2
 LEADERS = 3
+#: Longs of a row's sketch.
+SKETCH = 16
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,21 +114,19 @@ def _enough(overlap: Column, a: Column, b: Column) -> Column:
 
 
 def rows_of_matrix(docs: DataFrame, bits: int, hot_owners: int = HOT_OWNERS) -> DataFrame:
-    """(set_id, n, shared, alone): what can be linked, with its shared shingles, rarest first."""
+    """(set_id, n, shared): what can be linked, with its shared shingles, rarest first."""
     entries = shared_entries(pack_entries(docs.select("text"), _entries, bits, hot_owners), bits)
     # repeated entries of one set from several slices are one
     grouped = entries.groupBy(F.col("owner").alias("set_id"), F.col("extra").alias("n")).agg(
         F.sort_array(F.collect_set(F.struct(F.col("owners").cast("int").alias("owners"), "key"))).alias("s")
     )
-    wanted = grouped.where(F.size("s") >= _needed(F.col("n")))
-    return settle(wanted.select("set_id", "n", F.col("s.key").alias("shared"), (F.col("n") - F.size("s")).alias("alone")))
+    return settle(grouped.where(F.size("s") >= _needed(F.col("n"))).select("set_id", "n", F.col("s.key").alias("shared")))
 
 
 def _index(rows: DataFrame) -> DataFrame:
-    """(key, node, n, at): the first shared shingles of each row; `at` counts those alone too."""
-    firsts = F.slice("shared", F.lit(1), F.greatest(F.lit(0), F.col("n") - _needed(F.col("n")) + 1 - F.col("alone")).cast("int"))
-    out = rows.select(F.col("set_id").alias("node"), "n", "alone", F.posexplode(firsts).alias("i", "key"))
-    out = out.select("key", "node", "n", (F.col("alone") + F.col("i")).alias("at"))
+    """(key, node, n): the first shared shingles of each row, where two rows have them."""
+    firsts = F.slice("shared", F.lit(1), (F.size("shared") - _needed(F.col("n")) + 1).cast("int"))
+    out = rows.select(F.col("set_id").alias("node"), "n", F.explode(firsts).alias("key"))
     often = out.groupBy("key").count().where("count > 1").select("key")
     return settle(out.join(often, "key", "left_semi"))
 
@@ -152,27 +154,72 @@ def _with_component(index: DataFrame, known: DataFrame | None) -> DataFrame:
     return settle(out.join(mixed, "key", "left_semi"))
 
 
-def links(rows: DataFrame, leaders: int = LEADERS) -> DataFrame:
-    """(a, b): links that connect all rows that are connected."""
+def _met_leaders(index: DataFrame, turn: int) -> DataFrame:
+    """(a, b): each row and, in each of LEADERS orders, the first of all rows that lead its columns."""
+    orders = [F.xxhash64("node", F.lit(turn * LEADERS + i)) for i in range(LEADERS)]
+    lead = index.groupBy("key").agg(*[F.min(F.struct(o.alias("o"), "node", "n", "c")).alias(f"l{i}") for i, o in enumerate(orders)])
+    met = index.join(lead, "key")
+    fits = [F.when((F.col("c") != F.col(f"l{i}.c")) & _sizes_fit("n", f"l{i}.n"), F.col(f"l{i}")) for i in range(LEADERS)]
+    met = met.groupBy("node").agg(*[F.min(f).alias(f"l{i}") for i, f in enumerate(fits)])
+    met = met.select("node", F.explode(F.array(*[f"l{i}.node" for i in range(LEADERS)])).alias("lead")).where("lead IS NOT NULL")
+    return met.select(F.greatest("node", "lead").alias("a"), F.least("node", "lead").alias("b")).distinct()
+
+
+def _sketch(shared: str) -> list[Column]:
+    """1024 bits, as longs, of which each shingle sets one."""
+
+    def word(number: int) -> Column:
+        mine = F.filter(shared, lambda k: F.floor(F.pmod(k, F.lit(64 * SKETCH)) / 64) == number)
+        bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(k, F.lit(64)).cast("int"))
+        return F.aggregate(mine, F.lit(0).cast("long"), lambda a, k: a.bitwiseOR(bit(k)))
+
+    return [word(i).alias(f"w{i}") for i in range(SKETCH)]
+
+
+def _met_pairs(index: DataFrame, rows: DataFrame) -> DataFrame:
+    """(a, b): rows of different components that share a column and may overlap enough.
+
+    In each column the rows outside its largest component meet all others.  Pairs are dropped
+    where they meet if they cannot reach the bound: by their sizes, by how many shared shingles
+    they have, and by a sketch, as a bit that only one of two rows has stands for a shingle, at
+    least, that the other has not.
+    """
+    bits = settle(rows.join(index.select(F.col("node").alias("set_id")).distinct(), "set_id", "left_semi").select(
+        F.col("set_id").alias("node"), F.size("shared").alias("s"), *_sketch("shared")
+    ))
+    sizes = index.groupBy("key", "c").agg(F.count("*").alias("k"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("k", "c")).alias("m")).select("key", F.col("m.c").alias("main"))
+    full = index.join(bits, "node").join(main, "key")
+    x, y = full.where("c <> main").alias("x"), full.alias("y")
+    needed = F.ceil((F.col("x.n") + F.col("y.n")) * PERCENT / (100 + PERCENT))
+
+    def can_have(one: str, other: str) -> Column:
+        lacks = [F.bit_count(F.col(f"{one}.w{i}").bitwiseAND(F.bitwise_not(f"{other}.w{i}"))) for i in range(SKETCH)]
+        return F.col(f"{one}.s") - sum(lacks[1:], lacks[0])
+
+    may = (
+        (F.col("x.key") == F.col("y.key"))
+        & (F.col("x.c") != F.col("y.c"))
+        & ((F.col("y.c") == F.col("y.main")) | (F.col("x.c") < F.col("y.c")))
+        & _sizes_fit("x.n", "y.n")
+        & (F.least("x.s", "y.s") >= needed)
+        & (can_have("x", "y") >= needed)
+        & (can_have("y", "x") >= needed)
+    )
+    return x.join(y, may).select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
+
+
+def row_components(rows: DataFrame, turns: int = TURNS) -> DataFrame:
+    """(node, component) of the rows that are linked with others."""
     index, found, known = _index(rows), None, None
-    for turn in range(leaders):
+    for turn in range(turns):
         index = _with_component(index.drop("c"), known)
-        # one of each column leads, another one each turn
-        lead = index.groupBy("key").agg(F.min_by(F.struct("node", "n", "c"), F.xxhash64("node", F.lit(turn))).alias("l"))
-        met = index.join(lead, "key").where((F.col("c") != F.col("l.c")) & _sizes_fit("n", "l.n"))
-        pairs = met.select(F.greatest("node", "l.node").alias("a"), F.least("node", "l.node").alias("b")).distinct()
-        new = _linked(pairs, rows)
+        new = _linked(_met_leaders(index, turn), rows)
         found = new if found is None else settle(found.unionByName(new).distinct())
         known = settle(components(found))
     index = _with_component(index.drop("c"), known)
-    left, right = index.alias("x"), index.alias("y")
-    met = left.join(right, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")) & _sizes_fit("x.n", "y.n"))
-    most = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
-    pair = [F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")]
-    # columns counted so far, and at most what stands behind the first common one
-    counted = met.groupBy(*pair).agg(F.max(most).alias("most"))
-    pairs = counted.where(_enough(F.col("most"), F.col("na"), F.col("nb"))).select("a", "b")
-    return found.unionByName(_linked(pairs, rows))
+    new = _linked(_met_pairs(index, rows), rows)
+    return known if new.isEmpty() else components(found.unionByName(new))
 
 
 def _bits(sets: DataFrame) -> int:
@@ -182,9 +229,9 @@ def _bits(sets: DataFrame) -> int:
 def similar_documents(docs: DataFrame, hot_owners: int = HOT_OWNERS) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id of all that links reach)."""
     numbered = docs.select(F.col("doc_id").cast("long").alias("row"), "text")
-    sets = settle(members(numbered))
-    found = links(rows_of_matrix(numbered, _bits(sets), hot_owners))
-    known = components(found)
+    with small_batches(docs.sparkSession):
+        sets = settle(members(numbered))
+    known = row_components(rows_of_matrix(numbered, _bits(sets), hot_owners))
     number = order_key("row")
     classes = sets.where("set_id >= 0").groupBy("set_id").agg(F.min(number).alias("first"), F.count("*").alias("copies"))
     joined = classes.join(known, classes["set_id"] == known["node"], "left").withColumn("c", F.coalesce("component", "set_id"))
@@ -201,12 +248,18 @@ def similar_documents(docs: DataFrame, hot_owners: int = HOT_OWNERS) -> DataFram
 def one_of_each(docs: DataFrame, hot_owners: int = HOT_OWNERS) -> DataFrame:
     """The row with the smallest doc_id of each component, with all columns of `docs`.
 
-    Of equal rows one stays.  Texts that are linked with nothing all stay.
+    Of rows with one doc_id one stays.  Texts that are linked with nothing all stay.  Texts are
+    shuffled only if the numbers that go are too many to be sent to all.
     """
     names = docs.columns
     found = settle(similar_documents(docs, hot_owners))
-    stay = found.where("doc_id = component_id OR doc_id IS NULL AND component_id IS NULL").select("doc_id").distinct()
+    each = found.groupBy(F.col("doc_id").alias("odd_id")).agg(
+        F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"), (F.count("*") > 1).alias("repeated")
+    )
+    odd = settle(each.where("NOT stays OR repeated"))
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     key = f"c{names.index('doc_id')}"
-    kept = plain.join(stay, plain[key].eqNullSafe(stay["doc_id"]), "left_semi")
-    return kept.dropDuplicates([key]).toDF(*names)
+    marked = plain.join(sent_if_small(odd), plain[key].eqNullSafe(odd["odd_id"]), "left")
+    once = marked.where("stays IS NULL").select(*plain.columns)
+    again = marked.where("stays").select(*plain.columns).dropDuplicates([key])
+    return once.unionByName(again).toDF(*names)

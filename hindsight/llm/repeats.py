@@ -15,16 +15,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hindsight.llm.arrays import slices
-from hindsight.llm.shared import sent_if_small, settle
+from hindsight.llm.shared import sent_if_small, settle, small_batches
 
-BUCKET_ENTRIES = 2_000_000
+BUCKET_ENTRIES = 1_000_000
 #: Owners of a key within a slice of text from which it is hot.
 HOT_OWNERS = 64
 HOT_BUCKETS = 1 << 20  # numbers from here on are of hot entries
@@ -120,19 +119,34 @@ def _unpack(row: tuple, bits: int) -> tuple[np.ndarray, ...]:
 
 
 def _shared(keys, owners, extra, weight) -> tuple[np.ndarray, ...]:
-    """(owner, extra, key, owners) of a bucket: of cold entries, and of hot keys with owners < 0."""
+    """(owner, extra, key, owners) of a bucket: of cold entries, and of hot keys with owners < 0.
+
+    Goes through the keys in order, some at a time, to need little memory.
+    """
+    order = np.argsort(keys)
+    found, first, chunk = [], 0, 1 << 17
+    while first < len(order):
+        last = min(first + chunk, len(order))
+        while last < len(order) and keys[order[last]] == keys[order[last - 1]]:
+            last += 1
+        rows = order[first:last]
+        found.append(_shared_keys(keys[rows], owners[rows], extra[rows], weight[rows]))
+        first = last
+    owners, *rest = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 4
+    by = np.argsort(owners, kind="stable")  # so that owners stand together
+    return owners[by], *[x[by] for x in rest]
+
+
+def _shared_keys(keys, owners, extra, weight) -> tuple[np.ndarray, ...]:
     marker = weight > 0
     order = np.lexsort((owners, ~marker, keys))
     keys, owners, extra, weight, marker = keys[order], owners[order], extra[order], weight[order], marker[order]
     new = _changes(keys)
     other = ~marker & (new | _changes(owners) | np.append(False, marker[:-1]))
     group = np.cumsum(new) - 1
-    total = (np.bincount(group, weights=other) + np.bincount(group, weights=weight)).astype(np.int64)
-    kept = (total[group] >= 2) & (~marker | new)
-    # by owner, so that owners stand together
-    back = np.flatnonzero(kept)
-    back = back[np.argsort(owners[back], kind="stable")]
-    return owners[back], extra[back], keys[back].view(np.int64), np.where(marker, -1, 1)[back] * total[group][back]
+    total = (np.bincount(group, weights=other) + np.bincount(group, weights=weight)).astype(np.int64)[group]
+    kept = (total >= 2) & (~marker | new)
+    return owners[kept], extra[kept], keys[kept].view(np.int64), np.where(marker, -total, total)[kept]
 
 
 def shared_entries(packed: DataFrame, bits: int) -> DataFrame:
@@ -142,23 +156,30 @@ def shared_entries(packed: DataFrame, bits: int) -> DataFrame:
     """
     chunk = 1 << 16
 
-    def keep(group: pd.DataFrame) -> pd.DataFrame:
+    def keep(group: pa.Table) -> pa.Table:
         squeeze = zstandard.ZstdCompressor(level=1).compress
-        rows = [_unpack(r, bits) for r in group[FIELDS].itertuples(index=False, name=None)]
+        columns = [group.column("bucket").to_pylist(), *[[x.as_buffer() for x in group.column(c)] for c in FIELDS[1:]]]
+        rows = [_unpack(r, bits) for r in zip(*columns, strict=True)]
+        hot = columns[0][0] >= HOT_BUCKETS
+        del columns
         entries = [np.concatenate(x) for x in zip(*rows, strict=True)]
-        if group["bucket"].iloc[0] >= HOT_BUCKETS:
+        del rows
+        if hot:
             keys, owners, extra, _ = entries
-            found, kind = (owners, extra, keys.view(np.int64), np.zeros(len(keys), np.int64)), 1
+            found = (owners, extra, keys.view(np.int64), np.zeros(len(keys), np.int64))
         else:
-            found, kind = _shared(*entries), 0
-        parts = [
-            (kind, bool((found[3][i : i + chunk] < 0).any()), *[squeeze(x[i : i + chunk].tobytes()) for x in found])
-            for i in range(0, len(found[0]), chunk)
-        ]
-        return pd.DataFrame(parts, columns=["kind", "marks", *OUT])
+            found = _shared(*entries)
+        del entries
+        parts = [[squeeze(x[i : i + chunk].tobytes()) for i in range(0, len(x), chunk)] for x in found]
+        marks = [bool((found[3][i : i + chunk] < 0).any()) for i in range(0, len(found[3]), chunk)]
+        return pa.table(
+            [pa.array([int(hot)] * len(marks), pa.int32()), pa.array(marks, pa.bool_()), *[pa.array(x, pa.binary()) for x in parts]],
+            ["kind", "marks", *OUT],
+        )
 
     schema = "kind int, marks boolean, " + ", ".join(f"{c} binary" for c in OUT)
-    found = settle(packed.groupBy("bucket").applyInPandas(keep, schema))
+    with small_batches(packed.sparkSession):
+        found = settle(packed.groupBy("bucket").applyInArrow(keep, schema))
     cold = _spread(found.where("kind = 0")).where("owners > 0")
     marks = settle(_spread(found.where("marks")).where("owners < 0").select("key", (-F.col("owners")).alias("owners")))
     hot = _spread(found.where("kind = 1")).drop("owners").join(sent_if_small(marks), "key")

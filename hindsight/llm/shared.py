@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +17,26 @@ from hindsight.session import shared_folder
 BROADCAST_BYTES = 8 << 20
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, which need not have it installed."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parents[1]
+    # executors fetch it from the driver, whenever they start
+    archive = Path(tempfile.mkdtemp(), f"{package.name}.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in sorted(package.rglob("*.py")):
+            z.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
@@ -27,6 +52,22 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows that a Python worker gets at once where rows hold texts or packed arrays.
+BATCH_ROWS = 1000
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs inside send Python workers fewer rows at once, so that long texts need less memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def sent_if_small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     """`df`, which must be settled, marked for broadcast if its rows are small in total.
 

@@ -1,0 +1,52 @@
+import random
+
+import pytest
+
+from hindsight.llm.shared import ship
+
+SYLLABLES = "an the er ing on re ti es or st ha en of ed is it al ar ér üß ñó".split()
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, row string, key string, n_words string, c0 string"
+
+
+def prose(rnd: random.Random, words: int) -> str:
+    out = ["".join(rnd.choices(SYLLABLES, k=rnd.randint(1, 4))) for _ in range(words)]
+    return "".join(w + rnd.choice([" ", " ", " ", ", ", ".\n"]) for w in out).strip()
+
+
+def changed(rnd: random.Random, text: str, share: float) -> str:
+    return " ".join(w if rnd.random() > share else w + "x" for w in text.split(" "))
+
+
+def corpus() -> list[tuple]:
+    """Texts with all that is odd: copies, near copies, passages, ties, nulls, repeated rows."""
+    rnd = random.Random(7)
+    texts = [prose(rnd, rnd.randint(1, 400)) for _ in range(60)]
+    passage = prose(rnd, 40)
+    texts += [f"{prose(rnd, 60)} {passage} {prose(rnd, 60)}" for _ in range(12)]
+    base = prose(rnd, 200)
+    texts += [base, base, base.upper()] + [changed(rnd, base, s) for s in (0.005, 0.01, 0.02, 0.03, 0.05, 0.2) for _ in range(3)]
+    texts += [None, "", " ", "\n\n", "a", "a", "one two three four", "ONE two three four", "x" * 120, "y " * 300, "né " * 80]
+    texts += [prose(rnd, 30_000), "\0a\0 b  c\t\td e", "#*$%&|<>" * 9]
+    texts += ["\n".join(["same line again"] * 30), prose(rnd, 80) + "\n" + "\n".join([prose(rnd, 5)] * 12)]
+    rows = [(i, t, "en", "h%d" % (i % 4), 0, "r", "k", "w", "c") for i, t in enumerate(texts)]
+    rows.append(rows[5])  # a repeated row
+    rows.append((70, "another text under a number that is taken " * 3, None, None, None, None, None, None, None))
+    rows.append((None, base, None, "h1", None, None, None, None, None))
+    rows.append((None, None, None, None, None, None, None, None, None))
+    return rows
+
+
+@pytest.fixture(scope="session")
+def rows():
+    return corpus()
+
+
+@pytest.fixture(scope="session")
+def docs(spark, rows):
+    ship(spark)
+    return spark.createDataFrame(rows, COLUMNS).repartition(3)
+
+
+@pytest.fixture(scope="session")
+def no_docs(docs):
+    return docs.limit(0)
