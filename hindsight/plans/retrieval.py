@@ -41,12 +41,13 @@ def get_offline_features(
             raise ValueError(f"unknown feature set {ref.feature_set}:{ref.version}")
         wanted.setdefault((ref.feature_set, ref.version), []).append(ref.feature)
 
-    profile = profile_spine(observations, timestamp_column, [tuple(known[key].keys) for key in wanted])
+    # without a policy no job runs while this is planned, and all feature rows are read
+    profile = profile_spine(observations, timestamp_column, [tuple(known[key].keys) for key in wanted]) if policy else None
     views = []
     for key, names in wanted.items():
         fs = known[key]
         start = end = None
-        if profile.first is not None:
+        if profile is not None and profile.first is not None:
             delay = fs.source.delay if shift_by_delay else timedelta(0)
             start = (from_micros(profile.first) - fs.join_lookback - delay).replace(microsecond=0)
             end = (from_micros(profile.last) - delay).replace(microsecond=0) + timedelta(seconds=1)
