@@ -47,7 +47,27 @@ SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.turn, r.turn) AS tu
     || '","name":"reply","result":' || coalesce(to_json(r.text)::VARCHAR, 'null') || '}' END AS json
 FROM calls c FULL JOIN results r ON c.conv_id = r.conv_id AND c.call_id = r.call_id"""
 
+JACCARD = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS ws FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, array_to_string(ws, ' ') AS s FROM words WHERE len(ws) BETWEEN 1 AND 4
+    UNION ALL
+    SELECT doc_id, array_to_string(ws[i : i + 4], ' ') FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM words))),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+reached(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM reached r JOIN links l ON r.other = l.a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, min(other) AS component_id
+FROM reached LEFT JOIN sizes USING (doc_id) GROUP BY doc_id, n"""
+
 ORACLE = {
+    "op6_ngram_jaccard": JACCARD,
     "op8_tool_call_linking": TOOL_CALLS,
     "op1_quality_rules": QUALITY,
 }
