@@ -121,7 +121,7 @@ def _deal(items: DataFrame, deal: int, groups: int, capacity: int) -> DataFrame:
         sequence, offset = best_fit_decreasing(sizes, capacity)
         filled = np.bincount(sequence, weights=sizes)
         bound = lower_bound(np.bincount(sizes, minlength=capacity + 1), capacity)
-        number = (deal * groups + int(group["g"].iloc[0])) * 2**31
+        number = (deal * 2**24 + int(group["g"].iloc[0])) * 2**31  # other deals have other numbers
         return pd.DataFrame({
             "row": group["row"], "length": sizes, "sequence_id": number + sequence, "offset": offset,
             "gap": len(filled) > bound, "full": filled[sequence] >= capacity,

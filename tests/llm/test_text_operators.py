@@ -237,6 +237,19 @@ def test_packing(docs, no_docs, rows, tokenizers):
     assert packing.pack(no_docs, JSON).count() == 0
 
 
+def test_deals_do_not_mix(spark):
+    rng = np.random.default_rng(4)
+    sizes = rng.integers(1, 100, 3000).tolist() + rng.integers(40, 60, 1000).tolist()
+    items = spark.createDataFrame(list(enumerate(sizes)), "row long, length long")
+    found = packing.pack_items(items, packing.Packing(capacity=100, partition_pieces=300)).collect()
+    assert sorted(r.row for r in found) == list(range(4000))
+    filled = Counter()
+    for r in sorted(found, key=lambda r: r.offset):
+        assert filled[r.sequence_id] == r.offset
+        filled[r.sequence_id] += sizes[r.row]
+    assert max(filled.values()) <= 100
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 12), max_size=9))
 def test_bounds_and_bins(sizes):
