@@ -44,6 +44,7 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with pseudonyms for personal numbers, dates and addresses."""
+    ship(spark)
     out = with_pseudonyms(docs.select(*COLUMNS), PSEUDONYM_KEY)
     return out.withColumn("n_chars", F.length("text").cast(out.schema["n_chars"].dataType))
 

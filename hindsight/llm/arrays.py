@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 
 #: A slice holds so many bytes of text, or one longer text.  Memory of a task is some
 #: dozens of times this, or of its longest text.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 #: What parts words: space and the five control characters from tab to carriage return.
 SEPARATORS = np.zeros(256, bool)

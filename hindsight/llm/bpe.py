@@ -31,7 +31,7 @@ from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
 from hindsight.llm.arrays import slices
 
-KEPT_CHUNKS = 500_000
+KEPT_CHUNKS = 200_000
 LONGEST_KEPT = 48
 SIGNS = ".,;:!?"
 WORD = re.compile(r" ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+")

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from hindsight.llm.arrays import LOWER, mix, running_sums, signed, slices, span_hashes, windows, words
 from hindsight.llm.repeats import HOT_OWNERS, Entries, bucket_bits, pack_entries, shared_entries
-from hindsight.llm.shared import components, order_key, sent_if_small, settle, small_batches
+from hindsight.llm.shared import components, order_key, sent_if_small, settle
 
 SHINGLE = 5
 #: Documents are linked if PERCENT * union <= 100 * intersection.
@@ -229,8 +229,7 @@ def _bits(sets: DataFrame) -> int:
 def similar_documents(docs: DataFrame, hot_owners: int = HOT_OWNERS) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id of all that links reach)."""
     numbered = docs.select(F.col("doc_id").cast("long").alias("row"), "text")
-    with small_batches(docs.sparkSession):
-        sets = settle(members(numbered))
+    sets = settle(members(numbered))
     known = row_components(rows_of_matrix(numbered, _bits(sets), hot_owners))
     number = order_key("row")
     classes = sets.where("set_id >= 0").groupBy("set_id").agg(F.min(number).alias("first"), F.count("*").alias("copies"))

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
-from collections.abc import Iterator
-from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,10 +16,18 @@ BROADCAST_BYTES = 8 << 20
 
 
 _SHIPPED: set[str] = set()
+#: Rows that a Python worker gets at once, as rows hold texts or packed arrays.
+BATCH_ROWS = 1000
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, which need not have it installed."""
+    """Make a session ready: smaller batches, and this package on the Python workers.
+
+    Ten thousand texts, Spark's batch, are tens of megabytes in each of several buffers.
+    """
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(batch)) > BATCH_ROWS:
+        spark.conf.set(batch, str(BATCH_ROWS))
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
@@ -52,22 +58,6 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-#: Rows that a Python worker gets at once where rows hold texts or packed arrays.
-BATCH_ROWS = 1000
-
-
-@contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Jobs inside send Python workers fewer rows at once, so that long texts need less memory."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(BATCH_ROWS))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def sent_if_small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     """`df`, which must be settled, marked for broadcast if its rows are small in total.
 
