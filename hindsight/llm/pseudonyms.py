@@ -1,8 +1,10 @@
 """Pseudonyms of personal numbers and dates that keep their format.
 
 Candidates are found by pattern and validated: payment cards and IBANs by their check digits,
-phone and social security numbers by what may be assigned, IPv4 addresses by their ranges,
-dates by the calendar; mail addresses need no more than their form.  What is valid is read as
+dates by the calendar; mail addresses, IPv4 addresses of four numbers up to 255, and phone and
+social security numbers need no more than their form.  Only ten digits without +1 or brackets
+are no phone number if the area or the exchange begins with 0 or 1, and area 000 is no social
+security number.  What may be assigned and what may not be keep apart.  What is valid is read as
 a list of digits, each with its own base, and goes through a keyed Feistel network: in turn
 the even and the odd places are shifted, modulo their bases, by a keyed hash of the others.
 So every value has one pseudonym with the same key, in every document and however it is
@@ -144,9 +146,14 @@ def _iban(match: Column, key: str, back: bool) -> Column:
 def _ipv4(match: Column, key: str, back: bool) -> Column:
     parts = F.transform(F.split(match, r"\."), lambda p: p.cast("int"))
     plain = ~match.rlike(r"(^|\.)0[0-9]")
-    valid = plain & F.forall(parts, lambda p: p <= 255) & F.get(parts, 0).between(1, 223)
-    moved = feistel(F.transform(parts, lambda p, i: F.when(i == 0, p - 1).otherwise(p)), F.array(*map(F.lit, (223, 256, 256, 256))), key, "ipv4", back)
-    return F.when(valid, F.array_join(F.transform(moved, lambda p, i: F.when(i == 0, p + 1).otherwise(p).cast("string")), "."))
+    valid = plain & F.forall(parts, lambda p: p <= 255)
+    # addresses of hosts stay some, and the 33 blocks 0 and 224 to 255 stay among themselves
+    host = F.get(parts, 0).between(1, 223)
+    rank = lambda p: F.when(host, p - 1).when(p > 0, p - 223).otherwise(0)
+    shown = lambda p: F.when(host, p + 1).when(p > 0, p + 223).otherwise(0)
+    bases = F.array(F.when(host, 223).otherwise(33), *[F.lit(256)] * 3)
+    moved = feistel(F.transform(parts, lambda p, i: F.when(i == 0, rank(p)).otherwise(p)), bases, key, "ipv4", back)
+    return F.when(valid, F.array_join(F.transform(moved, lambda p, i: F.when(i == 0, shown(p)).otherwise(p).cast("string")), "."))
 
 
 def _date(match: Column, key: str, back: bool) -> Column:
@@ -175,28 +182,32 @@ def _phone(match: Column, key: str, back: bool) -> Column:
     country = F.substring(plain, F.lit(1), F.length(plain) - 10)
     national = F.substring(plain, F.length(plain) - 9, F.lit(10))
     digits = _numbers(national)
-    valid = national.rlike("^[2-9]..[2-9]")
-    lead = lambda i: i.isin(0, 3)
-    moved = feistel(
-        F.transform(digits, lambda d, i: F.when(lead(i), d - 2).otherwise(d)),
-        F.transform(digits, lambda _, i: F.when(lead(i), 8).otherwise(10)), key, "phone", back,
-    )
-    new = _joined(F.transform(moved, lambda d, i: F.when(lead(i), d + 2).otherwise(d)))
+    valid = match.rlike(r"^(?:\+|\()") | national.rlike("^[2-9]..[2-9]")
+    # where an assigned number has 2 to 9, those stay among themselves, and 0 and 1 too
+    least = F.transform(digits, lambda d, i: F.when(i.isin(0, 3) & (d > 1), 2).otherwise(0))
+    bases = F.transform(digits, lambda d, i: F.when(~i.isin(0, 3), 10).when(d > 1, 8).otherwise(2))
+    moved = feistel(F.zip_with(digits, least, lambda d, m: d - m), bases, key, "phone", back)
+    new = _joined(F.zip_with(moved, least, lambda d, m: d + m))
     return F.when(valid, _refill("0-9", match, F.concat(country, new)))
 
 
 def _ssn(match: Column, key: str, back: bool) -> Column:
     area, group, serial = [F.get(F.split(match, "-"), i).cast("int") for i in range(3)]
-    valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
-    rank = F.when(area > 666, area - 2).otherwise(area - 1)
-    moved = feistel(F.array(rank, group - 1, serial - 1), F.array(*map(F.lit, (898, 99, 9999))), key, "ssn", back)
+    # areas 666 and 900 to 999, group 00 and serial 0000 stay among themselves
+    other = (area == 666) | (area > 899)
+    rank = F.when(area == 666, 0).when(area > 899, area - 899).when(area > 666, area - 2).otherwise(area - 1)
+    moved = feistel(
+        F.array(rank, F.greatest(group - 1, F.lit(0)), F.greatest(serial - 1, F.lit(0))),
+        F.array(F.when(other, 101).otherwise(898), F.when(group > 0, 99).otherwise(1), F.when(serial > 0, 9999).otherwise(1)), key, "ssn", back,
+    )
 
     def shown(m: Column) -> Column:
-        new = F.get(m, 0) + 1
-        parts = [(F.when(new >= 666, new + 1).otherwise(new), 3), (F.get(m, 1) + 1, 2), (F.get(m, 2) + 1, 4)]
+        new = F.get(m, 0)
+        area = F.when(other, F.when(new == 0, 666).otherwise(new + 899)).when(new >= 665, new + 2).otherwise(new + 1)
+        parts = [(area, 3), (F.when(group > 0, F.get(m, 1) + 1).otherwise(0), 2), (F.when(serial > 0, F.get(m, 2) + 1).otherwise(0), 4)]
         return F.concat_ws("-", *[F.lpad(p.cast("string"), n, "0") for p, n in parts])
 
-    return F.when(valid, _let(moved, shown))
+    return F.when(area > 0, _let(moved, shown))
 
 
 def _card(match: Column, key: str, back: bool) -> Column:

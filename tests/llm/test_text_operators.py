@@ -165,6 +165,22 @@ def test_pseudonyms(spark, docs, no_docs):
     assert clean.columns == docs.columns and sorted(map(str, clean.collect())) == sorted(map(str, docs.collect()))
 
 
+def test_pseudonyms_of_numbers_that_are_not_assigned(spark):
+    texts = [
+        "233.254.104.120", "0.0.0.0", "255.255.255.255", "224.0.0.1", "223.1.2.3", "1.0.0.0", "+1 (017) 555-7713", "+1 (132) 555-1352", "(569) 055-6633",
+        "+1 169-155-6633", "+1 (569) 555-6633", "900-70-1234", "666-12-3456", "123-00-4567", "123-45-0000", "999-00-0000", "667-12-3456", "665-12-3456",
+        "256.1.1.1", "000-12-1234", "169-555-6633",
+    ]
+    table = spark.createDataFrame([(i, f"x {t} y") for i, t in enumerate(texts)], "doc_id long, text string")
+    for key in ("k", "l", "m"):
+        out = pseudonyms.pseudonyms(table, key)
+        new = {r.doc_id: r for r in out.collect()}
+        assert [new[i].n_replaced for i in range(len(texts))] == [1] * 18 + [0] * 3
+        for i, t in enumerate(texts[:18]):
+            assert new[i].text != f"x {t} y" and re.sub("[0-9]+", "0", new[i].text) == re.sub("[0-9]+", "0", f"x {t} y")
+        assert {r.doc_id: r.text for r in pseudonyms.reveal(out, key).collect()} == {i: f"x {t} y" for i, t in enumerate(texts)}
+
+
 def test_feistel_is_a_permutation(spark):
     pairs = spark.range(189 * 773).select(F.array((F.col("id") % 189).cast("int"), F.floor(F.col("id") / 189).cast("int")).alias("v"))
     bases = F.array(F.lit(189), F.lit(773))
