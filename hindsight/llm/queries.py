@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from hindsight.llm.bpe import round_trips
 from hindsight.llm.jaccard import similar_documents
 from hindsight.llm.language import identify
-from hindsight.llm.lm import cross_entropy_difference
 from hindsight.llm.neighbours import nearest
 from hindsight.llm.packing import pack
 from hindsight.llm.pseudonyms import pseudonyms
@@ -19,6 +18,7 @@ from hindsight.llm.quality import quality_rules
 from hindsight.llm.shared import table
 from hindsight.llm.suffix import repeated_strings
 from hindsight.llm.toolcalls import conversation_calls
+from hindsight.llm.wordlm import cross_entropy_difference
 
 #: Whoever runs this on real texts passes a secret; this one makes results comparable.
 PSEUDONYM_KEY = "key of the test tables"

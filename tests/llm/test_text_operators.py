@@ -14,9 +14,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from hindsight.llm import bpe, language, lm, packing, pseudonyms, quality
+from hindsight.llm import bpe, language, lm, packing, pseudonyms, quality, wordlm
 from hindsight.llm.arrays import bytes_of
-from hindsight.llm.queries import PSEUDONYM_KEY
+from hindsight.llm.queries import PSEUDONYM_KEY, QUERIES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 JSON, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -134,6 +134,58 @@ def test_cross_entropy_difference(spark, docs, no_docs, rows):
     assert lm.cross_entropy_difference(docs, wanted.limit(0)).count() == docs.count()
 
 
+def word_tokens(text):
+    return re.findall("[\u3000-\U0010ffff]|[A-Za-z0-9\x80-\u2fff]+|[^\x20\x09-\x0D]", text)
+
+
+def word_losses(rows, target_ids):
+    """(doc_id, events, losses) of each row by counting all others."""
+    read = [["", *t, ""] if (t := word_tokens(r[1] or "")) else [] for r in rows]
+    vocabulary = {w for t in read for w in t}
+    of = [r[0] in target_ids for r in rows]
+    one, two = [[Counter() for _ in range(2)] for _ in range(2)]
+    for t, m in zip(read, of, strict=True):
+        one[m].update(t[1:])
+        two[m].update(zip(t, t[1:]))
+    total = [sum(c.values()) for c in one]
+    out = []
+    for r, t, m in zip(rows, read, of, strict=True):
+        losses = []
+        for model in (True, False):
+            own, own2 = (Counter(t[1:]), Counter(zip(t, t[1:]))) if m == model else (Counter(), Counter())
+            n, share = total[model] - sum(own.values()), wordlm.STRENGTH / len(vocabulary)
+            c, c2 = one[model], two[model]
+            bits = [
+                -math.log2((c[b] - own[b] + share) / (n + 8)) - math.log2((c2[a, b] - own2[a, b] + share) / (c[a] - own[a] + 8)) for a, b in zip(t, t[1:])
+            ]
+            losses.append(sum(bits) / 2 / max(1, len(bits)))
+        out.append((r[0], max(0, len(t) - 1), *losses, losses[1] - losses[0]))
+    return out
+
+
+@pytest.mark.parametrize("how", [wordlm.Routes(), wordlm.Routes(1, 2), wordlm.Routes(1, 2, 40)])
+def test_word_models(spark, docs, no_docs, rows, how):
+    odd = ["漢字漢 é1 É1 7 8, a\x01b", "x\u00a0y z", "Stopped stopped STOPPED 12 13", "漢字 é1 É1 8 8", "ab\u3000c\U0001f389d"] * 3
+    rows = [r[:2] for r in rows if len(r[1] or "") < 3000] + [(500 + i, t) for i, t in enumerate(odd)]
+    few = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    target_ids = {*range(0, 60, 3), 5, 500, 501, 502}
+    wanted = spark.createDataFrame([(i,) for i in [*target_ids, 3, None]], "doc_id long")
+    found = wordlm.cross_entropy_difference(few, wanted, how).collect()
+    by = lambda r: (r[0] is None, r[0] or 0, r[1])
+    for a, b in zip(sorted(map(tuple, found), key=by), sorted(word_losses(rows, target_ids), key=by), strict=True):
+        assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], abs=1e-4)
+    assert wordlm.cross_entropy_difference(no_docs, wanted, how).count() == 0
+    assert wordlm.cross_entropy_difference(docs, wanted.limit(0), how).count() == docs.count()
+
+
+def test_lm_query_tells_words_and_letters_apart(spark, tmp_path):
+    rows = [(i, "ÀÀ 12 Ab" if i % 2 else "ÉÉ 34 aB") for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    found = {r.doc_id: r.score for r in QUERIES["op5_lm_scoring"](spark, str(tmp_path)).collect()}
+    assert len(found) == 40 and all((found[i] > 1) == (i % 2 == 1) and abs(found[i]) > 1 for i in found)
+
+
 def test_pseudonyms(spark, docs, no_docs):
     texts = [
         "card 4785380592391139, 4785-3805 9239 1139; bad 4785380592391138", "+1 (569) 555-6633 or 569-555-6633; 169-555-6633",
