@@ -10,7 +10,13 @@ the even and the odd places are shifted, modulo their bases, by a keyed hash of
 So every value has one pseudonym with the same key, in every document and however it is
 punctuated, no two values share one, and the pseudonym is valid where the value was; check
 digits are computed anew.  `reveal` goes back; only of dates with slashes and the day first,
-which can look like others with the month first afterwards, it can't.
+which can look like others with the month first afterwards, and of cards in groups of four
+beside more such groups, which can look like a card together with them, it can't.
+
+Numbers beside a card or an IBAN are no part of it: unbroken cards, those of 4, 6 and 5 or 4
+digits, and IBANs of their country's length are candidates by themselves; in other rows of
+groups, of 100 digits at most, cards of four groups of four are searched at each group, and if
+there is none, all of the row, or all but its outer groups, may be one.
 
 All of it are Spark expressions, of one row each; nothing is shuffled.
 
@@ -29,16 +35,39 @@ ROUNDS = 8
 #: Days of 400 years of the calendar, which are 189 * 773, and from 1800-01-01 to 1970-01-01.
 CYCLE, DATE_BASES, EPOCH = 146_097, (189, 773), 62_091
 
+#: Characters of the IBANs of each country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _ibans() -> str:
+    """The IBANs of known length, unbroken or in groups of four."""
+    out = []
+    for length, lands in IBAN_LENGTHS.items():
+        groups, rest = divmod(length - 4, 4)
+        last = f" ?[A-Z0-9]{{{rest}}}" if rest else ""
+        out.append(f"(?:{lands.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{groups}}}{last}")
+    return rf"(?:{'|'.join(out)})\b"
+
+
 # The formats, in the order in which they are tried.
 PATTERNS = {
     "mail": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
+    "iban": rf"\b(?:{_ibans()}|[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?)\b",
     "ipv4": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9])",
     "phone": r"(?<![0-9A-Za-z+])(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
 }
+_CARD = r"(?:[0-9]{13,19}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})(?![0-9A-Za-z])"
+_OTHERS = "|".join(p for name, p in PATTERNS.items() if name != "iban")
+PATTERNS["card"] = rf"(?<![0-9A-Za-z])(?:{_CARD}|[0-9](?:(?:[ -](?!{_CARD}|{_OTHERS}))?[0-9]){{12,99}}(?![0-9A-Za-z]))"
+#: What tells the kind of a match, which has lost what stood around it.
+WHOLE = PATTERNS | {"card": "[0-9](?:[ -]?[0-9]){12,99}"}
 ANY = "|".join(PATTERNS.values())
 
 
@@ -211,18 +240,55 @@ def _ssn(match: Column, key: str, back: bool) -> Column:
 
 
 def _card(match: Column, key: str, back: bool) -> Column:
+    """The row of groups with pseudonyms for its cards, and how many these are."""
+
     def renewed(digits: Column) -> Column:
         inner = F.slice(digits, F.lit(2), F.size(digits) - 2)
         # the first digit names the kind of card and stays
         moved = F.concat(F.slice(digits, 1, 1), feistel(inner, _all(10, inner), key, "card", back))
-        return F.when(_luhn(digits) == 0, _let(moved, with_check))
+        return _let(moved, with_check)
 
     def with_check(moved: Column) -> Column:
         check = F.pmod(10 - _luhn(F.concat(moved, F.array(F.lit(0)))), F.lit(10))
         return F.concat(_joined(moved), check.cast("string"))
 
-    new = _let(_numbers(_digits(match)), renewed)
-    return _let(new, lambda n: F.when(n.isNotNull(), _filled("0-9", match, n)))
+    def span(first: Column, size: Column) -> Column:
+        return F.struct(first.cast("int").alias("first"), size.cast("int").alias("size"))
+
+    def written(groups: Column, s: Column) -> Column:
+        return F.array_join(F.slice(groups, s["first"] + 1, s["size"]), "")
+
+    def valid(groups: Column, s: Column) -> Column:
+        return _let(written(groups, s), lambda d: F.length(d).between(13, 19) & (_luhn(_numbers(d)) == 0))
+
+    def of_fours(groups: Column) -> Column:
+        """Four groups of four, from the left, none of which is in two cards."""
+        at = F.filter(F.sequence(F.lit(0), F.size(groups) - 1), lambda i: F.forall(F.slice(groups, i + 1, F.lit(4)), lambda g: F.length(g) == 4))
+        spans = F.filter(F.transform(at, lambda i: span(i, F.lit(4))), lambda s: (s["first"] + 4 <= F.size(groups)) & valid(groups, s))
+        none = F.array().cast("array<struct<first:int,size:int>>")
+        return F.aggregate(spans, none, lambda out, s: F.when(F.exists(out, lambda o: o["first"] + 4 > s["first"]), out).otherwise(F.concat(out, F.array(s))))
+
+    def outer(groups: Column) -> Column:
+        """All groups, or without one before or up to two behind of at most four digits."""
+        tries = F.array(*[span(F.lit(a), F.size(groups) - a - b) for a in (0, 1) for b in (0, 1, 2)])
+        short = lambda s: F.forall(
+            F.transform(groups, lambda g, i: (F.length(g) <= 4) | ((i >= s["first"]) & (i < s["first"] + s["size"]))), lambda x: x
+        )
+        return F.slice(F.filter(tries, lambda s: F.when((s["size"] > 0) & short(s), valid(groups, s)).otherwise(False)), 1, 1)
+
+    def cards(groups: Column) -> Column:
+        return _let(of_fours(groups), lambda found: F.when(F.size(found) > 0, found).otherwise(outer(groups)))
+
+    def shown(groups: Column, spans: Column) -> Column:
+        def piece(g: Column, i: Column) -> Column:
+            begun = F.get(F.filter(spans, lambda s: s["first"] == i), 0)
+            inside = F.exists(spans, lambda s: (s["first"] < i) & (i < s["first"] + s["size"]))
+            return F.when(begun.isNotNull(), _let(_numbers(written(groups, begun)), renewed)).when(inside, "").otherwise(g)
+
+        new = F.array_join(F.transform(groups, piece), "")
+        return F.when(F.size(spans) > 0, F.struct(_refill("0-9", match, new).alias("text"), F.size(spans).alias("n")))
+
+    return _let(F.split(match, "[ -]"), lambda groups: _let(cards(groups), lambda spans: shown(groups, spans)))
 
 
 KINDS: dict[str, Callable[[Column, str, bool], Column]] = {
@@ -231,11 +297,14 @@ KINDS: dict[str, Callable[[Column, str, bool], Column]] = {
 
 
 def _replacement(match: Column, key: str, back: bool) -> Column:
-    """The pseudonym of a candidate; null if it is not valid."""
+    """The pseudonym of a candidate and how many values it replaces; null if it is not valid."""
     out = None
     for name, kind in KINDS.items():
-        whole = match.rlike(f"^(?:{PATTERNS[name]})$")
-        out = F.when(whole, kind(match, key, back)) if out is None else out.when(whole, kind(match, key, back))
+        whole = match.rlike(f"^(?:{WHOLE[name]})$")
+        new = kind(match, key, back)
+        if name != "card":
+            new = _let(new, lambda n: F.when(n.isNotNull(), F.struct(n.alias("text"), F.lit(1).alias("n"))))
+        out = F.when(whole, new) if out is None else out.when(whole, new)
     return out
 
 
@@ -245,9 +314,9 @@ def _replaced(docs: DataFrame, key: str, back: bool) -> DataFrame:
     may = F.coalesce(F.col("text").rlike("[0-9@]"), F.lit(False))
     found = docs.withColumn("matches", F.when(may, F.regexp_extract_all("text", F.lit(ANY), 0)))
     found = found.withColumn("new", F.when(F.size("matches") > 0, F.transform("matches", lambda m: _replacement(m, key, back))))
-    shown = F.zip_with("matches", "new", lambda m, n: F.coalesce(n, m))
+    shown = F.zip_with("matches", "new", lambda m, n: F.coalesce(n["text"], m))
     pieces = F.zip_with(F.split("text", ANY, -1), shown, lambda part, m: F.concat(part, F.coalesce(m, F.lit(""))))
-    count = F.coalesce(F.size(F.filter("new", lambda n: n.isNotNull())), F.lit(0))
+    count = F.aggregate("new", F.lit(0), lambda total, n: total + F.coalesce(n["n"], F.lit(0)))
     return found.select(
         *docs.columns,
         F.when(F.size("matches") > 0, F.array_join(pieces, "")).otherwise(F.col("text")).alias("new_text"),

@@ -233,6 +233,29 @@ def test_pseudonyms_of_numbers_that_are_not_assigned(spark):
         assert {r.doc_id: r.text for r in pseudonyms.reveal(out, key).collect()} == {i: f"x {t} y" for i, t in enumerate(texts)}
 
 
+def test_cards_and_ibans_beside_other_numbers(spark):
+    card, iban = "4785380592391139", "BE68539007547034"
+    parts = {
+        "% 123": card, "% 12/27": card, "12 %": card, "% 2024-02-29": card, "% 569-555-6633": card, "1 % 5 77": card, "% 1": "4785 3805 9239 1139",
+        "1234 %": "4785 3805 9239 1139", "% 12/28": "4785 3805 9239 1139", "% 1234": "3782 822463 10005", "% 12-27": "47853805 92391139",
+        "% 2024": iban, "% ABC": iban, "% ABCD": "BE68 5390 0754 7034", "% 2024-02-29": "BE68 5390 0754 7034",
+    }
+    texts = [(f.replace("%", v), v) for f, v in parts.items()]
+    twice = ["4785 3805 9239 1139 4785 3805 9239 1139", f"{card} {card}", f"{iban} GB82 WEST 1234 5698 7654 32"]
+    table = spark.createDataFrame(list(enumerate([t for t, _ in texts] + twice)), "doc_id long, text string")
+    out = pseudonyms.pseudonyms(table, "k")
+    new = {r.doc_id: r for r in out.collect()}
+    for i, (t, v) in enumerate(texts):
+        assert v not in new[i].text and new[i].n_replaced >= 1, t
+        assert re.sub("[0-9A-Z]", "0", new[i].text) == re.sub("[0-9A-Z]", "0", t)
+    assert [new[len(texts) + i].n_replaced for i in range(3)] == [2, 2, 2]
+    assert new[0].text.endswith(" 123") and new[0].text[:16] == new[2].text[3:]
+    # groups that are no card with all of them stay
+    wide = spark.createDataFrame([(0, "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17"), (1, "4785380592391138 123"), (2, "7 " * 5000)], "doc_id long, text string")
+    assert {r.n_replaced for r in pseudonyms.pseudonyms(wide.where("doc_id < 2"), "k").collect()} == {0}
+    assert pseudonyms.pseudonyms(wide, "k").count() == 3
+
+
 def test_feistel_is_a_permutation(spark):
     pairs = spark.range(189 * 773).select(F.array((F.col("id") % 189).cast("int"), F.floor(F.col("id") / 189).cast("int")).alias("v"))
     bases = F.array(F.lit(189), F.lit(773))
