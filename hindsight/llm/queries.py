@@ -61,7 +61,7 @@ def op7_feistel_pseudonyms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op8_tool_call_linking(spark: SparkSession, sf: str) -> DataFrame:
-    """All turns of conversations as calls and results."""
+    """User turns of conversations as calls, assistant turns as results; other turns, or without a role, give no row."""
     return conversation_calls(table(spark, sf, "conversations"))
 
 

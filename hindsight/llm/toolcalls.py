@@ -147,7 +147,8 @@ def turns_as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results of plain conversations: each user turn calls for a reply.
 
     The call's number is its turn's; it comes after the call two turns before, and the turn
-    after it is its result if the assistant has it.
+    after it is its result if the assistant has it.  Turns of the system, of any other role and
+    without a role are neither and are left out.
     """
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     name = lambda back: F.concat(F.lit("call_"), F.col("conv_id").cast("string"), F.lit("_"), (F.col("turn") - back).cast("string"))

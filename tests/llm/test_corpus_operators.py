@@ -236,6 +236,13 @@ def test_tool_calls(spark):
     assert toolcalls.conversation_calls(talk).count() == 0
 
 
+def test_turns_that_are_no_call_or_result_are_left_out_and_said_to_be(spark):
+    rows = [(1, 0, "system", "s"), (1, 1, "user", "u"), (1, 2, "assistant", "a"), (1, 3, None, "n"), (1, 4, "tool", "t")]
+    found = toolcalls.conversation_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert [(r.turn, r.result_turn, r.status) for r in found] == [(1, 2, "linked")]
+    assert "give no row" in queries.op8_tool_call_linking.__doc__ and "left out" in toolcalls.turns_as_calls.__doc__
+
+
 def test_order_of_calls_is_topological(spark):
     rnd = random.Random(11)
     after = {i: [f"n{j}" for j in rnd.sample(range(40), 2) if (j * 7) % 40 < (i * 7) % 40] for i in range(40)}
