@@ -5,6 +5,7 @@ import json
 import random
 import re
 from collections import Counter, defaultdict
+from zlib import crc32
 
 import numpy as np
 import public_tokenizers
@@ -15,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from hindsight.llm import bpe, jaccard, neighbours, oracle, queries, quality, suffix, toolcalls
+from hindsight.llm import bpe, jaccard, neighbours, oracle, pseudonyms, queries, quality, suffix, toolcalls
 from hindsight.llm.shared import components
 
 SF = "/root/testdata/sf0.001"
@@ -278,6 +279,31 @@ def test_pipeline(spark):
     assert len(plain) > 100 and all(sizes[i] == len(code.encode([texts[i]])[0]) // 4 + 1 for i in plain)
 
 
+def test_all_rows_of_the_pipeline(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    kept = {r.doc_id for r in quality.quality_rules(spark.read.parquet(f"{SF}/documents.parquet")).where("kept").collect()}
+    rows = [r for r in rows if r[0] in kept]
+    rows = [r for r, (_, c) in zip(rows, linked_by(rows), strict=True) if r[0] == c]
+    texts = [(r[0], kept.decode("utf-8", "ignore") if gone else r[1]) for r, (_, gone, _, kept) in zip(rows, repeats_of(rows), strict=True)]
+    table = spark.createDataFrame([t for t in texts if t[1]], "doc_id long, text string")
+    code = bpe.Encoder(bpe.tokenizer_of_json(public_tokenizers.path("byte_bpe_50k.json")))
+    clean = pseudonyms.pseudonyms(table, queries.PSEUDONYM_KEY).collect()
+    assert sum(r.n_replaced > 0 for r in clean) > 0
+    want = []
+    for r in clean:
+        ids = np.frombuffer(code.encode([r.text])[0] + bytes(4), "<u4")
+        first = len(ids) % 2048 or 2048
+        cuts = [0, *range(min(first, len(ids)), len(ids), 2048), len(ids)]
+        want += [(r.doc_id, n, a, b - a, crc32(ids[a:b].tobytes())) for n, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    found = corpus_pipeline.run(spark, SF).collect()
+    assert sorted(tuple(r)[:5] for r in found) == sorted(want)
+    filled = Counter()
+    for r in sorted(found, key=lambda r: r.offset):
+        assert filled[r.sequence_id] == r.offset
+        filled[r.sequence_id] += r.length
+    assert max(filled.values()) <= 2048
+
+
 def test_stages_return_the_columns_of_documents(spark, docs):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, SF)
