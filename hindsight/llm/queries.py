@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hindsight.llm.bpe import round_trips
+from hindsight.llm.divergence import source_divergence
 from hindsight.llm.jaccard import similar_documents
 from hindsight.llm.language import identify
+from hindsight.llm.negatives import hard_negatives
 from hindsight.llm.neighbours import nearest
 from hindsight.llm.packing import pack
 from hindsight.llm.pseudonyms import pseudonyms
@@ -18,6 +20,7 @@ from hindsight.llm.quality import quality_rules
 from hindsight.llm.shared import table
 from hindsight.llm.suffix import repeated_strings
 from hindsight.llm.toolcalls import conversation_calls
+from hindsight.llm.warc import archived_pages
 from hindsight.llm.wordlm import cross_entropy_difference
 
 #: Whoever runs this on real texts passes a secret; this one makes results comparable.
@@ -76,6 +79,22 @@ def op10_byte_level_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return round_trips(table(spark, sf, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op11_source_divergence(spark: SparkSession, sf: str) -> DataFrame:
+    """How far the sources of all documents are from each other, and by which terms."""
+    return source_divergence(table(spark, sf, "documents"))
+
+
+def op12_warc(spark: SparkSession, sf: str) -> DataFrame:
+    """All pages, written to archives and read back."""
+    return archived_pages(table(spark, sf, "pages"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    """Hard negatives of each hundredth vector; every seventh has the label after its own."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
@@ -87,4 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_tool_call_linking": op8_tool_call_linking,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_byte_level_bpe": op10_byte_level_bpe,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_warc": op12_warc,
+    "op13_hard_negatives": op13_hard_negatives,
 }
