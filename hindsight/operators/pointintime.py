@@ -3,22 +3,27 @@ its entity that was visible at the observation's own time (J1-J6)."""
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from datetime import timedelta
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hindsight.functions.columns import require_columns
 from hindsight.session import require_utc
-from hindsight.operators.skew import SkewPolicy, heavy_groups, inline, is_in, key_hash
+from hindsight.operators.skew import SkewPolicy, key_hash
 
-MICRO = 1_000_000
-FINEST_FIRST_CELL = 60 * MICRO
-CELLS_PER_TASK = 16
 ROW_BYTES = 16
+#: Ranges for each shuffle partition, so that those that meet in one task add up evenly; sampled
+#: rows for each range; ranges at most, which bounds what the driver gets to a million rows.
+RANGES_PER_TASK = 16
+RANGE_ROWS = 16
+MOST_RANGES = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -221,54 +226,57 @@ def _last_visible(rows: DataFrame, group: Sequence[str], sets: Sequence[str]) ->
 
 
 def _route(obs, features, outline, names, sets, policy: SkewPolicy) -> DataFrame | None:
-    """The join with hot entities cut into time cells, or None if there are none.
+    """The join with crowded entities cut into ranges of time, or None if there are none.
 
-    A cell starts with one carried row: the last row of each set in earlier cells.  It is
-    found on one row per cell.  An instant that alone is too large is joined once, for a
-    single stand-in, and its rows get the answer by broadcast.
+    The cuts are those of a range partitioning of all rows by entity and time (`_cuts`).  A
+    range begins with one carried row: the last row of each set in the entity's earlier ranges,
+    by a running maximum over one row per range.  At an instant with rows enough for several
+    ranges, feature rows are reduced to the one that wins, and observations stay where they
+    are: one stand-in is joined for all of them, and its answer broadcast.
     """
-    spark = obs.sparkSession
     place = {"_h": key_hash(names), "_u": F.unix_micros("_t")}
     obs, features, outline = (df.withColumns(place) for df in (obs, features, outline))
     every = obs.select("_h", "_u", "_side").unionByName(outline.select("_h", "_u", "_side"))
-    hot = heavy_groups(
-        every, ["_h"], policy.hot_rows, policy, [F.min("_u").alias("first"), F.max("_u").alias("last")]
-    )
-    if not hot:
+    cuts, crowded = _cuts(every, policy)
+    if not cuts:
         return None
-    in_hot = is_in("_h", [r["_h"] for r in hot])
+    spark = obs.sparkSession
 
-    every = every.where(in_hot)
-    instants = heavy_groups(every, ["_h", "_u", "_side"], policy.hot_rows, policy)
-    crowded = [[(r["_h"], r["_u"]) for r in instants if r["_side"] == side] for side in (0, 1)]
+    def listed(side: int) -> DataFrame:
+        at = [(h, u) for h, u, s in crowded if s == side]
+        return F.broadcast(_small(spark, {"_h": [h for h, _ in at], "_u": [u for _, u in at]}))
 
     held = None
-    if crowded[0]:
+    if any(side == 0 for _, _, side in crowded):
         # Rows of one set at one instant: only the greatest can win.
-        listed = F.broadcast(inline(spark, ["_h", "_u"], crowded[0]))
-        many = features.join(listed, ["_h", "_u"], "left_semi")
+        many = features.join(listed(0), ["_h", "_u"], "left_semi")
         best = many.groupBy("_h", "_u", *names, "_t", "_side").agg(*[F.max(s).alias(s) for s in sets])
-        features = features.join(listed, ["_h", "_u"], "left_anti").unionByName(best)
-    if crowded[1]:
-        listed = F.broadcast(inline(spark, ["_h", "_u"], crowded[1]))
-        held = obs.join(listed, ["_h", "_u"], "left_semi")
+        features = features.join(listed(0), ["_h", "_u"], "left_anti").unionByName(best)
+    if any(side == 1 for _, _, side in crowded):
+        held = obs.join(listed(1), ["_h", "_u"], "left_semi")
         stand_in = held.select(*names, "_t", "_side", "_h", "_u").distinct()
-        obs = obs.join(listed, ["_h", "_u"], "left_anti").unionByName(stand_in, allowMissingColumns=True)
-
-    # One pass for all entities; those that are not hot lie in a single cell.
-    cell = _cells(spark, every, hot, instants, policy)
-    obs, features = cell(obs), cell(features)
-    group = [*names, "_cell"]
-    tops = features.where(in_hot).groupBy(*group).agg(*[F.max(s).alias(s) for s in sets])
-    wanted = obs.where(in_hot).select(*group).distinct()
-    earlier = Window.partitionBy(*names).orderBy("_cell", "_want").rowsBetween(Window.unboundedPreceding, -1)
-    # In a cell the question sorts before the cell's own last row, so it sees earlier cells only.
+        obs = obs.join(listed(1), ["_h", "_u"], "left_anti").unionByName(stand_in, allowMissingColumns=True)
+
+    # One pass for all entities; those that are not cut lie in a single range.
+    bounds = F.broadcast(_small(spark, {"_h": list(cuts), "_cuts": list(cuts.values())}))
+
+    def ranged(df: DataFrame) -> DataFrame:
+        at = F.col("_u") * 2 + F.col("_side")
+        return df.join(bounds, "_h", "left").withColumn("_range", _count_up_to("_cuts", at)).withColumn("_is_cut", F.col("_cuts").isNotNull()).drop("_cuts")
+
+    obs, features = ranged(obs), ranged(features)
+    group = [*names, "_range"]
+    tops = features.where("_is_cut").groupBy(*group).agg(*[F.max(s).alias(s) for s in sets])
+    wanted = obs.where("_is_cut").select(*group).distinct()
+    earlier = Window.partitionBy(*names).orderBy("_range", "_want").rowsBetween(Window.unboundedPreceding, -1)
+    # In a range the question sorts before the range's own last row, so it sees earlier ones only.
     carried = (
         tops.withColumn("_want", F.lit(1))
         .unionByName(wanted.withColumn("_want", F.lit(0)), allowMissingColumns=True)
         .select(*group, "_want", *[F.last(s, ignorenulls=True).over(earlier).alias(s) for s in sets])
         .where("_want = 0")
-        .select(*group, F.timestamp_micros(F.col("_cell")).alias("_t"), F.lit(-1).alias("_side"), *sets)
+        # no time sorts before every time
+        .select(*group, F.lit(None).cast("timestamp").alias("_t"), F.lit(-1).alias("_side"), *sets)
     )
     rows = obs.unionByName(features, allowMissingColumns=True).unionByName(carried, allowMissingColumns=True)
     found = _last_visible(rows, group, sets)
@@ -280,45 +288,58 @@ def _route(obs, features, outline, names, sets, policy: SkewPolicy) -> DataFrame
     same = F.col("_t") == F.col("_a_t")
     for n in names:
         same = same & (F.col(n) == F.col(f"_a{n}"))
-    # One answer per listed instant, so at most max_groups rows are broadcast.
+    # One answer per crowded instant, of which there are fewer than ranges.
     given = held.join(F.broadcast(answers), same, "left").select("_obs", *sets)
     found = found.where("_obs IS NOT NULL").select("_obs", *sets)
     return found.unionByName(given)
 
 
-def _cells(spark, every, hot, instants, policy: SkewPolicy):
-    """A function that adds `_cell`, the start of a row's time cell in microseconds.
+def _small(spark, columns: dict[str, list]) -> DataFrame:
+    """A table of longs, or of arrays of longs, held in the plan."""
+    kinds = [pa.list_(pa.int64()) if values and isinstance(values[0], list) else pa.int64() for values in columns.values()]
+    return spark.createDataFrame(pa.table([pa.array(v, k) for v, k in zip(columns.values(), kinds)], names=list(columns)))
 
-    The first cut gives every hot entity cells of equal length; cells that still hold too
-    many rows are cut again by their own count.
+
+def _cuts(every: DataFrame, policy: SkewPolicy) -> tuple[dict[int, list[int]], list[tuple[int, int, int]]]:
+    """Where a range partitioning of rows (_h, _u, _side) cuts through entities.
+
+    As for a global sort, the bounds of equal ranges come from a sample of the rows, RANGE_ROWS
+    for each range on average.  There are RANGES_PER_TASK ranges for each shuffle partition,
+    or as many as keep a range below `hot_rows` rows, and at most MOST_RANGES.  Only bounds in
+    entities that have two or more matter: an entity with fewer has less than two ranges of
+    rows and lies in one task.  Returns the cuts by entity, as 2 * time + side, and the
+    instants on which two or more bounds fall.
     """
-    def width(span: int, n: int, finest: int) -> int:
-        return max(finest, span // (CELLS_PER_TASK * -(-n // policy.hot_rows)) + 1)
-
-    widths = F.broadcast(inline(
-        spark, ["_h", "_w"], [(r["_h"], width(r["last"] - r["first"], r["n"], FINEST_FIRST_CELL)) for r in hot]
-    ))
-    first = F.expr("_u - pmod(_u, _w)")
-    coarse = every
-    if instants:
-        listed = inline(spark, ["_h", "_u"], sorted({(r["_h"], r["_u"]) for r in instants}))
-        coarse = coarse.join(F.broadcast(listed), ["_h", "_u"], "left_anti")
-    coarse = coarse.join(widths, "_h").withColumn("_cell", first)
-    full = heavy_groups(
-        coarse, ["_h", "_cell"], policy.hot_rows, policy, [F.min("_u").alias("first"), F.max("_u").alias("last")]
-    )
-    finer = None
-    if full:
-        finer = F.broadcast(inline(
-            spark, ["_h", "_cell", "_w2"],
-            [(r["_h"], r["_cell"], width(r["last"] - r["first"], r["n"], 1)) for r in full],
-        ))
-
-    def cell(df: DataFrame) -> DataFrame:
-        df = df.join(widths, "_h", "left").withColumn("_cell", F.coalesce(first, F.lit(0))).drop("_w")
-        if finer is None:
-            return df
-        cut = F.expr("_cell + (_u - _cell) - pmod(_u - _cell, _w2)")
-        return df.join(finer, ["_h", "_cell"], "left").withColumn("_cell", F.coalesce(cut, "_cell")).drop("_w2")
-
-    return cell
+    spark = every.sparkSession
+    total = every.count()
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = min(MOST_RANGES, max(RANGES_PER_TASK * tasks, -(-total // policy.hot_rows)))
+    share = min(1.0, RANGE_ROWS * ranges / max(total, 1))
+    chosen = every if share == 1 else every.sample(share, seed=20240229)
+    sample = chosen.select("_h", (F.col("_u") * 2 + F.col("_side")).alias("x")).toArrow()
+    places = np.stack([sample.column(c).to_numpy() for c in ("_h", "x")], axis=1)
+    places = places[np.lexsort((places[:, 1], places[:, 0]))]
+    bounds = places[np.unique(np.arange(1, ranges) * len(places) // ranges)] if len(places) else places
+    by_entity: dict[int, list[int]] = {}
+    for h, x in bounds.tolist():
+        by_entity.setdefault(h, []).append(x)
+    several = {h: xs for h, xs in by_entity.items() if len(xs) > 1}
+    crowded = [(h, x >> 1, x & 1) for h, xs in several.items() for x, n in Counter(xs).items() if n > 1]
+    return {h: sorted(set(xs)) for h, xs in several.items()}, crowded
+
+
+def _count_up_to(sorted_longs: str, value: Column) -> Column:
+    """How many entries of a sorted array are at most `value`, by halving; 0 for no array."""
+    def halve(state: Column, _: Column) -> Column:
+        low, high = state["low"], state["high"]
+        middle = F.floor((low + high) / 2).cast("int")
+        up = (low < high) & (F.get(sorted_longs, middle) <= value)
+        return F.struct(
+            F.when(up, middle + 1).otherwise(low).alias("low"), F.when(up | (low >= high), high).otherwise(middle).alias("high")
+        )
+
+    size = F.size(sorted_longs)
+    start = F.struct(F.lit(0).alias("low"), size.alias("high"))
+    # an array of n entries is empty after log2(n) + 1 halves
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(size + 1)).cast("int"))
+    return F.when(F.col(sorted_longs).isNull(), 0).otherwise(F.aggregate(steps, start, halve)["low"])

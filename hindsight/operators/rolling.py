@@ -6,7 +6,6 @@ The frame of a row holds the rows of its key whose time, in whole seconds, lies
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import timedelta
@@ -19,7 +18,11 @@ from hindsight.functions.columns import epoch_seconds
 from hindsight.operators.skew import SkewPolicy, heavy_groups, inline, is_in, key_hash
 
 FUNCTIONS = {"count": F.count, "sum": F.sum, "avg": F.avg}
+#: Seconds of a tile at most, which bounds what a task holds of a key; tiles that a frame is
+#: summed from directly, before tiles of tiles take over.
 LONGEST_TILE = 21_600
+REACH = 64
+#: Times as many rows as a crowded stretch has.
 VERY_DENSE = 10
 
 
@@ -50,6 +53,8 @@ def rolling(
     aggs: Sequence[Rolling],
     keep: Sequence[str] = (),
     policy: SkewPolicy | None = SkewPolicy(),
+    wanted: Column | None = None,
+    before: DataFrame | None = None,
 ) -> DataFrame:
     """One row per input row: keys, time, `keep`, then the aggregates in order.
 
@@ -57,6 +62,9 @@ def rolling(
     many are reduced to one row per second first and their frames put together from
     tiles (`_tiled`), so that no task re-reads or holds a long frame.  `policy=None`
     skips the profile and uses the plain form for every key.
+
+    `wanted`: which rows get a result; the others are only seen by them.  `before`: sums of
+    rows that are not in `df` any more (`partial_sums`), seen like the rows themselves.
     """
     if not aggs:
         raise ValueError("no aggregates given")
@@ -64,21 +72,52 @@ def rolling(
     names = [*dict.fromkeys([*keys, ts, *keep]), *[a.name for a in aggs]]
     if len(set(names)) < len(names) or any(n.startswith("__") for n in [*columns, *names]):
         raise ValueError(f"output names must differ and not start with two underscores: {names}")
-    base = df.select(*columns, epoch_seconds(ts).alias("__sec"))
-    plain = _plain(base, keys, ts, aggs, keep)
+    own = [] if wanted is None and before is None else [(F.lit(True) if wanted is None else F.coalesce(wanted, F.lit(False))).alias("__own")]
+    base = df.select(*columns, epoch_seconds(ts).alias("__sec"), *own)
+    if before is not None:
+        before = before.withColumn("__sec", epoch_seconds("__at")).drop("__at")
+    plain = _plain(base, keys, ts, aggs, keep, before)
     if policy is None:
         return plain
 
-    dense = _dense_keys(base, keys, max(a.seconds for a in aggs), policy)
-    if not dense:
+    places = base.select(*keys, "__sec") if before is None else base.select(*keys, "__sec").unionByName(before.select(*keys, "__sec"))
+    dense = _dense_keys(places, keys, max(a.seconds for a in aggs), policy)
+    densest = dense.orderBy(F.desc("n"), "h").limit(policy.max_groups + 1).collect()
+    if not densest:
         return plain
-    if len(dense) > policy.max_groups and min(dense.values()) > VERY_DENSE * policy.dense_rows:
-        return _tiled(base, keys, ts, aggs, keep, policy).select(plain.columns)
-    hashed = base.withColumn("__h", key_hash(keys))
-    in_dense = is_in("__h", dense)
-    ordinary = _plain(hashed.where(~in_dense), keys, ts, aggs, keep)
-    crowded = _tiled(hashed.where(in_dense).drop("__h"), keys, ts, aggs, keep, policy)
-    return ordinary.unionByName(crowded)
+    if len(densest) > policy.max_groups and densest[-1].n > VERY_DENSE * policy.dense_rows:
+        # so many so crowded keys that the others are better off in tiles, too
+        return _tiled(base, keys, ts, aggs, keep, policy, before)
+    listed = [r.h for r in densest]
+
+    def marked(rows: DataFrame) -> DataFrame:
+        hashed = rows.withColumn("__h", key_hash(keys))
+        if len(listed) <= policy.max_groups:
+            return hashed.withColumn("__dense", is_in("__h", listed)).drop("__h")
+        # too many for a list in the plan: they meet their rows by a join
+        many = dense.select(F.col("h").alias("__h"), F.lit(True).alias("__dense"))
+        return hashed.join(many, "__h", "left").withColumn("__dense", F.coalesce("__dense", F.lit(False))).drop("__h")
+
+    base, before = marked(base), None if before is None else marked(before)
+    part = lambda which: [None if d is None else d.where(which).drop("__dense") for d in (base, before)]
+    some, seen = part("NOT __dense")
+    ordinary = _plain(some, keys, ts, aggs, keep, seen)
+    some, seen = part("__dense")
+    return ordinary.unionByName(_tiled(some, keys, ts, aggs, keep, policy, seen))
+
+
+def partial_sums(df: DataFrame, keys: Sequence[str], ts: str, aggs: Sequence[Rolling]) -> DataFrame:
+    """What frames need of rows: keys, `__at` (a whole second), and the sums of `_parts`."""
+    parts = _parts(df.schema, aggs)
+    sums = [F.sum(c).alias(name) for some in parts.values() for name, c in some.items()]
+    return df.where(F.col(ts).isNotNull()).groupBy(*keys, F.timestamp_seconds(epoch_seconds(ts)).alias("__at")).agg(*sums)
+
+
+def coarser_sums(sums: DataFrame, keys: Sequence[str], seconds: int, begin: Column) -> DataFrame:
+    """`partial_sums` over tiles of so many seconds; a tile is placed at its start, or at `begin` if that is later."""
+    tile = F.timestamp_seconds(F.expr(f"unix_seconds(__at) - pmod(unix_seconds(__at), {seconds})"))
+    names = [c for c in sums.columns if c not in (*keys, "__at")]
+    return sums.groupBy(*keys, F.greatest(tile, begin).alias("__at")).agg(*[F.sum(c).alias(c) for c in names])
 
 
 def _parts(schema, aggs) -> dict[str, dict[str, Column]]:
@@ -123,140 +162,164 @@ def _types(base, aggs) -> dict:
     return {f.name: f.dataType for f in base.select(*[FUNCTIONS[a.func](a.column).alias(a.name) for a in aggs]).schema}
 
 
-def _plain(base, keys, ts, aggs, keep) -> DataFrame:
+def _plain(base, keys, ts, aggs, keep, before=None) -> DataFrame:
     ordered = Window.partitionBy(*keys).orderBy("__sec")
     parts, types = _parts(base.schema, aggs), _types(base, aggs)
     cut = base.withColumns({name: c for some in parts.values() for name, c in some.items()})
+    if before is not None:
+        cut = cut.unionByName(before, allowMissingColumns=True)
+    needed = {}
+    for a in aggs:
+        for p in parts[a.column]:
+            if a.func != "count" or p.startswith("__n"):
+                needed[a.seconds, p] = F.sum(p).over(ordered.rangeBetween(-a.seconds, 0)).alias(f"__t{a.seconds}{p}")
+    kept = list(dict.fromkeys([*keys, ts, *keep]))
+    # each part of a frame is summed once, whichever aggregates need it
+    own = ["__own"] if "__own" in base.columns else []
+    summed = cut.select(*kept, *own, *needed.values())
+    summed = summed.where("__own") if own else summed
 
     def result(a: Rolling) -> Column:
-        frame = ordered.rangeBetween(-a.seconds, 0)
         i = list(parts).index(a.column)
-        return _result(a, i, f"__h{i}" in parts[a.column], lambda p: F.sum(p).over(frame), types[a.name])
-
-    return cut.select(*dict.fromkeys([*keys, ts, *keep]), *map(result, aggs))
+        return _result(a, i, f"__h{i}" in parts[a.column], lambda p: F.col(f"__t{a.seconds}{p}"), types[a.name])
 
+    return summed.select(*kept, *map(result, aggs))
 
-def _dense_keys(base, keys, longest: int, policy: SkewPolicy) -> dict[int, int]:
-    """Hash and rows of the most crowded stretch of one frame length, densest keys first.
 
-    At most max_groups + 1 keys.  Dense keys beyond the list use the plain form, unless
-    even the last one listed is so dense that every key is better off in tiles.
-    """
+def _dense_keys(base, keys, longest: int, policy: SkewPolicy) -> DataFrame:
+    """Hashes of the keys of which a stretch of one frame length is crowded, and the rows of the most crowded one."""
     stretch = base.select(
         key_hash(keys).alias("h"), F.expr(f"(__sec - pmod(__sec, {longest})) div {longest}").alias("b")
     )
-    rows = (
-        stretch.groupBy("h", "b")
-        .count()
-        .where(F.col("count") > policy.dense_rows)
-        .groupBy("h")
-        .agg(F.max("count").alias("n"))
-        .orderBy(F.desc("n"), "h")
-        .limit(policy.max_groups + 1)
-        .collect()
-    )
-    return {r.h: r.n for r in rows}
-
+    return stretch.groupBy("h", "b").count().where(F.col("count") > policy.dense_rows).groupBy("h").agg(F.max("count").alias("n"))
 
-def _tile_length(aggs) -> int:
-    """Longest tile, up to six hours, that divides every duration."""
-    common = math.gcd(*[a.seconds for a in aggs])
-    return max(t for t in range(1, min(common, LONGEST_TILE) + 1) if common % t == 0)
 
+def _tile_groups(durations: Sequence[int]) -> list[tuple[int, list[int]]]:
+    """(tile, durations) of the frames that share tiles, shortest first.
 
-def _tiled(base, keys, ts, aggs, keep, policy: SkewPolicy) -> DataFrame:
-    """The same aggregates in linear work, whatever number of rows a key has.
-
-    Rows are combined per (key, second) on the map side.  With tiles that divide the
-    duration, a frame is: the end of its first tile, whole tiles, the start of its last
-    tile.  The start is a running sum in the tile; the end is a running sum, backwards, of
-    copies moved one duration ahead into the same tile; the whole tiles are summed over
-    one row per tile.  Nothing is subtracted, so doubles keep their accuracy; what is summed
-    are the same parts as in the plain form (`_parts`).
+    A tile is no longer than the shortest frame of its group nor than LONGEST_TILE, and but
+    for the longest tiles no frame has more than REACH of them.
     """
-    tile = _tile_length(aggs)
-    durations = sorted({a.seconds for a in aggs})
-    parts = _parts(base.schema, aggs)
-    partials = {name: F.sum(c) for some in parts.values() for name, c in some.items()}
-    seconds = (
-        base.groupBy(*keys, "__sec")
-        .agg(*[c.alias(name) for name, c in partials.items()])
-        .withColumn("__tile", F.expr(f"(__sec - pmod(__sec, {tile})) div {tile}"))
-    )
+    groups: list[tuple[int, list[int]]] = []
+    for d in sorted(set(durations)):
+        if groups and (groups[-1][0] == LONGEST_TILE or d <= REACH * groups[-1][0]):
+            groups[-1][1].append(d)
+        else:
+            groups.append((min(d, LONGEST_TILE), [d]))
+    return groups
+
+
+def _sum_of(columns: Sequence[str]) -> Column:
+    added = F.coalesce(F.col(columns[0]), F.lit(0))
+    for c in columns[1:]:
+        added = added + F.coalesce(F.col(c), F.lit(0))
+    return added
+
+
+def _framed(places: DataFrame, keys: Sequence[str], names: Sequence[str], durations: Sequence[int]) -> DataFrame:
+    """`places` with the sums `__t<d><name>` over the places from `__pos` - d to `__pos`, for each d.
+
+    places: one row per key and whole-numbered place, `names` are the columns to sum up.  A
+    place without a number sees only itself.  Time is cut into tiles.  For a place s in tile
+    b, a frame of length d is in three parts: from the start of the tile to s; what a copy,
+    moved ahead by d, has in tile b from s on; and what lies between, which is the same for
+    all places of the tile: whole tiles, and the end of the tile before them where tiles do
+    not divide d.  What lies between is found on one row per tile; if that takes many tiles,
+    by the same method, with tiles of tiles.  Nothing is subtracted.
+    """
+    out = places
+    for tile, lengths in _tile_groups(durations):
+        out = _framed_by(out, places, keys, names, tile, lengths)
+    return out
 
-    # Whole tiles strictly between the first and the last tile of a frame.  Rows without a
-    # time have none; they are told apart after the sums, since a filter would be pushed
-    # below the aggregation and keep Spark from reusing its shuffle.
-    per_tile = Window.partitionBy(*keys).orderBy("__tile")
 
-    def whole(p: str, d: int) -> Column:
-        between = F.sum(p).over(per_tile.rangeBetween(1 - d // tile, -1))
-        return F.when(F.col("__tile").isNotNull(), between).alias(f"__mid{d}{p}")
-
-    totals = (
-        seconds.groupBy(*keys, "__tile")
-        .agg(*[F.sum(p).alias(p) for p in partials])
-        .select(
-            *keys,
-            "__tile",
-            (F.col("__tile") * tile - 1).alias("__pos"),
-            F.lit(-1).alias("__kind"),
-            *[whole(p, d) for d in durations if d > tile for p in partials],
+def _framed_by(asked: DataFrame, places: DataFrame, keys, names, tile: int, durations: Sequence[int]) -> DataFrame:
+    carried = [c for c in asked.columns if c not in (*keys, "__pos")]
+    in_tile = lambda place: F.expr(f"({place} - pmod({place}, {tile})) div {tile}")
+    whole = {d: d // tile - 1 for d in durations if d >= 2 * tile}
+    ends = {d: d % tile for d in durations if d % tile}
+
+    # Sums of tiles and of their last places.  Places without a number have none; they are told
+    # apart after the sums, since a filter would be pushed below the aggregation and keep Spark
+    # from reusing its shuffle.
+    tiles = (
+        places.withColumn("__tile", in_tile("__pos"))
+        .groupBy(*keys, "__tile")
+        .agg(
+            *[F.sum(p).alias(p) for p in names],
+            *[F.sum(F.when(F.expr(f"pmod(__pos, {tile})") >= tile - r, F.col(p))).alias(f"__e{d}{p}") for d, r in ends.items() for p in names],
         )
     )
-
-    moved = F.explode(F.array(*[
-        F.struct(F.lit(kind).alias("kind"), F.lit(shift).alias("shift"))
-        for kind, shift in enumerate([0, *durations])
-    ]))
-    placed = (
-        seconds.withColumn("__m", moved)
-        .where("__sec IS NOT NULL OR __m.kind = 0")
-        .select(
-            *keys,
-            F.expr(f"__tile + __m.shift div {tile}").alias("__tile"),
-            F.expr("__sec + __m.shift").alias("__pos"),
-            F.col("__m.kind").alias("__kind"),
-            *partials,
-        )
+    per_tile = Window.partitionBy(*keys).orderBy("__tile")
+    numbered = F.col("__tile").isNotNull()
+    near = {d: n for d, n in whole.items() if n <= REACH}
+    between = tiles.select(
+        *keys, "__tile",
+        *[F.when(numbered, F.sum(p).over(per_tile.rangeBetween(-n, -1))).alias(f"__w{d}{p}") for d, n in near.items() for p in names],
+        *[
+            F.when(numbered, F.sum(f"__e{d}{p}").over(per_tile.rangeBetween(-(d // tile), -(d // tile)))).alias(f"__e{d}{p}")
+            for d in ends for p in names
+        ],
     )
+    middle = [between] if near or ends else []
+    if far := {d: n for d, n in whole.items() if n > REACH}:
+        # the n tiles before tile b are the frame of length n - 1 that ends at b - 1
+        moved = tiles.select(*keys, (F.col("__tile") + 1).alias("__pos"), F.lit(None).cast("int").alias("__ask"), *names)
+        here = tiles.select(*keys, F.col("__tile").alias("__pos"), F.lit(1).alias("__ask"))
+        both = moved.unionByName(here, allowMissingColumns=True).where("__pos IS NOT NULL")
+        ranked = both.groupBy(*keys, "__pos").agg(F.max("__ask").alias("__ask"), *[F.sum(p).alias(p) for p in names])
+        higher = _framed(ranked, keys, names, sorted({n - 1 for n in far.values()})).where("__ask = 1")
+        middle.append(higher.select(*keys, F.col("__pos").alias("__tile"), *[F.col(f"__t{n - 1}{p}").alias(f"__w{d}{p}") for d, n in far.items() for p in names]))
+
+    ahead = F.explode(F.array(*[F.struct(F.lit(i).alias("kind"), F.lit(d).alias("shift")) for i, d in enumerate(durations, 1)]))
+    rows = asked.select(*keys, in_tile("__pos").alias("__tile"), "__pos", F.lit(0).alias("__kind"), *carried)
+    copies = places.where("__pos IS NOT NULL").select(*keys, "__pos", *names, ahead.alias("__m"))
+    copies = copies.select(*keys, F.expr("__pos + __m.shift").alias("__pos"), F.col("__m.kind").alias("__kind"), *names)
+    rows = rows.unionByName(copies.withColumn("__tile", in_tile("__pos")), allowMissingColumns=True)
+    for part in middle:
+        first = part.withColumns({"__pos": F.col("__tile") * tile - 1, "__kind": F.lit(-1)})
+        rows = rows.unionByName(first, allowMissingColumns=True)
 
     within = Window.partitionBy(*keys, "__tile")
     upward = within.orderBy("__pos").rangeBetween(Window.unboundedPreceding, 0)
     downward = within.orderBy(F.desc("__pos")).rangeBetween(Window.unboundedPreceding, 0)
-    both = placed.unionByName(totals, allowMissingColumns=True) if max(durations) > tile else placed
-    framed = both.select(
-        *keys,
-        "__pos",
-        "__kind",
-        *[F.sum(F.when(F.col("__kind") == 0, F.col(p))).over(upward).alias(f"__last{p}") for p in partials],
-        *[
-            F.sum(F.when(F.col("__kind") == kind, F.col(p))).over(downward).alias(f"__first{d}{p}")
-            for kind, d in enumerate(durations, 1)
-            for p in partials
-        ],
-        *[
-            F.max(f"__mid{d}{p}").over(upward).alias(f"__whole{d}{p}")
-            for d in durations
-            if d > tile
-            for p in partials
-        ],
+    pieces = [f"__w{d}{p}" for d in whole for p in names] + [f"__e{d}{p}" for d in ends for p in names]
+    found = rows.select(
+        *keys, "__pos", "__kind", *carried,
+        *[F.sum(F.when(F.col("__kind") == 0, F.col(p))).over(upward).alias(f"__last{p}") for p in names],
+        *[F.sum(F.when(F.col("__kind") == i, F.col(p))).over(downward).alias(f"__first{d}{p}") for i, d in enumerate(durations, 1) for p in names],
+        *[F.max(c).over(upward).alias(f"{c}_") for c in pieces],
     ).where("__kind = 0")
 
     def total(d: int, p: str) -> Column:
-        pieces = [f"__first{d}{p}", *([f"__whole{d}{p}"] if d > tile else []), f"__last{p}"]
-        added = F.coalesce(F.col(pieces[0]), F.lit(0))
-        for piece in pieces[1:]:
-            added = added + F.coalesce(F.col(piece), F.lit(0))
-        return added
+        parts = [f"__first{d}{p}", *([f"__e{d}{p}_"] if d in ends else []), *([f"__w{d}{p}_"] if d in whole else []), f"__last{p}"]
+        return _sum_of(parts).alias(f"__t{d}{p}")
+
+    return found.select(*keys, "__pos", *carried, *[total(d, p) for d in durations for p in names])
+
+
+def _tiled(base, keys, ts, aggs, keep, policy: SkewPolicy, before=None) -> DataFrame:
+    """The same aggregates in linear work, whatever number of rows a key has.
 
+    Rows are combined per (key, second) on the map side, frames put together from tiles
+    (`_framed`).  What is summed are the same parts as in the plain form (`_parts`).
+    """
+    parts = _parts(base.schema, aggs)
+    cut = base.select(*keys, "__sec", *[c.alias(name) for some in parts.values() for name, c in some.items()])
+    partials = cut.columns[len(keys) + 1 :]
+    if before is not None:
+        cut = cut.unionByName(before)
+    seconds = cut.groupBy(*keys, F.col("__sec").alias("__pos")).agg(*[F.sum(name).alias(name) for name in partials])
+    framed = _framed(seconds, keys, partials, [a.seconds for a in aggs])
     types = _types(base, aggs)
 
     def result(a: Rolling) -> Column:
         i = list(parts).index(a.column)
-        return _result(a, i, f"__h{i}" in parts[a.column], lambda p: total(a.seconds, p), types[a.name])
+        return _result(a, i, f"__h{i}" in parts[a.column], lambda p: F.col(f"__t{a.seconds}{p}"), types[a.name])
 
     results = framed.select(*[F.col(k).alias(f"__r_{k}") for k in keys], F.col("__pos").alias("__at"), *map(result, aggs))
+    if "__own" in base.columns:
+        base = base.where("__own")
     return _attach(base, results, keys, [*dict.fromkeys([*keys, ts, *keep])], [a.name for a in aggs], policy)
 
 
@@ -311,4 +374,11 @@ class RollingTransformer(Transformer, EntityWise):
         return max(a.duration for a in self.aggs)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        return rolling(dataset, self.keys, self.ts, self.aggs, self.keep, self.policy)
+        return self.resume(dataset)
+
+    def resume(self, dataset: DataFrame, wanted: Column | None = None, before: DataFrame | None = None) -> DataFrame:
+        """The aggregates of the wanted rows, which see the sums of earlier ones (`sums`) too."""
+        return rolling(dataset, self.keys, self.ts, self.aggs, self.keep, self.policy, wanted, before)
+
+    def sums(self, dataset: DataFrame) -> DataFrame:
+        return partial_sums(dataset, self.keys, self.ts, self.aggs)

@@ -11,10 +11,11 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hindsight.functions.columns import utc_time
-from hindsight.operators.rolling import EntityWise
+from hindsight.functions.columns import time_literal, utc_time
+from hindsight.operators.rolling import EntityWise, RollingTransformer, coarser_sums
+from hindsight.sources.ledger import EPOCH, Segment, joined
 from hindsight.sources.scan import EVERYTHING, Span, read_source, within
-from hindsight.sources.store import OfflineStore, stretches
+from hindsight.sources.store import OfflineStore, cut_to
 from hindsight.spec.model import FeatureSet
 
 Time = str | datetime
@@ -60,14 +61,72 @@ def _only(df: DataFrame, fs: FeatureSet, entities: DataFrame | None) -> DataFram
     return df if entities is None else df.join(entities, fs.keys, "left_semi")
 
 
-def backfill(fs: FeatureSet, start: Time, end: Time, store: OfflineStore) -> str:
-    """Compute and store the window [start, end) (M1). Repeating it replaces its rows."""
+def backfill(fs: FeatureSet, start: Time, end: Time, store: OfflineStore, keep_state: bool = False) -> str:
+    """Compute and store the window [start, end) (M1). Repeating it replaces its rows.
+
+    `keep_state`: of rolling aggregates, store the window's partial sums as well, and read those
+    of earlier windows instead of their source rows (`resumed`).
+    """
     a, b = _bound(start), _bound(end)
     if a >= b:
         raise ValueError(f"empty window {a} to {b}")
+    if keep_state and isinstance(fs.transformer, RollingTransformer):
+        features, state = resumed(fs, a, b, store)
+        return store.write(fs, features, a, b, state)
     return store.write(fs, compute_features(store.spark, fs, [(a, b)]), a, b)
 
 
+#: Seconds of the tiles in which the sums of earlier windows are kept.
+STATE_TILE = 3600
+
+
+def resumed(fs: FeatureSet, start: datetime, end: datetime, store: OfflineStore) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Features of a window by the sums that earlier windows have kept, and its own sums (M3).
+
+    From the source come the window's rows, and those of stretches within the longest frame
+    for which no sums are kept.  For the rest, tiles of an hour, and single seconds where a
+    frame can begin or where a stretch ends within a tile.  Frames are sums of the same
+    numbers as with all source rows, so results are the same in every bit as far as those of
+    `rolling` are; rows that arrive in the source after their window was computed are seen
+    neither by it nor by later windows.
+    """
+    spark, own = store.spark, fs.transformer
+    back = (start - own.longest, start)
+    snapshot = store.snapshot(fs)
+    kept = [s for s in cut_to(store.segments(fs, snapshot), [back]) if s.state]
+    missing = gaps(joined((s.start, s.end) for s in kept), back)
+    source = read_source(spark, fs.source, [*missing, (start, end)])
+    fine, coarse = _by_grain(kept, [(start - a.duration, end - a.duration) for a in own.aggs])
+    before = None
+    for table, segments in (("seconds", fine), ("tiles", coarse)):
+        rows = store.read_table(fs, table, "__at", snapshot, back, segments)
+        if rows is not None:
+            before = rows if before is None else before.unionByName(rows)
+    mine = within(source, fs.ts, [(start, end)])
+    features = fs.conform(own.resume(source, mine, before))
+    seconds = own.sums(source.where(mine))
+    return features, {"seconds": seconds, "tiles": coarser_sums(seconds, own.keys, STATE_TILE, time_literal(start))}
+
+
+def _by_grain(segments: Sequence[Segment], begins: Sequence[Span]) -> tuple[list[Segment], list[Segment]]:
+    """Parts of stretches to be read by seconds, and parts of whole tiles.
+
+    By seconds: tiles in which a frame can begin, those of `begins`, and tiles of which a
+    stretch has a part only.
+    """
+    tile = timedelta(seconds=STATE_TILE)
+    down = lambda t: t - (t - EPOCH) % tile
+    up = lambda t: down(t + tile - timedelta(microseconds=1))
+    cut = joined((down(a), up(b)) for a, b in begins)
+    fine, coarse = [], []
+    for s in segments:
+        inner = (up(s.start), down(s.end))
+        whole = gaps(cut, inner) if inner[0] < inner[1] else []
+        coarse += cut_to([s], whole)
+        fine += cut_to([s], gaps(whole, (s.start, s.end)))
+    return fine, coarse
+
+
 # The frequency names of a schedule.
 FREQUENCIES = {
     "minute": timedelta(minutes=1),
@@ -105,10 +164,10 @@ def next_window(
 def materialize_next(
     fs: FeatureSet, store: OfflineStore, now: Time, interval: timedelta | None = None, first: Time | None = None
 ) -> tuple[datetime, datetime] | None:
-    """Run the next due window (M3) and return it."""
+    """Run the next due window (M3) and return it; rolling sums go on where the last run left them."""
     window = next_window(fs, store, now, interval, first)
     if window is not None:
-        backfill(fs, *window, store)
+        backfill(fs, *window, store, keep_state=True)
     return window
 
 
@@ -143,9 +202,9 @@ def read_features(
     Rows without a time belong to no window; they come with an unlimited read.
     """
     span = (_bound(start), _bound(end))
-    segments = store.segments(fs) if store else []
-    stored = store.read(fs, span, segments) if segments else None
-    missing = gaps(stretches(segments), span)
+    snapshot = store.snapshot(fs) if store else None
+    stored = store.read(fs, span, snapshot) if snapshot else None
+    missing = gaps(snapshot.covered if snapshot else [], span)
     untimed = span == EVERYTHING
     parts = [] if stored is None else [_only(fs.conform(stored), fs, entities)]
     if missing or untimed or not parts:
@@ -167,12 +226,12 @@ def outline(
     source lacks the keys in their declared type, because the transformer makes them.
     """
     span = (_bound(start), _bound(end))
-    segments = store.segments(fs) if store else []
-    missing = gaps(stretches(segments), span)
+    snapshot = store.snapshot(fs) if store else None
+    missing = gaps(snapshot.covered if snapshot else [], span)
     source = read_source(spark, fs.source, missing)
     types = {f.name: f.dataType for f in source.schema}
     if fs.ts not in types or any(types.get(c.name) != c.spark.dataType for c in fs.index_columns):
         return None
     rows = source.select(*fs.keys, fs.ts)
-    stored = store.read(fs, span, segments) if segments else None
+    stored = store.read(fs, span, snapshot) if snapshot else None
     return _only(rows if stored is None else rows.unionByName(stored.select(*fs.keys, fs.ts)), fs, entities)

@@ -86,11 +86,11 @@ def test_a_run_that_was_not_committed_is_invisible(spark, store, monkeypatch):
     hs.backfill(fs, "2024-01-05", "2024-01-06", store)
     before = rows(store.read(fs))
 
-    def fail(_):
+    def fail(*_):
         raise RuntimeError("lost")
 
     with monkeypatch.context() as patch:
-        patch.setattr(store, "_committed", fail)
+        patch.setattr(store, "_commit", fail)
         with pytest.raises(RuntimeError):
             hs.backfill(fs, "2024-01-05", "2024-01-07", store)
     assert rows(store.read(fs)) == before
@@ -126,6 +126,47 @@ def test_incremental_runs(spark, store):
     assert rows(store.read(fs)) == full(spark, "2024-01-05", "2024-01-05 12:00:00")
 
 
+ODD = [
+    hs.Rolling("n7", "count", "id", timedelta(days=7)),
+    hs.Rolling("sum_1d1s", "sum", "amount", timedelta(days=1, seconds=1)),
+    hs.Rolling("avg_50m", "avg", "amount", timedelta(minutes=50)),
+    hs.Rolling("sum_3d", "sum", "amount", timedelta(days=3)),
+]
+
+
+@pytest.mark.parametrize("policy", [None, hs.SkewPolicy(dense_rows=25, hot_rows=9)])
+def test_runs_go_on_from_kept_sums(spark, store, policy):
+    """In every bit as all at once: on and off the hour, over runs with and without sums, replaced in part."""
+    fs = feature_set(transformer=hs.RollingTransformer(["acc"], "at", ODD, policy=policy))
+    bounds = ["2024-01-03 00:04:10", "2024-01-08 01:00:00", "2024-01-12 04:00:00", "2024-01-12 07:30:01", "2024-01-16"]
+    for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
+        hs.backfill(fs, a, b, store, keep_state=i != 2)
+    hs.backfill(fs, "2024-01-10 02:20:00", "2024-01-11 03:40:30", store, keep_state=True)
+    hs.backfill(fs, "2024-01-16", "2024-01-18 09:00:00", store, keep_state=True)
+    everything = compute_features(spark, fs)
+    wanted = rows(everything.where((F.col("at") >= F.lit(bounds[0])) & (F.col("at") < F.lit("2024-01-18 09:00:00"))))
+    assert rows(store.read(fs)) == wanted != []
+
+
+def test_a_short_run_reads_its_own_source_rows_and_tiles(spark, store):
+    from hindsight.plans.materialize import resumed
+
+    fs = feature_set()
+    for a, b in ((-9, -3), (-3, 1), (1, 4)):
+        hs.backfill(fs, at(days=a), at(days=b), store, keep_state=True)
+    start, end = datetime(2024, 1, 14), datetime(2024, 1, 14, 3)
+    assert store.covered(fs)[-1][1] == start
+    features, state = resumed(fs, start, end, store)
+    text = plan(features)
+    sources = [part[: part.index("ReadSchema")] for part in text.split("FileScan")[1:] if "events.parquet" in part]
+    assert sources and all("GreaterThanOrEqual(ts,2024-01-14T00:00)" in s and "LessThan(ts,2024-01-14T03:00)" in s for s in sources)
+    tiles, seconds = (store.read_table(fs, t, "__at", store.snapshot(fs), (None, None)) for t in ("tiles", "seconds"))
+    assert tiles.count() < seconds.count()
+    assert rows(features) == full(spark, "2024-01-14", "2024-01-14 03:00:00")
+    hs.materialize_next(fs, store, end + timedelta(minutes=20), timedelta(hours=3))
+    assert rows(store.read(fs, (start, end))) == full(spark, "2024-01-14", "2024-01-14 03:00:00")
+
+
 def test_schedule_of_the_feature_set(spark, store):
     schedule = {"interval": 3, "frequency": "Hour", "start_time": "2024-01-05 00:30:20"}
     fs = replace(feature_set(), schedule=schedule)

@@ -205,7 +205,7 @@ def test_hot_entities_are_cut_into_cells(spark):
     v = hs.FeatureView(events.where("event_type = 'click'").select("user_id", "ts", "value"), ["user_id"], "ts", ["value"])
     result = hs.point_in_time(spine, "ts", [v], hs.SkewPolicy(hot_rows=20))
     text = plan(result)
-    assert "_cell" in text and "NestedLoop" not in text and "CartesianProduct" not in text
+    assert "_range" in text and "NestedLoop" not in text and "CartesianProduct" not in text
     assert rows(result) == rows(hs.point_in_time(spine, "ts", [v], PLAIN))
 
 
@@ -219,6 +219,37 @@ def test_an_instant_that_is_too_large_for_one_task(spark):
     assert join(spark, spine, data, policy)[7] == (4.0, "x")
 
 
+def test_default_policy_deals_a_hot_entity_and_a_hot_instant_evenly(spark):
+    """A third of all rows on one entity, a third on one of its instants: tasks get about the same."""
+    n = 3000
+    hot, instant = F.lit("hot"), F.lit(at()).cast("timestamp")
+    spine = spark.range(n, numPartitions=4).select(
+        F.col("id").alias("obs"),
+        F.when(F.col("id") % 3 < 2, hot).otherwise(F.concat(F.lit("c"), (F.col("id") % 701).cast("string"))).alias("acc"),
+        F.when(F.col("id") % 3 == 1, instant).otherwise(instant + F.make_dt_interval(mins=F.col("id").cast("int") - n // 2)).alias("ts"),
+    )
+    data = spine.select("acc", "ts", F.col("obs").cast("double").alias("x"), F.lit("y").alias("y"))
+    view_ = hs.FeatureView(data, ["acc"], "ts", ["x", "y"], delay=timedelta(seconds=30))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        joined = hs.point_in_time(spine, "ts", [view_])
+        assert "_range" in plan(joined)
+        per_task = [r["count"] for r in joined.where("NOT (acc = 'hot' AND obs % 3 = 1)").groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert max(per_task) <= 2 * sorted(per_task)[len(per_task) // 2]
+        assert rows(joined) == rows(hs.point_in_time(spine, "ts", [view_], PLAIN))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_count_up_to(spark):
+    from hindsight.operators.pointintime import _count_up_to
+
+    lists = [[], [5], [1, 3], [1, 3, 5, 7, 9], list(range(0, 200, 3)), None]
+    df = spark.createDataFrame([(a, v) for a in lists for v in (-1, 0, 1, 4, 5, 9, 100, 500)], "a array<long>, v long")
+    for r in df.withColumn("n", _count_up_to("a", F.col("v"))).collect():
+        assert r.n == sum(x <= r.v for x in r.a or [])
+
+
 def test_only_feature_rows_of_the_observed_entities_are_shuffled(spark):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     spine = events.where("event_type = 'purchase' AND user_id < 4").select("event_id", "user_id", "ts")

@@ -7,7 +7,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import hindsight as hs
-from hindsight.operators.rolling import _tile_length
+from hindsight.operators import rolling as module
+from hindsight.operators.rolling import _tile_groups
 
 SCHEMA = "acc string, ts timestamp, id string, amount double"
 DAYS_3, DAYS_7 = timedelta(days=3), timedelta(days=7)
@@ -139,8 +140,9 @@ def test_result_types_do_not_depend_on_the_route(spark):
 
 def test_a_short_list_of_crowded_keys_changes_no_result(spark):
     data = [(f"a{i % 3}", at(minutes=i), str(i), float(i)) for i in range(300)]
-    some = hs.SkewPolicy(dense_rows=5, hot_rows=1, max_groups=2)
-    assert roll(spark, data, some) == roll(spark, data, PLAIN)
+    for dense in (5, 20):  # in tiles all, or those that a join finds
+        some = hs.SkewPolicy(dense_rows=dense, hot_rows=1, max_groups=2)
+        assert roll(spark, data, some) == roll(spark, data, PLAIN)
 
 
 def test_routes_agree_in_every_bit(spark):
@@ -186,11 +188,33 @@ def test_crowded_keys_run_without_a_long_sliding_frame(spark):
     assert "partial_sum" in text
 
 
-def test_tile_length():
-    tile = lambda *s: _tile_length([hs.Rolling("x", "sum", "v", timedelta(seconds=n)) for n in s])
-    assert tile(259_200, 604_800) == 21_600
-    assert tile(3600) == 3600
-    assert tile(7, 13) == 1
+def test_frames_share_tiles_no_longer_than_the_shortest():
+    assert _tile_groups([259_200, 604_800, 259_200]) == [(21_600, [259_200, 604_800])]
+    assert _tile_groups([3600]) == [(3600, [3600])]
+    assert _tile_groups([604_800, 90, 86_401]) == [(90, [90]), (21_600, [86_401, 604_800])]
+    assert _tile_groups([7, 13, 448, 449]) == [(7, [7, 13, 448]), (449, [449])]
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck), derandomize=True)
+@given(
+    st.lists(st.tuples(st.sampled_from("ab"), st.integers(-300, 900), st.integers(-9, 9)), min_size=1, max_size=80),
+    st.lists(st.integers(1, 700), min_size=1, max_size=4, unique=True),
+)
+def test_frames_of_odd_lengths_over_tiles_of_tiles(spark, data, lengths):
+    """Tiles of at most five seconds, three of them in reach: up to five levels."""
+    rows_ = [(k, at(seconds=s), str(i), v / 4) for i, (k, s, v) in enumerate(data)]
+    aggs = [hs.Rolling(f"{f}{d}", f, "amount", timedelta(seconds=d)) for d in lengths for f in ("sum", "count")]
+    want = []
+    for k, s, i, _ in rows_:
+        line = [k, s, i]
+        for d in lengths:
+            seen = [x[3] for x in rows_ if x[0] == k and s - timedelta(seconds=d) <= x[1] <= s]
+            line += [sum(seen), len(seen)]
+        want.append(tuple(line))
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(module, "LONGEST_TILE", 5)
+        patch.setattr(module, "REACH", 3)
+        assert roll(spark, rows_, TILED, aggs) == sorted(want, key=repr)
 
 
 def test_rejects_bad_aggregates(spark):
