@@ -7,6 +7,7 @@ from hindsight.functions.columns import (
     path_columns,
     pick,
     preview,
+    sample_by_content,
     sample_by_key,
     sample_rows,
     to_bool,
@@ -18,6 +19,7 @@ from hindsight.operators.skew import SkewPolicy
 from hindsight.plans.learn import load_model, save_model, score, split, train
 from hindsight.plans.materialize import (
     backfill,
+    backfill_whole,
     compute_features,
     materialize_next,
     next_window,
@@ -41,17 +43,19 @@ from hindsight.spec.model import (
     Source,
     load_config,
     load_feature_set,
+    save_feature_set,
 )
 from hindsight.spec.types import spark_type
 
 __all__ = [
     "Column", "Entity", "FeatureRef", "FeatureSet", "FeatureView", "OfflineStore",
     "Recipe", "RetrievalSpec", "Rolling", "RollingTransformer", "SkewPolicy", "Source",
-    "backfill", "check_quality", "compute_features", "confusion", "drop_columns",
+    "backfill", "backfill_whole", "check_quality", "compute_features", "confusion", "drop_columns",
     "epoch_seconds", "evaluate", "filter_rows", "get_offline_features", "load_config",
     "load_feature_set", "load_model", "materialize_next", "next_window", "path_columns",
     "pick", "point_in_time", "preview", "read_dataset", "read_features",
-    "retrieve_for_model", "rolling", "sample_by_key", "sample_rows", "save_model", "scan",
+    "retrieve_for_model", "rolling", "sample_by_content", "sample_by_key", "sample_rows", "save_feature_set",
+    "save_model", "scan",
     "scan_dataset", "score", "spark_type", "split", "time_coverage", "to_bool", "train",
     "write_dataset",
 ]

@@ -58,6 +58,33 @@ def sample_rows(df: DataFrame, probability: float, seed: int) -> DataFrame:
     return df.sample(withReplacement=False, fraction=probability, seed=seed)
 
 
+#: Copies of a row that are counted out at once.
+COPIES = 4096
+
+
+def content_text(df: DataFrame) -> Column:
+    """The values of a row as one text, different for different rows."""
+    texts = [F.col(c).cast("string") for c in df.columns]
+    return F.concat(*[F.when(t.isNull(), "-").otherwise(F.concat(F.length(t).cast("string"), F.lit(":"), t)) for t in texts])
+
+
+def sample_by_content(df: DataFrame, probability: float, seed: int) -> DataFrame:
+    """Bernoulli sample (P5) that depends on the rows alone, not on their order or partitioning.
+
+    Each of n equal rows is numbered from 1 to n, and kept by a hash of its content, its
+    number and the seed.  Equal rows are counted on the map side, so they never meet in a task.
+    """
+    copies = "__copies"
+    counted = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias(copies))
+    runs = counted.withColumn("__run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"({copies} - 1) div {COPIES}"))))
+    first = F.col("__run") * COPIES
+    numbers = F.sequence(first + 1, F.least(first + COPIES, F.col(copies)))
+    text = F.concat(F.lit(f"{seed}#"), content_text(df), F.lit("#"))
+    place = lambda n: F.conv(F.substring(F.md5(F.concat(F.col("__text"), n.cast("string"))), 1, 12), 16, 10).cast("long")
+    kept = F.explode(F.filter(numbers, lambda n: place(n) < round(probability * 2**48)))
+    return runs.withColumn("__text", text).select(*df.columns, kept.alias("__n")).drop("__n")
+
+
 def key_bucket(key: str, buckets: int = 100) -> Column:
     """A bucket number of a key that no partitioning can change."""
     digits = F.substring(F.md5(F.col(key).cast("string")), 1, 6)

@@ -30,7 +30,9 @@ MOST_RANGES = 1 << 16
 class FeatureView:
     """The rows of one feature set, ready to be joined.
 
-    A row is visible from `ts + delay` on, and counts as missing once it is older than
+    Without a time column (`ts` None) rows hold at any time; of several rows of an entity the
+    greatest by its feature values, in the order of the view, wins as a whole.
+    With one, a row is visible from `ts + delay` on, and counts as missing once it is older than
     `lookback` (None: never).  `prefix` is put before the feature names in the output.
     `outline` may hold keys and time of about the same rows where that is cheaper than
     `df`, such as the source of computed features; only the profile reads it.
@@ -38,7 +40,7 @@ class FeatureView:
 
     df: DataFrame = field(repr=False)
     keys: Sequence[str]
-    ts: str
+    ts: str | None
     features: Sequence[str]
     lookback: timedelta | None = None
     delay: timedelta = timedelta(0)
@@ -72,14 +74,18 @@ def point_in_time(
     _check(spine, ts, views)
     groups: dict[tuple[str, ...], list[FeatureView]] = {}
     for view in views:
-        groups.setdefault(tuple(view.keys), []).append(view)
+        if view.ts is not None:
+            groups.setdefault(tuple(view.keys), []).append(view)
     narrow = policy is not None and profile is None
-    if narrow:
+    if narrow and groups:
         profile = profile_spine(spine, ts, list(groups))
     joined = spine
     for keys, members in groups.items():
         wanted = observed_entities(spine, ts, keys, profile, policy) if narrow else None
         joined = _join_group(joined, ts, list(keys), members, policy, shift_by_delay, wanted)
+    for view in views:
+        if view.ts is None:
+            joined = _join_timeless(joined, view)
     return joined.select(*spine.columns, *[o for v in views for o in v.outputs])
 
 
@@ -87,7 +93,7 @@ def _check(spine: DataFrame, ts: str, views: Sequence[FeatureView]) -> None:
     require_columns(spine, [ts])
     taken = set(spine.columns)
     for view in views:
-        require_columns(view.df, [*view.keys, view.ts, *view.features])
+        require_columns(view.df, [*view.keys, *([] if view.ts is None else [view.ts]), *view.features])
         require_columns(spine, view.keys)
         for key in view.keys:
             ours, theirs = spine.schema[key].dataType, view.df.schema[key].dataType
@@ -99,8 +105,24 @@ def _check(spine: DataFrame, ts: str, views: Sequence[FeatureView]) -> None:
             taken.add(name)
 
 
-def _complete(ts: str, keys: Sequence[str]) -> Column:
-    condition = F.col(ts).isNotNull()
+def _join_timeless(spine: DataFrame, view: FeatureView) -> DataFrame:
+    """Join by the keys alone; a row per entity at most, so that no observation is multiplied.
+
+    Rows are reduced to the winner on the map side.  Observations with a NULL key match nothing.
+    """
+    shown = F.struct(*[F.col(f).alias(f"v{i}") for i, f in enumerate(view.features)])
+    names = [f"__k{i}" for i in range(len(view.keys))]
+    given = view.df.where(_complete(None, view.keys)).groupBy(*[F.col(k).alias(n) for k, n in zip(view.keys, names)])
+    best = given.agg(F.max(shown).alias("__shown"))
+    same = F.lit(True)
+    for k, n in zip(view.keys, names):
+        same = same & (F.col(k) == F.col(n))
+    outputs = [F.col(f"__shown.v{i}").alias(o) for i, o in enumerate(view.outputs)]
+    return spine.join(best, same, "left").select(*spine.columns, *outputs)
+
+
+def _complete(ts: str | None, keys: Sequence[str]) -> Column:
+    condition = F.lit(True) if ts is None else F.col(ts).isNotNull()
     for k in keys:
         condition = condition & F.col(k).isNotNull()
     return condition

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from hindsight.functions.columns import drop_columns, fill_missing, key_bucket, require_columns
 from hindsight.operators.metrics import evaluate
+from hindsight.session import shared_folder
+from hindsight.sources.scan import scan, write_table
 from hindsight.spec.model import RetrievalSpec
 
 PREDICTION = "predict_is_fraud"
@@ -60,10 +62,18 @@ def train(
     seed: int = 42,
     held_out: int = 33,
     depth: int = 5,
+    folder: str | None = None,
 ) -> Trained:
-    """Fit a random forest on two thirds of the rows and score the rest (ML1-ML4)."""
+    """Fit a random forest on two thirds of the rows and score the rest (ML1-ML4).
+
+    The fit reads its rows many times, so they are computed once and written first, to `folder`
+    or to a new one below the cluster's shared folder.
+    """
     require_columns(df, [label, key, *features])
     rows = training_matrix(df, features, label).where(F.col(label).isNotNull())
+    folder = folder or shared_folder(df.sparkSession)
+    write_table(rows, folder)
+    rows = scan(df.sparkSession, folder)
     train_rows, test_rows = split(rows, key, held_out)
     forest = RandomForestClassifier(
         labelCol=label, featuresCol="_features", predictionCol="_prediction", rawPredictionCol="_raw",

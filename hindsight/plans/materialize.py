@@ -45,6 +45,12 @@ def compute_features(
     table of keys outside of which no rows are wanted; a transformer that declares to work
     entity by entity, as rolling aggregates do, then sees only their source rows.
     """
+    if fs.ts is None:
+        if any(span != EVERYTHING for span in spans):
+            raise ValueError(f"{fs.name}: its rows have no time")
+        source, wise = read_source(spark, fs.source), fs.transformer is None
+        features = fs.conform(fs.transform(_only(source, fs, entities) if wise else source))
+        return features if wise else _only(features, fs, entities)
     own = fs.transformer if isinstance(fs.transformer, EntityWise) else None
     back = fs.source_lookback if own is None else min(fs.source_lookback, own.longest)
     widened = [(None if a is None else a - back, b) for a, b in spans]
@@ -76,6 +82,11 @@ def backfill(fs: FeatureSet, start: Time, end: Time, store: OfflineStore, keep_s
     return store.write(fs, compute_features(store.spark, fs, [(a, b)]), a, b)
 
 
+def backfill_whole(fs: FeatureSet, store: OfflineStore) -> str:
+    """Compute and store a feature set without time (M1), in place of what was stored before."""
+    return store.write_whole(fs, compute_features(store.spark, fs))
+
+
 #: Seconds of the tiles in which the sums of earlier windows are kept.
 STATE_TILE = 3600
 
@@ -201,6 +212,9 @@ def read_features(
     Materialised stretches come from the store, the rest is computed from the source.
     Rows without a time belong to no window; they come with an unlimited read.
     """
+    if fs.ts is None:
+        whole = store.read_whole(fs) if store else None
+        return compute_features(spark, fs, entities=entities) if whole is None else _only(fs.conform(whole), fs, entities)
     span = (_bound(start), _bound(end))
     snapshot = store.snapshot(fs) if store else None
     stored = store.read(fs, span, snapshot) if snapshot else None
@@ -225,6 +239,8 @@ def outline(
     Where the features are not stored, the rows of the source stand for them; None if the
     source lacks the keys in their declared type, because the transformer makes them.
     """
+    if fs.ts is None:
+        return None
     span = (_bound(start), _bound(end))
     snapshot = store.snapshot(fs) if store else None
     missing = gaps(snapshot.covered if snapshot else [], span)

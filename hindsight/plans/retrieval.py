@@ -47,7 +47,7 @@ def get_offline_features(
     for key, names in wanted.items():
         fs = known[key]
         start = end = None
-        if profile is not None and profile.first is not None:
+        if fs.ts is not None and profile is not None and profile.first is not None:
             delay = fs.source.delay if shift_by_delay else timedelta(0)
             start = (from_micros(profile.first) - fs.join_lookback - delay).replace(microsecond=0)
             end = (from_micros(profile.last) - delay).replace(microsecond=0) + timedelta(seconds=1)

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hindsight.functions import columns as C
+from hindsight.sources.files import read_file, replace_file
 from hindsight.sources.scan import scan
-from hindsight.spec.model import dump_text, parse_text, read_text, write_text
+from hindsight.spec.model import dump_text, parse_text
 
 # File name, type and default path column of a saved recipe.
 RECIPE_FILE = "MLTable"
@@ -28,7 +29,9 @@ def _convert(df: DataFrame, types: dict[str, dict]) -> DataFrame:
 
 
 STEPS = {
-    "take_random_sample": lambda df, probability, seed: C.sample_rows(df, probability, seed),
+    "take_random_sample": lambda df, probability, seed, by_content=False: (
+        C.sample_by_content(df, probability, seed) if by_content else C.sample_rows(df, probability, seed)
+    ),
     "filter": C.filter_rows,
     "drop_columns": C.drop_columns,
     "keep_columns": lambda df, names: C.pick(df, *names, *[PATH for c in df.columns if c == PATH and PATH not in names]),
@@ -72,11 +75,11 @@ class Recipe:
             "paths": [{"pattern": p} for p in self.paths],
             "transformations": [{"read_parquet": read}, *[{name: argument} for name, argument in self.steps]],
         }
-        write_text(spark, dump_text(content), f"{folder}/{RECIPE_FILE}")
+        replace_file(spark, f"{folder}/{RECIPE_FILE}", dump_text(content))
 
     @classmethod
     def open(cls, spark: SparkSession, folder: str) -> Recipe:
-        content = parse_text(read_text(spark, f"{folder}/{RECIPE_FILE}"))
+        content = parse_text(read_file(spark, f"{folder}/{RECIPE_FILE}"))
         recipe = cls(tuple(p.get("pattern") or p.get("file") or p["folder"] for p in content["paths"]))
         for step in content.get("transformations", []):
             [(name, argument)] = step.items()

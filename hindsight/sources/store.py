@@ -3,6 +3,7 @@
 Layout of one feature-set version:
 
     <root>/<set>/<version>/data/day=<date>/run=<id>/*.parquet
+    <root>/<set>/<version>/whole/run=<id>/*.parquet             of a set without a time column
     <root>/<set>/<version>/ledger, index                        see `ledger`
 
 Every materialisation appends files of its own run and then commits its window to the ledger.
@@ -25,13 +26,17 @@ from pyspark.sql import functions as F
 from hindsight.functions.columns import time_literal
 from hindsight.session import require_utc
 from hindsight.sources.files import delete, matching
-from hindsight.sources.ledger import Ledger, Segment, Snapshot, from_micros
+from hindsight.sources.ledger import EPOCH, Ledger, Segment, Snapshot, from_micros
 from hindsight.sources.scan import EVERYTHING, Span, within
 from hindsight.spec.model import FeatureSet
 
 __all__ = ["OfflineStore", "Segment", "Snapshot", "cut_to", "from_micros"]
 
 
+#: The window under which the ledger has runs of sets without time.
+WHOLE = (EPOCH, EPOCH + timedelta(days=1))
+
+
 class OfflineStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
@@ -70,6 +75,18 @@ class OfflineStore:
         self._commit(fs, run, start, end, state is not None)
         return run
 
+    def write_whole(self, fs: FeatureSet, df: DataFrame) -> str:
+        """Store the rows of a feature set without time as one run, in place of those before."""
+        run = f"r-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.folder(fs)}/whole/run={run}")
+        self._commit(fs, run, *WHOLE, False)
+        return run
+
+    def read_whole(self, fs: FeatureSet, snapshot: Snapshot | None = None) -> DataFrame | None:
+        """The rows of a feature set without time; None if it is not materialised."""
+        found = self.segments(fs, snapshot)
+        return self.spark.read.parquet(f"{self.folder(fs)}/whole/run={found[0].run}") if found else None
+
     def _append(self, df: DataFrame, ts: str, run: str, folder: str) -> None:
         (
             df.withColumns({"day": F.col(ts).cast("date"), "run": F.lit(run)})
@@ -140,7 +157,7 @@ class OfflineStore:
         entries = ledger.entries()
         committed = {e.run for e in entries}
         needed = visible | {e.run for e in entries if e.seq > keep_from}
-        found = matching(self.spark, f"{self.folder(fs)}/*/day=*/run=*")
+        found = [f for part in ("*/day=*/run=*", "whole/run=*") for f in matching(self.spark, f"{self.folder(fs)}/{part}")]
         # a run that was committed meanwhile is neither known as committed nor old
         ledger.forget(keep_from, committed - needed)
         gone: set[str] = set()

@@ -12,9 +12,9 @@ from typing import Any
 
 from pyspark.ml import Transformer
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hindsight.sources.files import read_file, replace_file
 from hindsight.spec.types import spark_type, type_name
 
 try:
@@ -22,9 +22,11 @@ try:
 except ImportError:  # JSON files still work
     yaml = None
 
-# The look-back where none is declared, the name of a packed retrieval spec.
+# The look-back where none is declared, the names of a packed retrieval spec and of
+# a feature set's own spec.
 DEFAULT_LOOKBACK = timedelta(days=365)
 SPEC_FILE = "feature_retrieval_spec.yaml"
+SET_FILE = "FeatureSetSpec.yaml"
 
 
 @dataclass(frozen=True)
@@ -50,7 +52,7 @@ class Entity:
 
 @dataclass(frozen=True)
 class Source:
-    """Parquet files with an event-time column; `rename` maps file to feature-set names."""
+    """Parquet files, with an event-time column or for all times; `rename` maps file to feature-set names."""
 
     path: str
     timestamp_column: str | None = None
@@ -92,10 +94,14 @@ class FeatureSet:
         return [c.name for c in self.index_columns]
 
     @property
-    def ts(self) -> str:
-        if self.source.timestamp_column is None:
-            raise ValueError(f"{self.name}: the source has no timestamp column")
-        return self.source.rename.get(self.source.timestamp_column, self.source.timestamp_column)
+    def ts(self) -> str | None:
+        """The time column, None if the rows hold at any time."""
+        name = self.source.timestamp_column
+        return self.source.rename.get(name, name)
+
+    @property
+    def _fixed(self) -> list[str]:
+        return [*self.keys, *([] if self.ts is None else [self.ts])]
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Apply the transformer (U1) or pass the source columns through."""
@@ -107,7 +113,7 @@ class FeatureSet:
 
     def infer(self, schema: T.StructType) -> tuple[Column, ...]:
         """Features of an output schema: every column but keys and time (M5)."""
-        return tuple(Column(f.name, type_name(f.dataType)) for f in schema if f.name not in (*self.keys, self.ts))
+        return tuple(Column(f.name, type_name(f.dataType)) for f in schema if f.name not in self._fixed)
 
     def frozen(self, schema: T.StructType) -> FeatureSet:
         """The same feature set with its features fixed to those of an output schema."""
@@ -118,7 +124,7 @@ class FeatureSet:
         lacks one or has another type (M6)."""
         declared = self.features or self.infer(df.schema)
         problems = []
-        for name in (*self.keys, self.ts):
+        for name in self._fixed:
             if name not in df.columns:
                 problems.append(f"missing column {name!r}")
         types = {f.name: f.dataType for f in df.schema}
@@ -131,7 +137,7 @@ class FeatureSet:
             problems.append(f"time column {self.ts!r} is {types[self.ts].simpleString()}")
         if problems:
             raise ValueError(f"feature set {self.name}:{self.version}: " + "; ".join(dict.fromkeys(problems)))
-        return df.select(*self.keys, self.ts, *[c.name for c in declared])
+        return df.select(*self._fixed, *[c.name for c in declared])
 
     def feature(self, name: str) -> FeatureRef:
         """Refer to one feature (P13); unknown names raise when the features are declared."""
@@ -169,19 +175,10 @@ class RetrievalSpec:
     @classmethod
     def load(cls, spark: SparkSession, folder: str) -> RetrievalSpec:
         """Read the spec file lying in a dataset or model folder."""
-        return cls.parse(read_text(spark, f"{folder}/{SPEC_FILE}"))
+        return cls.parse(read_file(spark, f"{folder}/{SPEC_FILE}"))
 
     def save(self, spark: SparkSession, folder: str) -> None:
-        write_text(spark, self.text(), f"{folder}/{SPEC_FILE}")
-
-
-def read_text(spark: SparkSession, path: str) -> str:
-    """A small text file from any file system Spark can reach."""
-    return "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
-
-
-def write_text(spark: SparkSession, text: str, path: str) -> None:
-    spark.range(0, 1, 1, 1).select(F.lit(text).alias("value")).write.mode("overwrite").text(path)
+        replace_file(spark, f"{folder}/{SPEC_FILE}", self.text())
 
 
 def parse_text(text: str) -> dict:
@@ -260,6 +257,42 @@ def _from_config(c: Mapping[str, Any], transformers: Mapping[str, Any]) -> Featu
     )
 
 
+def _parts_of(value: timedelta) -> dict[str, int]:
+    """A duration as days, hours and minutes; it must be whole minutes."""
+    minutes, rest = divmod(value, timedelta(minutes=1))
+    if rest:
+        raise ValueError(f"a spec file has durations in whole minutes, not {value}")
+    return {"days": minutes // 1440, "hours": minutes // 60 % 24, "minutes": minutes % 60}
+
+
+def save_feature_set(spark: SparkSession, fs: FeatureSet, folder: str, code: str = "./code") -> str:
+    """Write the spec file of a feature set, from which `load_feature_set` makes it again; its path.
+
+    The features must be declared (`FeatureSet.frozen`).  Name and version are not part of the
+    file.  A transformer is named by its class; its code is expected in the folder `code`.
+    """
+    if not fs.features:
+        raise ValueError(f"{fs.name}: the features are not declared")
+    if fs.source.rename:
+        raise ValueError(f"{fs.name}: a spec file has no place for renamed columns")
+    source: dict[str, Any] = {"path": fs.source.path, "source_delay": _parts_of(fs.source.delay), "type": "parquet"}
+    if fs.source.timestamp_column is not None:
+        source["timestamp_column"] = {"name": fs.source.timestamp_column}
+    content: dict[str, Any] = {
+        "features": [{"name": c.name, "type": c.type} for c in fs.features],
+        "index_columns": [{"name": c.name, "type": c.type} for c in fs.index_columns],
+        "source": source,
+        "source_lookback": _parts_of(fs.source_lookback),
+        "temporal_join_lookback": _parts_of(fs.join_lookback),
+    }
+    if fs.transformer is not None:
+        kind = type(fs.transformer) if isinstance(fs.transformer, Transformer) else fs.transformer
+        content["feature_transformation_code"] = {"path": code, "transformer_class": f"{kind.__module__}.{kind.__name__}"}
+    path = f"{folder}/{SET_FILE}"
+    replace_file(spark, path, dump_text(content))
+    return path
+
+
 def load_feature_set(
     path: str | Path, name: str, version: str, transformers: Mapping[str, Any] | None = None
 ) -> FeatureSet:

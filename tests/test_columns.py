@@ -109,3 +109,16 @@ def test_projection_and_samples(spark):
 def test_time_coverage(spark):
     df = table(spark, "t timestamp", [(at(),), (None,), (at(days=2),)])
     assert rows(hs.time_coverage(df, "t")) == [(at(), at(days=2))]
+
+
+def test_sample_by_content_depends_on_the_rows_alone(spark, monkeypatch):
+    from hindsight.functions import columns
+
+    monkeypatch.setattr(columns, "COPIES", 16)
+    data = [("a", None, 1.5)] * 400 + [("a", "", 1.5)] * 100 + [(f"k{i}", "x", float(i)) for i in range(500)] + [(None, None, None)] * 30
+    whole = spark.createDataFrame(data, "a string, b string, c double")
+    found = sorted(map(tuple, hs.sample_by_content(whole.repartition(1), 0.3, 7).collect()), key=repr)
+    assert found == sorted(map(tuple, hs.sample_by_content(whole.repartition(9, "c"), 0.3, 7).collect()), key=repr)
+    assert found != sorted(map(tuple, hs.sample_by_content(whole, 0.3, 8).collect()), key=repr)
+    assert 250 < len(found) < 370 and 80 < found.count(("a", None, 1.5)) < 160
+    assert hs.sample_by_content(whole, 1.0, 7).count() == len(data) and hs.sample_by_content(whole, 0.0, 7).count() == 0

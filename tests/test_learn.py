@@ -155,3 +155,18 @@ def test_prefixes(spark, tmp_path):
         spark, [sets[1].feature("accountAge")], sets, spine, "timestamp", prefixes={"accounts": "acc_"}
     )
     assert found.columns[-1] == "acc_accountAge" and rows(found) == [("a", at(), 7.0, 1.0)]
+
+
+def test_a_fit_reads_its_rows_from_one_file(spark, tmp_path):
+    """The rows given are computed once, however often the fit goes over them."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    data = spark.range(300).selectExpr("id AS k", "id % 10 AS x", "id % 10 > 4 AS y").mapInArrow(count, "k long, x long, y boolean")
+    trained = hs.train(data, "y", ["x"], "k", folder=str(tmp_path / "rows"))
+    assert trained.metrics.first().accuracy == 1.0
+    assert seen.value == 300

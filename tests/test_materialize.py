@@ -339,3 +339,22 @@ def test_scratch_folders_are_shared(monkeypatch):
     assert shared_folder(session("yarn", "hdfs://x/tmp/")).startswith("hdfs://x/tmp/hindsight-")
     assert shared_folder(session("yarn"), "s3://given").startswith("s3://given/hindsight-")
     assert shared_folder(session("local[2]")).startswith("/")
+
+
+def test_feature_sets_without_time(spark, store, tmp_path):
+    path, other = str(tmp_path / "a"), str(tmp_path / "b")
+    spark.createDataFrame([(1, 2.0), (2, 3.0)], "k long, v double").write.parquet(path)
+    spark.createDataFrame([(1, 7.0)], "k long, v double").write.parquet(other)
+    fs = hs.FeatureSet("s", "1", hs.Source(path, rename={"k": "acc"}), (Column("acc", "long"),))
+    changed = replace(fs, source=hs.Source(other, rename={"k": "acc"}))
+    assert rows(hs.read_features(spark, fs, store)) == [(1, 2.0), (2, 3.0)]
+    hs.backfill_whole(fs, store)
+    assert rows(hs.read_features(spark, changed, store)) == [(1, 2.0), (2, 3.0)]
+    in_flight = hs.read_features(spark, fs, store)
+    hs.backfill_whole(changed, store)
+    assert rows(hs.read_features(spark, fs, store)) == [(1, 7.0)] and rows(in_flight) == [(1, 2.0), (2, 3.0)]
+    one = spark.createDataFrame([(2,)], "acc long")
+    assert rows(hs.read_features(spark, fs, entities=one)) == [(2, 3.0)]
+    assert len(store.vacuum(fs, 2)) == 1 and rows(hs.read_features(spark, fs, store)) == [(1, 7.0)]
+    with pytest.raises(ValueError, match="no time"):
+        compute_features(spark, fs, [(at(), at(days=1))])

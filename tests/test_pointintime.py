@@ -262,3 +262,20 @@ def test_only_feature_rows_of_the_observed_entities_are_shuffled(spark):
     unfiltered = hs.point_in_time(spine, "ts", [view], many)
     assert "LeftSemi" not in plan(unfiltered)
     assert rows(filtered) == rows(unfiltered) == rows(hs.point_in_time(spine, "ts", [view], PLAIN))
+
+
+@pytest.mark.parametrize("policy", ROUTES)
+def test_features_without_time(spark, policy):
+    """Beside features with time; of several rows one wins as a whole; nothing multiplies observations."""
+    spine = [(1, "a", at()), (2, "b", None), (3, None, at()), (4, "c", at()), (5, "a", at())]
+    always = table(spark, "acc string, x double, y string", [
+        ("a", 1.0, "z"), ("a", 2.0, "a"), ("a", 2.0, "b"), ("b", None, "y"), (None, 9.0, "n"),
+    ])
+    views = [hs.FeatureView(always, ["acc"], None, ["x", "y"], prefix="s_"), view(spark, [("a", at(days=-1), 5.0, "t")])]
+    joined = hs.point_in_time(table(spark, SPINE, spine), "ts", views, policy)
+    assert joined.columns == ["obs", "acc", "ts", "s_x", "s_y", "x", "y"]
+    assert {r[0]: r[3:] for r in rows(joined)} == {
+        1: (2.0, "b", 5.0, "t"), 2: (None, "y", None, None), 3: (None,) * 4, 4: (None,) * 4, 5: (2.0, "b", 5.0, "t"),
+    }
+    alone = hs.point_in_time(table(spark, SPINE, spine), "ts", views[:1], policy)
+    assert {r[0]: r[3:] for r in rows(alone)}[1] == (2.0, "b")

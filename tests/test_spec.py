@@ -118,3 +118,33 @@ def test_retrieval_spec_from_a_plain_yaml_file(spark, tmp_path):
         "feature_stores:\n- features:\n  - feature_name: altitude\n    feature_set: stations:9\n  location: here\nserialization_version: 2\n"
     )
     assert hs.RetrievalSpec.load(spark, str(tmp_path)).features == (hs.FeatureRef("altitude", "stations", "9"),)
+
+
+def test_a_saved_feature_set_is_read_again(spark, tmp_path):
+    from hindsight.spec.model import Column
+
+    def twice(df):
+        return df
+
+    fs = hs.FeatureSet(
+        "readings", "2", hs.Source("/lake/*.parquet", "timestamp", timedelta(hours=30, minutes=5)), (Column("k", "string"), Column("n", "long")),
+        twice, (Column("a", "double"), Column("b", "datetime")), timedelta(days=21), timedelta(days=3, hours=2),
+    )
+    path = hs.save_feature_set(spark, fs, str(tmp_path / "spec"))
+    assert hs.load_feature_set(path, "readings", "2", {f"{twice.__module__}.twice": twice}) == fs
+    timeless = hs.FeatureSet("s", "1", hs.Source("/lake/s"), (Column("k", "string"),), features=(Column("a", "double"),))
+    path = hs.save_feature_set(spark, timeless, str(tmp_path / "spec"))  # replaces the file
+    assert hs.load_feature_set(path, "s", "1") == timeless
+    with pytest.raises(ValueError, match="not declared"):
+        hs.save_feature_set(spark, hs.FeatureSet("s", "1", hs.Source("/x"), ()), str(tmp_path))
+    with pytest.raises(ValueError, match="whole minutes"):
+        hs.save_feature_set(spark, hs.FeatureSet("s", "1", hs.Source("/x", "t", timedelta(seconds=1)), (), features=fs.features), str(tmp_path))
+    with pytest.raises(ValueError, match="renamed"):
+        hs.save_feature_set(spark, hs.FeatureSet("s", "1", hs.Source("/x", rename={"a": "b"}), (), features=fs.features), str(tmp_path))
+
+
+def test_specs_and_recipes_are_single_files(spark, tmp_path):
+    hs.RetrievalSpec((hs.FeatureRef("a", "s", "1"),)).save(spark, str(tmp_path))
+    hs.Recipe(("/lake",)).then("drop_columns", ["x"]).save(spark, str(tmp_path))
+    assert {p.name for p in tmp_path.iterdir() if p.is_file()} == {"feature_retrieval_spec.yaml", "MLTable"}
+    assert hs.Recipe.open(spark, str(tmp_path)).steps == (("drop_columns", ["x"]),)

@@ -197,5 +197,53 @@ SELECT n, tp, fp, fn,
   round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END, 9) AS f1,
   round(CASE WHEN n > 0 THEN good / n ELSE 0 END, 9) AS accuracy
 FROM c
+""",
+    "sample_of_content": """
+WITH k AS (
+  SELECT l_returnflag, l_linestatus, l_quantity::INT AS quantity, count(*) AS copies FROM lineitem GROUP BY ALL),
+t AS (
+  SELECT *, unnest(range(1, copies + 1)) AS i,
+    '735#' || length(l_returnflag) || ':' || l_returnflag || length(l_linestatus) || ':' || l_linestatus || length(quantity::VARCHAR) || ':' || quantity || '#' AS content
+  FROM k)
+SELECT l_returnflag, l_linestatus, quantity, count(*) AS n, count(*) AS again
+FROM t WHERE ('0x' || substr(md5(content || i), 1, 12))::BIGINT < round(0.05 * 281474976710656) GROUP BY ALL
+""",
+    "pit_hot_entity": """
+WITH e AS (
+  SELECT event_id, CASE WHEN event_id % 3 = 0 THEN -1 ELSE user_id END AS "accountID", event_type, value,
+    CASE WHEN event_id % 6 = 0 THEN TIMESTAMP '2024-01-15 12:00:00' ELSE ts END AS "timestamp" FROM events),
+f AS (
+  SELECT "accountID", "timestamp" + INTERVAL 20 MINUTE AS visible, max({'v': value, 'e': event_id}) AS best
+  FROM e WHERE event_type <> 'purchase' GROUP BY ALL)
+SELECT s.event_id, s."accountID", s."timestamp",
+  CASE WHEN s."timestamp" <= f.visible + INTERVAL 30 HOUR THEN best.v END AS "lastValue",
+  CASE WHEN s."timestamp" <= f.visible + INTERVAL 30 HOUR THEN best.e::VARCHAR END AS "lastEvent"
+FROM (SELECT event_id, "accountID", "timestamp" FROM e WHERE event_type = 'purchase') s
+ASOF LEFT JOIN f ON s."accountID" = f."accountID" AND s."timestamp" >= f.visible
+""",
+    "timeless_set": """
+WITH done AS (SELECT o_custkey, o_orderdate, max(o_totalprice) AS price FROM orders WHERE o_orderstatus <> 'O' GROUP BY ALL)
+SELECT o.o_orderkey, o.o_custkey, o.o_orderdate, c.c_acctbal, d.price AS last_price, c.c_mktsegment
+FROM (SELECT o_orderkey, o_custkey, o_orderdate FROM orders) o LEFT JOIN customer c ON c.c_custkey = o.o_custkey
+ASOF LEFT JOIN done d ON o.o_custkey = d.o_custkey AND o.o_orderdate >= d.o_orderdate
+""",
+    "timeless_duplicates": """
+WITH best AS (
+  SELECT o_custkey, o_orderpriority, o_totalprice,
+    row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority DESC, o_totalprice DESC) AS r FROM orders)
+SELECT c_custkey AS o_custkey, o_orderpriority AS "top_o_orderpriority", o_totalprice AS "top_o_totalprice"
+FROM customer LEFT JOIN best ON o_custkey = c_custkey AND r = 1
+""",
+    "saved_set": """
+SELECT user_id, ts, round(sum(value) OVER w, 4) AS day_sum, count(event_id) OVER w AS n
+FROM (SELECT *, date_trunc('second', ts) AS sec FROM events)
+WINDOW w AS (PARTITION BY user_id ORDER BY sec RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW)
+""",
+    "rf_learns": """
+WITH h AS (SELECT value > 60 AS told, ('0x' || substr(md5(event_id::VARCHAR), 7, 2))::INT % 2 = 0 AS untold
+  FROM events WHERE ('0x' || substr(md5(event_id::VARCHAR), 1, 6))::INT % 100 < 33)
+SELECT 'told' AS label, count(*) AS held_out, greatest(count(*) FILTER (told), count(*) FILTER (NOT told)) AS larger, true AS has_learned FROM h
+UNION ALL
+SELECT 'untold', count(*), greatest(count(*) FILTER (untold), count(*) FILTER (NOT untold)), false FROM h
 """,
 }

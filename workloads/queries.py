@@ -188,6 +188,14 @@ def sample_rows(spark, sf):
     )
 
 
+def sample_of_content(spark, sf):
+    """A sample of rows most of which have many copies, the same under another partitioning."""
+    kinds = _table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", F.col("l_quantity").cast("int").alias("quantity"))
+    one, other = (hs.sample_by_content(df, 0.05, 735) for df in (kinds, kinds.repartition(7)))
+    counted = [df.groupBy(*df.columns).agg(F.count("*").alias(n)) for df, n in ((one, "n"), (other, "again"))]
+    return counted[0].join(counted[1], kinds.columns, "full")
+
+
 def time_coverage(spark, sf):
     return hs.time_coverage(_table(spark, sf, "events"), "ts")
 
@@ -239,6 +247,22 @@ def rolling_orders_30d_crowded(spark, sf):
 # Point-in-time joins
 
 
+def pit_hot_entity(spark, sf):
+    """A third of all observations and feature rows on one entity, a sixth on one of its instants."""
+    events = _table(spark, sf, "events")
+    third, instant = F.col("event_id") % 3 == 0, F.lit("2024-01-15 12:00:00").cast("timestamp_ntz")
+    events = events.select(
+        "event_id", F.when(third, -1).otherwise(F.col("user_id")).alias("accountID"), "event_type", "value",
+        F.when(F.col("event_id") % 6 == 0, instant).otherwise(F.col("ts")).alias("timestamp"),
+    )
+    view = hs.FeatureView(
+        events.where("event_type <> 'purchase'").select("accountID", "timestamp", F.col("value").alias("lastValue"), F.col("event_id").alias("lastEvent")),
+        KEYS, "timestamp", ["lastValue", "lastEvent"], timedelta(hours=30), timedelta(minutes=20),
+    )
+    spine = events.where("event_type = 'purchase'").select("event_id", "accountID", "timestamp")
+    return hs.point_in_time(spine, "timestamp", [view]).withColumn("lastEvent", F.col("lastEvent").cast("string"))
+
+
 def _pit_events(policy=hs.SkewPolicy(), **bounds) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark, sf):
         view = hs.FeatureView(
@@ -373,6 +397,52 @@ def inference_dataset(spark, sf):
     return _rounded(hs.retrieve_for_model(spark, f"{folder}/model", sets, unlabelled, "timestamp"))
 
 
+def _customers_set(sf: str) -> hs.FeatureSet:
+    """A feature set without a time column."""
+    return hs.FeatureSet(
+        name="customers",
+        version="1",
+        source=hs.Source(f"{sf}/customer.parquet", rename={"c_custkey": "o_custkey"}),
+        index_columns=(Column("o_custkey", "long"),),
+        features=(Column("c_acctbal", "double"), Column("c_mktsegment", "string")),
+    )
+
+
+def timeless_set(spark, sf):
+    """Features without time of stored and of computed rows, beside a set with time."""
+    folder = shared_folder(prepare(spark))
+    fs, store = _customers_set(sf), hs.OfflineStore(spark, folder)
+    orders = _table(spark, sf, "orders")
+    done = hs.FeatureSet(
+        name="orders", version="1", source=hs.Source(f"{sf}/orders.parquet", "o_orderdate"), index_columns=(Column("o_custkey", "long"),),
+        transformer=lambda df: df.where("o_orderstatus <> 'O'").select("o_custkey", "o_orderdate", F.col("o_totalprice").alias("last_price")),
+        features=(Column("last_price", "double"),), join_lookback=timedelta(days=10_000),
+    )
+    spine = orders.select("o_orderkey", "o_custkey", "o_orderdate")
+    refs = [fs.feature("c_acctbal"), done.feature("last_price"), fs.feature("c_mktsegment")]
+    hs.backfill_whole(fs, store)
+    return hs.get_offline_features(spark, refs, [fs, done], spine, "o_orderdate", store)
+
+
+def timeless_duplicates(spark, sf):
+    """Of an entity's rows without time the greatest by its values wins."""
+    orders = _table(spark, sf, "orders")
+    view = hs.FeatureView(orders, ["o_custkey"], None, ["o_orderpriority", "o_totalprice"], prefix="top_")
+    spine = _table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.lit("2024-01-01").cast("timestamp").alias("at"))
+    return hs.point_in_time(spine, "at", [view]).drop("at")
+
+
+def saved_set(spark, sf):
+    """A feature set written as a spec file, read again, and computed."""
+    fs = hs.FeatureSet("amounts", "1", hs.Source(f"{sf}/events.parquet", "ts"), (Column("user_id", "long"),), hs.RollingTransformer(["user_id"], "ts", [
+        hs.Rolling("day_sum", "sum", "value", timedelta(days=1)), hs.Rolling("day_count", "count", "event_id", timedelta(days=1)),
+    ]))
+    fs = fs.frozen(hs.compute_features(prepare(spark), fs).schema)
+    path = hs.save_feature_set(spark, fs, shared_folder(spark))
+    known = {f"{type(fs.transformer).__module__}.{type(fs.transformer).__name__}": fs.transformer}
+    return _rounded(hs.read_features(spark, hs.load_feature_set(path, fs.name, fs.version, known)).withColumnRenamed("day_count", "n"))
+
+
 # Learning
 
 
@@ -425,6 +495,29 @@ def rf_score(spark, sf):
     )
 
 
+def rf_learns(spark, sf):
+    """A forest on a label that the features tell, and one on shuffled labels: what both have learned.
+
+    The accuracy on rows held out is compared with the share of the larger class, on stored scores.
+    """
+    events = _table(spark, sf, "events").select(
+        "event_id", "value", F.pmod("user_id", F.lit(7)).alias("noise"), (F.col("value") > 60).alias("told"),
+        (F.conv(F.substring(F.md5(F.col("event_id").cast("string")), 7, 2), 16, 10).cast("int") % 2 == 0).alias("untold"),
+    )
+    out = []
+    for label in ("told", "untold"):
+        trained = hs.train(events.select("event_id", "value", "noise", label), label, ["value", "noise"], "event_id")
+        folder = shared_folder(spark)
+        write_table(trained.test, folder)
+        y, p = F.col(label).cast("int"), F.col("predict_is_fraud")
+        out.append(hs.scan(spark, folder).agg(
+            F.lit(label).alias("label"), F.count("*").alias("held_out"), F.greatest(F.count_if(y == 1), F.count_if(y == 0)).alias("larger"),
+            F.count_if(y == p).alias("right"),
+        ))
+    both = out[0].unionByName(out[1])
+    return both.select("label", "held_out", "larger", (F.col("right") > F.col("larger") + 0.9 * (F.col("held_out") - F.col("larger"))).alias("has_learned"))
+
+
 def rf_metrics(spark, sf):
     """Metrics of stored scores against counts of the stored rows."""
     scored, _ = _scored(spark, sf)
@@ -492,4 +585,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rf_score": rf_score,
     "rf_metrics": rf_metrics,
     "rolling_odd_frames": rolling_odd_frames,
+    "sample_of_content": sample_of_content,
+    "pit_hot_entity": pit_hot_entity,
+    "timeless_set": timeless_set,
+    "timeless_duplicates": timeless_duplicates,
+    "saved_set": saved_set,
+    "rf_learns": rf_learns,
 }
