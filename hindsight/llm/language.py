@@ -14,12 +14,12 @@ teach nothing; with no rows to learn from every text is `und`; every row gives o
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,44 +27,50 @@ from pyspark.sql import functions as F
 from hindsight.llm.arrays import slices
 
 UNKNOWN = "und"
-_NO_LETTERS = re.compile(r"[\W\d_]+")
+#: Letters with the marks that belong to them, as vowel signs of Indian scripts do.
+_NO_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
+_LETTER = regex.compile(r"\p{L}")
 
 
 @dataclass(frozen=True)
 class Settings:
     """Bounds of what is learned, how texts are coded, and the margin below which one is rejected.
 
-    A dictionary has at most `dictionary_bytes`, from at most `sample_texts` texts of its
-    language and `sample_chars` characters of each; the commonest `languages` are learned.
+    A dictionary has at most `dictionary_bytes`, from at most `sample_texts` different texts of
+    its language and `sample_chars` characters of each.  Every language is learned.
     """
 
     dictionary_bytes: int = 1 << 16
     sample_texts: int = 200
     sample_chars: int = 2000
-    languages: int = 256
     block_bytes: int = 1024
     level: int = 9
     narrow: float = 0.01
 
 
 def letters(text: str) -> bytes:
+    """A text in lower case with one blank for all between its letters; nothing if it has none."""
+    if not _LETTER.search(text):
+        return b""
     return _NO_LETTERS.sub(" ", text.lower()).strip().encode()
 
 
 def learn(labelled: DataFrame, how: Settings = Settings()) -> list[tuple[str, bytes]]:
     """(language, dictionary), commonest language first, from rows with text and lang.
 
-    Texts are chosen by a hash of theirs.  Only rows below a share of all hashes, by the
-    number of texts of their language, are ranked, so no language meets in one task.
+    Texts are chosen by a hash of theirs, copies once.  Only those below a share of all hashes,
+    by the number of different texts of their language, are ranked, so no language meets in
+    one task.
     """
     rows = labelled.select("lang", "text", F.xxhash64("text").alias("h")).where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(how.languages).collect()
+    counts = rows.groupBy("lang").agg(F.count("*").alias("rows"), F.approx_count_distinct("h").alias("texts")).orderBy(F.desc("rows"), "lang").collect()
     if not counts:
         return []
     spark = labelled.sparkSession
-    share = [(r["lang"], min(1.0, 8 * how.sample_texts / r["count"])) for r in counts]
+    share = [(r["lang"], min(1.0, 8 * how.sample_texts / max(1, r["texts"]))) for r in counts]
     chosen = rows.join(F.broadcast(spark.createDataFrame(share, "lang string, share double")), "lang")
     chosen = chosen.where(F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    chosen = chosen.groupBy("lang", "h", "text").agg(F.lit(1))  # copies meet on the map side
     order = Window.partitionBy("lang").orderBy("h", "text")
     chosen = chosen.withColumn("n", F.row_number().over(order)).where(F.col("n") <= how.sample_texts)
     room = F.greatest(F.length("text") - how.sample_chars, F.lit(0)) + 1

@@ -84,6 +84,34 @@ def test_languages(spark, docs, no_docs):
     assert {r.lang_pred for r in language.classify(table, some, language.Settings(narrow=2.0)).collect()} == {"und"}
 
 
+def test_what_letters_are():
+    """Letters with their marks; numbers, signs and marks alone are none."""
+    none = ["", "12 !", "\u00b2", "\u00bd \u00bd", "\u2167", "_", "\u0301 \u093f"]
+    assert [language.letters(t) for t in none] == [b""] * len(none)
+    assert language.letters("  Ab1c_D\u00b2 ") == b"ab c d"
+    for word in ("\u0939\u093f\u0928\u094d\u0926\u0940", "\u0e20\u0e32\u0e29\u0e32\u0e44\u0e17\u0e22", "cafe\u0301"):
+        assert language.letters(f"{word}, {word}") == f"{word} {word}".encode()
+
+
+def test_texts_and_languages_of_a_learned_model(spark):
+    """Every language is learned; copies fill no places; every row has what plain Python finds for its text."""
+    alphabet = [chr(0x4E00 + i) for i in range(900)]
+    rows = [(i, " ".join(alphabet[3 * lang] + alphabet[3 * lang + i % 3] for _ in range(30)), f"l{lang:03d}") for i, lang in enumerate(list(range(300)) * 3)]
+    rows += [(5000 + i, "copied text that is short", "copies") for i in range(300)] + [(6000 + i, f"others say {'abcdefghij'[i % 10]} word {'xyz'[i % 3] * 9}", "copies") for i in range(60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    some = language.learn(table)
+    assert {lang for lang, _ in some} == {r[2] for r in rows}
+    own = dict(some)["copies"]
+    assert own.count(b"copied") == 1 and own.count(b"others") == 30
+    few = language.learn(table.where("lang IN ('copies', 'l001', 'l002')"))
+    odd = [(1, None), (2, "\u00b2"), (3, "copied text " * 40_000), (4, rows[1][1]), (4, rows[1][1]), (5, ""), (None, "others say x")]
+    found = language.classify(spark.createDataFrame(odd, "doc_id long, text string"), few, reject=False).collect()
+    known = language.Classifier(few, language.Settings())
+    want = [(i, *known.predict(t)[:2]) for i, t in odd]
+    assert sorted(map(str, [(r.doc_id, r.lang_pred, r.score) for r in found])) == sorted(map(str, want))
+    assert [w[1] for w in want] == ["und", "und", "copies", "l001", "l001", "und", "copies"]
+
+
 def test_learning_is_bounded(spark):
     table = spark.createDataFrame([("xx", "ab c" * 3000 + str(i)) for i in range(50)], "lang string, text string")
     (name, raw), = language.learn(table, language.Settings(dictionary_bytes=5000, sample_texts=4))
