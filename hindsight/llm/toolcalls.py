@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hindsight.llm.shared import settle
+from hindsight.session import shared_folder
 
 CALLS = "conv_id long, turn long, call_id string, tool string, arguments string, after array<string>"
 RESULTS = "conv_id long, turn long, call_id string, content string"
@@ -75,31 +76,49 @@ def argument_errors(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     return errors.groupBy("row").agg(F.array_sort(F.collect_list("error")).alias("errors"))
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """`df` as a table in the shared folder: what is read again knows nothing of how it was made.
+
+    A checkpoint keeps what the optimiser has found out of its rows, which grows with each round.
+    """
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def places(calls: DataFrame) -> DataFrame:
     """(row, rank, hop) of settled calls (row, conv_id, turn, call_id, after, repeated).
 
     Starts with every call at its own turn and moves those that stand before something they
     depend on, until none does: one round where all is in order, and as many as the longest
-    chain that runs backwards otherwise.  A call that is still moving after as many hops as its
-    conversation has calls is on or behind a cycle: rank and hop are null.
+    chain that runs backwards otherwise.  On the way to a call's place every hop is of another
+    call that has moved, so more hops than calls of the conversation that have moved so far
+    are on or behind a cycle: rank and hop are null.  A cycle of two ends after three rounds,
+    however long the conversation.
     """
-    sizes = calls.groupBy("conv_id").agg(F.count("*").alias("calls"))
     named = calls.where("NOT repeated AND call_id IS NOT NULL").select("conv_id", F.col("call_id").alias("name"), F.col("row").alias("before"))
-    edges = calls.select("row", "conv_id", F.explode("after").alias("name")).join(named, ["conv_id", "name"]).join(sizes, "conv_id")
-    edges = settle(edges.select("row", "before", "calls").distinct())
+    edges = calls.select("row", "conv_id", F.explode("after").alias("name")).join(named, ["conv_id", "name"])
+    edges = settle(edges.select("row", "before").distinct())
     # only a call that stands before one it depends on can move, and what depends on it
-    place = settle(calls.select("row", F.struct(F.col("turn").alias("rank"), F.lit(0).cast("long").alias("hop")).alias("at"), F.lit(False).alias("cyclic")))
+    start = F.struct(F.col("turn").alias("rank"), F.lit(0).cast("long").alias("hop"))
+    place = _written(calls.select("row", "conv_id", start.alias("at"), F.lit(False).alias("cyclic"), F.lit(False).alias("has_moved")))
     while True:
         from_ = place.select(F.col("row").alias("before"), F.col("at").alias("b"), F.col("cyclic").alias("bc"))
         pushed = edges.join(from_, "before").groupBy("row").agg(
-            F.max(F.struct(F.col("b.rank").alias("rank"), (F.col("b.hop") + 1).alias("hop"))).alias("p"), F.max("bc").alias("pc"), F.first("calls").alias("calls")
+            F.max(F.struct(F.col("b.rank").alias("rank"), (F.col("b.hop") + 1).alias("hop"))).alias("p"), F.max("bc").alias("pc")
         )
-        moves = place.join(pushed, "row", "inner").where("(p > at AND NOT cyclic) OR (pc AND NOT cyclic)")
-        moved = settle(moves.select("row", F.greatest("p", "at").alias("to"), (F.col("pc") | (F.col("p.hop") > F.col("calls"))).alias("round")))
+        moves = place.join(pushed, "row").where("NOT cyclic AND (p > at OR pc)")
+        moved = _written(moves.select("row", "conv_id", F.greatest("p", "at").alias("to"), "pc", "has_moved"))
         if moved.isEmpty():
             break
-        place = settle(place.join(moved, "row", "left").select(
-            "row", F.coalesce("to", "at").alias("at"), F.coalesce("round", "cyclic").alias("cyclic")
+        # earlier and new ones; no call is counted twice
+        known = place.where("has_moved").select("conv_id").unionByName(moved.where("NOT has_moved").select("conv_id"))
+        movers = known.groupBy("conv_id").agg(F.count("*").alias("movers"))
+        place = place.join(moved.select("row", "to", "pc"), "row", "left").join(movers, "conv_id", "left")
+        round_ = F.col("pc") | (F.col("to.hop") > F.col("movers"))
+        place = _written(place.select(
+            "row", "conv_id", F.coalesce("to", "at").alias("at"), F.coalesce(F.col("cyclic") | round_, "cyclic").alias("cyclic"),
+            (F.col("has_moved") | F.col("to").isNotNull()).alias("has_moved"),
         ))
     return place.select("row", F.when(~F.col("cyclic"), F.col("at.rank")).alias("rank"), F.when(~F.col("cyclic"), F.col("at.hop")).alias("hop"))
 

@@ -11,23 +11,14 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from compare import database, difference
 from pyspark.sql import functions as F
 
-from hindsight.llm import divergence, negatives, oracle, queries, warc
+from hindsight.llm import divergence, negatives, warc
 from hindsight.llm.divergence import Audit, source_divergence
 from hindsight.llm.negatives import Mining, hard_negatives
 from hindsight.llm.perfecthash import PerfectHash, Shard, hashes
 from hindsight.llm.shared import ship
 
-SF = "/root/testdata/sf0.001"
-
-
-@pytest.mark.parametrize("name", ["op11_source_divergence", "op12_warc", "op13_hard_negatives"])
-def test_queries_equal_their_sql(spark, name):
-    found = queries.QUERIES[name](spark, SF).toPandas()
-    assert not difference(found, database(SF).execute(oracle.ORACLE[name]).df())
-
 
 # Perfect hashes
 

@@ -254,6 +254,21 @@ def test_order_of_calls_is_topological(spark):
     assert all(order.index(n) < order.index(f"n{i}") for i, names in after.items() for n in names)
 
 
+def test_a_cycle_in_a_long_conversation_ends_after_few_rounds(spark, monkeypatch):
+    """Two calls that wait for each other, what waits for them, a chain that runs backwards, and 400 others."""
+    calls = [(1, i, f"n{i}", "t", "{}", [f"n{i - 1}"]) for i in range(400)]
+    calls[50], calls[51] = (1, 50, "n50", "t", "{}", ["n51"]), (1, 51, "n51", "t", "{}", ["n50"])
+    calls += [(2, i, f"m{i}", "t", "{}", [f"m{i + 1}"]) for i in range(6)]
+    written = []
+    old = toolcalls._written
+    monkeypatch.setattr(toolcalls, "_written", lambda df: written.append(1) or old(df))
+    empty = spark.createDataFrame([], toolcalls.RESULTS), spark.createDataFrame([], toolcalls.SCHEMAS)
+    rows = [(*c[:5], [] if c[2] in ("n52", "n60") else c[5]) for c in calls]
+    found = {(r.conv_id, r.turn): (r.rank, r.hop) for r in toolcalls.link_calls(spark.createDataFrame(rows, toolcalls.CALLS), *empty).collect()}
+    assert found == {(1, i): (-1, -1) if i in (50, 51) else (i, 0) for i in range(400)} | {(2, i): (5, 5 - i) for i in range(6)}
+    assert len(written) <= 20
+
+
 @pytest.mark.parametrize("name", sorted(oracle.ORACLE))
 def test_query_equals_its_sql(spark, name):
     found = queries.QUERIES[name](spark, SF).toPandas()
