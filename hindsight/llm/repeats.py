@@ -23,7 +23,10 @@ from pyspark.sql import functions as F
 from hindsight.llm.arrays import slices
 from hindsight.llm.shared import sent_if_small, settle
 
-BUCKET_ENTRIES = 1_000_000
+#: Entries of a bucket, on average; a worker holds some copies of a bucket of 32 bytes each.
+BUCKET_ENTRIES = 1 << 18
+#: Bytes of text that a worker packs at once; it holds some dozen numbers for each.
+PACK_BYTES = 1 << 18
 #: Owners of a key within a slice of text from which it is hot.
 HOT_OWNERS = 64
 HOT_BUCKETS = 1 << 20  # numbers from here on are of hot entries
@@ -92,7 +95,7 @@ def pack_entries(docs: DataFrame, entries: Callable[..., Entries], bits: int, ho
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, at in slices(batch):
+            for part, data, at in slices(batch, most=PACK_BYTES):
                 found = entries(part, data, at)
                 if len(found[0]):
                     columns = list(zip(*_packed(found, bits, hot_owners), strict=True))
@@ -159,11 +162,12 @@ def shared_entries(packed: DataFrame, bits: int) -> DataFrame:
     def keep(group: pa.Table) -> pa.Table:
         squeeze = zstandard.ZstdCompressor(level=1).compress
         columns = [group.column("bucket").to_pylist(), *[[x.as_buffer() for x in group.column(c)] for c in FIELDS[1:]]]
-        rows = [_unpack(r, bits) for r in zip(*columns, strict=True)]
         hot = columns[0][0] >= HOT_BUCKETS
+        rows = list(zip(*[_unpack(r, bits) for r in zip(*columns, strict=True)], strict=True))
         del columns
-        entries = [np.concatenate(x) for x in zip(*rows, strict=True)]
-        del rows
+        entries = []
+        while rows:  # the parts of a column go once they are joined
+            entries.append(np.concatenate(rows.pop(0)))
         if hot:
             keys, owners, extra, _ = entries
             found = (owners, extra, keys.view(np.int64), np.zeros(len(keys), np.int64))
