@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from hindsight.functions.columns import time_literal, utc_time
 from hindsight.operators.rolling import EntityWise, RollingTransformer, coarser_sums
@@ -87,8 +88,9 @@ def backfill_whole(fs: FeatureSet, store: OfflineStore) -> str:
     return store.write_whole(fs, compute_features(store.spark, fs))
 
 
-#: Seconds of the tiles in which the sums of earlier windows are kept.
+#: Seconds of the tiles in which the sums of earlier windows are kept, and the table that has them.
 STATE_TILE = 3600
+SUMS = "sums"
 
 
 def resumed(fs: FeatureSet, start: datetime, end: datetime, store: OfflineStore) -> tuple[DataFrame, dict[str, DataFrame]]:
@@ -109,14 +111,17 @@ def resumed(fs: FeatureSet, start: datetime, end: datetime, store: OfflineStore)
     source = read_source(spark, fs.source, [*missing, (start, end)])
     fine, coarse = _by_grain(kept, [(start - a.duration, end - a.duration) for a in own.aggs])
     before = None
-    for table, segments in (("seconds", fine), ("tiles", coarse)):
-        rows = store.read_table(fs, table, "__at", snapshot, back, segments)
+    for grain, segments in ((1, fine), (STATE_TILE, coarse)):
+        rows = store.read_table(fs, SUMS, "__at", snapshot, back, segments)
         if rows is not None:
+            rows = rows.where(F.col("__grain") == grain).drop("__grain")
             before = rows if before is None else before.unionByName(rows)
     mine = within(source, fs.ts, [(start, end)])
     features = fs.conform(own.resume(source, mine, before))
     seconds = own.sums(source.where(mine))
-    return features, {"seconds": seconds, "tiles": coarser_sums(seconds, own.keys, STATE_TILE, time_literal(start))}
+    tiles = coarser_sums(seconds, own.keys, STATE_TILE, time_literal(start))
+    both = seconds.withColumn("__grain", F.lit(1)).unionByName(tiles.withColumn("__grain", F.lit(STATE_TILE)))
+    return features, {SUMS: both}
 
 
 def _by_grain(segments: Sequence[Segment], begins: Sequence[Span]) -> tuple[list[Segment], list[Segment]]:
