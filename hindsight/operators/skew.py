@@ -3,7 +3,7 @@
 Every profile below returns a list with a fixed upper length to the driver; the lists
 only choose the physical route of a row, never whether it is kept.  All routes of an
 operator give the same result and every row takes exactly one.  A profile counts all rows;
-a key beyond its list is joined or summed by the plain route.
+a key beyond its list is found by a join, or its rows are shuffled and Spark splits them.
 """
 
 from __future__ import annotations
@@ -22,8 +22,9 @@ class SkewPolicy:
     dense_rows: rows of one key within one longest rolling frame before the frame is
         assembled from tiles instead of being re-read for every row.  Both take the
         same time at about 350 rows.
-    hot_rows: rows one task should hold; larger keys and instants are split.
-    max_groups: upper length of every list brought to the driver.
+    hot_rows: rows one task should hold; larger seconds of a key are not shuffled, and ranges
+        of the as-of join are made smaller than that.
+    max_groups: upper length of the lists of crowded keys and seconds.
     broadcast_bytes: size, as distinct keys times the longest key, up to which the keys of
         an observation table are broadcast to read only their feature rows.
     """
