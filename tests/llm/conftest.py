@@ -50,3 +50,9 @@ def docs(spark, rows):
 @pytest.fixture(scope="session")
 def no_docs(docs):
     return docs.limit(0)
+
+
+@pytest.fixture(scope="session")
+def writers():
+    """Functions that make texts: of so many words, and of another one with a share of its words changed."""
+    return prose, changed

@@ -87,6 +87,20 @@ def test_one_of_each(docs, no_docs, rows):
     assert jaccard.one_of_each(no_docs).count() == 0 == jaccard.similar_documents(no_docs).count()
 
 
+def test_a_large_group_of_near_copies_makes_few_pairs(spark, writers, monkeypatch):
+    """Leaders join the group; what is then looked at pair by pair is in proportion to the rows."""
+    rnd, (prose, changed) = random.Random(4), writers
+    base = prose(rnd, 150)
+    texts = [changed(rnd, base, 0.01) for _ in range(200)] + [prose(rnd, 60) for _ in range(60)]
+    met = []
+    old = jaccard._met_pairs
+    monkeypatch.setattr(jaccard, "_met_pairs", lambda *a: met.append(old(*a)) or met[-1])
+    rows_ = list(enumerate(texts))
+    found = jaccard.similar_documents(spark.createDataFrame(rows_, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, found)) == sorted((r[0], *w) for r, w in zip(rows_, linked_by(rows_), strict=True))
+    assert len(met) == 1 and met[0].count() <= 4 * len(texts)
+
+
 def repeats_of(rows):
     """(bytes, kept bytes, spans) of each row, by a table of all strings."""
     first = {}
