@@ -11,8 +11,9 @@ from dataclasses import dataclass
 from datetime import timedelta
 
 from pyspark.ml import Transformer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DecimalType
 
 from hindsight.functions.columns import epoch_seconds
 from hindsight.operators.skew import SkewPolicy, heavy_groups, inline, is_in, key_hash
@@ -22,6 +23,8 @@ FUNCTIONS = {"count": F.count, "sum": F.sum, "avg": F.avg}
 #: summed from directly, before tiles of tiles take over.
 LONGEST_TILE = 21_600
 REACH = 64
+#: Places that a task puts frames together for, on average; it holds some rows for each.
+TASK_PLACES = 1 << 17
 #: Times as many rows as a crowded stretch has.
 VERY_DENSE = 10
 
@@ -81,13 +84,16 @@ def rolling(
         return plain
 
     places = base.select(*keys, "__sec") if before is None else base.select(*keys, "__sec").unionByName(before.select(*keys, "__sec"))
-    dense = _dense_keys(places, keys, max(a.seconds for a in aggs), policy)
-    densest = dense.orderBy(F.desc("n"), "h").limit(policy.max_groups + 1).collect()
+    longest, all_rows = max(a.seconds for a in aggs), Observation()
+    counted = _dense_keys(places.observe(all_rows, F.count(F.lit(1)).alias("n")), keys, longest, policy)
+    densest = counted.orderBy(F.desc("n"), "h").limit(policy.max_groups + 1).collect()
     if not densest:
         return plain
+    dense = _dense_keys(places, keys, longest, policy)
+    tasks = _tasks(base.sparkSession, all_rows.get["n"])
     if len(densest) > policy.max_groups and densest[-1].n > VERY_DENSE * policy.dense_rows:
         # so many so crowded keys that the others are better off in tiles, too
-        return _tiled(base, keys, ts, aggs, keep, policy, before)
+        return _tiled(base, keys, ts, aggs, keep, policy, before, tasks)
     listed = [r.h for r in densest]
 
     def marked(rows: DataFrame) -> DataFrame:
@@ -103,7 +109,7 @@ def rolling(
     some, seen = part("NOT __dense")
     ordinary = _plain(some, keys, ts, aggs, keep, seen)
     some, seen = part("__dense")
-    return ordinary.unionByName(_tiled(some, keys, ts, aggs, keep, policy, seen))
+    return ordinary.unionByName(_tiled(some, keys, ts, aggs, keep, policy, seen, tasks))
 
 
 def partial_sums(df: DataFrame, keys: Sequence[str], ts: str, aggs: Sequence[Rolling]) -> DataFrame:
@@ -194,6 +200,12 @@ def _dense_keys(base, keys, longest: int, policy: SkewPolicy) -> DataFrame:
     return stretch.groupBy("h", "b").count().where(F.col("count") > policy.dense_rows).groupBy("h").agg(F.max("count").alias("n"))
 
 
+def _tasks(spark, places: int) -> int:
+    """How many tasks so many places are dealt over, so that none holds more the more there are; 0 if a round of tasks will do."""
+    tasks = -(-places // TASK_PLACES)
+    return tasks if tasks > spark.sparkContext.defaultParallelism else 0
+
+
 def _tile_groups(durations: Sequence[int]) -> list[tuple[int, list[int]]]:
     """(tile, durations) of the frames that share tiles, shortest first.
 
@@ -209,6 +221,11 @@ def _tile_groups(durations: Sequence[int]) -> list[tuple[int, list[int]]]:
     return groups
 
 
+def _widest(kind: DataType) -> DataType:
+    """The type of a sum of sums."""
+    return DecimalType(38, kind.scale) if isinstance(kind, DecimalType) else kind
+
+
 def _sum_of(columns: Sequence[str]) -> Column:
     added = F.coalesce(F.col(columns[0]), F.lit(0))
     for c in columns[1:]:
@@ -216,7 +233,7 @@ def _sum_of(columns: Sequence[str]) -> Column:
     return added
 
 
-def _framed(places: DataFrame, keys: Sequence[str], names: Sequence[str], durations: Sequence[int]) -> DataFrame:
+def _framed(places: DataFrame, keys: Sequence[str], names: Sequence[str], durations: Sequence[int], tasks: int = 0) -> DataFrame:
     """`places` with the sums `__t<d><name>` over the places from `__pos` - d to `__pos`, for each d.
 
     places: one row per key and whole-numbered place, `names` are the columns to sum up.  A
@@ -225,15 +242,16 @@ def _framed(places: DataFrame, keys: Sequence[str], names: Sequence[str], durati
     moved ahead by d, has in tile b from s on; and what lies between, which is the same for
     all places of the tile: whole tiles, and the end of the tile before them where tiles do
     not divide d.  What lies between is found on one row per tile; if that takes many tiles,
-    by the same method, with tiles of tiles.  Nothing is subtracted.
+    by the same method, with tiles of tiles.  Nothing is subtracted.  `tasks`: how many the
+    rows of a level are dealt over, 0 for as many as Spark takes.
     """
     out = places
     for tile, lengths in _tile_groups(durations):
-        out = _framed_by(out, places, keys, names, tile, lengths)
+        out = _framed_by(out, places, keys, names, tile, lengths, tasks)
     return out
 
 
-def _framed_by(asked: DataFrame, places: DataFrame, keys, names, tile: int, durations: Sequence[int]) -> DataFrame:
+def _framed_by(asked: DataFrame, places: DataFrame, keys, names, tile: int, durations: Sequence[int], tasks: int) -> DataFrame:
     carried = [c for c in asked.columns if c not in (*keys, "__pos")]
     in_tile = lambda place: F.expr(f"({place} - pmod({place}, {tile})) div {tile}")
     whole = {d: d // tile - 1 for d in durations if d >= 2 * tile}
@@ -261,44 +279,52 @@ def _framed_by(asked: DataFrame, places: DataFrame, keys, names, tile: int, dura
             for d in ends for p in names
         ],
     )
-    middle = [between] if near or ends else []
+    middle = [(between, {d: [x for x, some in (("__w", near), ("__e", ends)) if d in some] for d in durations})]
     if far := {d: n for d, n in whole.items() if n > REACH}:
         # the n tiles before tile b are the frame of length n - 1 that ends at b - 1
         moved = tiles.select(*keys, (F.col("__tile") + 1).alias("__pos"), F.lit(None).cast("int").alias("__ask"), *names)
         here = tiles.select(*keys, F.col("__tile").alias("__pos"), F.lit(1).alias("__ask"))
         both = moved.unionByName(here, allowMissingColumns=True).where("__pos IS NOT NULL")
         ranked = both.groupBy(*keys, "__pos").agg(F.max("__ask").alias("__ask"), *[F.sum(p).alias(p) for p in names])
-        higher = _framed(ranked, keys, names, sorted({n - 1 for n in far.values()})).where("__ask = 1")
-        middle.append(higher.select(*keys, F.col("__pos").alias("__tile"), *[F.col(f"__t{n - 1}{p}").alias(f"__w{d}{p}") for d, n in far.items() for p in names]))
+        higher = _framed(ranked, keys, names, sorted({n - 1 for n in far.values()}), tasks).where("__ask = 1")
+        higher = higher.select(*keys, F.col("__pos").alias("__tile"), *[F.col(f"__t{n - 1}{p}").alias(f"__w{d}{p}") for d, n in far.items() for p in names])
+        middle.append((higher, {d: ["__w"] for d in far}))
 
+    # All parts are rows of the same few columns, told apart by `__kind`: 0 for a place itself, i
+    # for what the frame of the i-th length has.  What lies between stands behind the tile's end.
     ahead = F.explode(F.array(*[F.struct(F.lit(i).alias("kind"), F.lit(d).alias("shift")) for i, d in enumerate(durations, 1)]))
     rows = asked.select(*keys, in_tile("__pos").alias("__tile"), "__pos", F.lit(0).alias("__kind"), *carried)
     copies = places.where("__pos IS NOT NULL").select(*keys, "__pos", *names, ahead.alias("__m"))
     copies = copies.select(*keys, F.expr("__pos + __m.shift").alias("__pos"), F.col("__m.kind").alias("__kind"), *names)
     rows = rows.unionByName(copies.withColumn("__tile", in_tile("__pos")), allowMissingColumns=True)
-    for part in middle:
-        first = part.withColumns({"__pos": F.col("__tile") * tile - 1, "__kind": F.lit(-1)})
-        rows = rows.unionByName(first, allowMissingColumns=True)
+    kinds = {p: _widest(places.schema[p].dataType) for p in names}
+    for part, pieces in middle:
+        sums = [
+            F.struct(F.lit(i).alias("kind"), *[_sum_of([f"{x}{d}{p}" for x in pieces[d]]).cast(kinds[p]).alias(p) for p in names])
+            for i, d in enumerate(durations, 1) if pieces.get(d)
+        ]
+        if not sums:
+            continue
+        some = F.coalesce(*[F.col(f"{x}{d}{p}").cast("string") for d, found in pieces.items() for x in found for p in names])
+        behind = part.where(some.isNotNull()).select(*keys, "__tile", F.explode(F.array(*sums)).alias("__m"))
+        behind = behind.select(*keys, "__tile", ((F.col("__tile") + 1) * tile).alias("__pos"), F.col("__m.kind").alias("__kind"), *[F.col(f"__m.{p}").alias(p) for p in names])
+        rows = rows.unionByName(behind, allowMissingColumns=True)
+    if tasks:
+        rows = rows.repartition(tasks, *keys, "__tile")
 
     within = Window.partitionBy(*keys, "__tile")
     upward = within.orderBy("__pos").rangeBetween(Window.unboundedPreceding, 0)
     downward = within.orderBy(F.desc("__pos")).rangeBetween(Window.unboundedPreceding, 0)
-    pieces = [f"__w{d}{p}" for d in whole for p in names] + [f"__e{d}{p}" for d in ends for p in names]
     found = rows.select(
         *keys, "__pos", "__kind", *carried,
         *[F.sum(F.when(F.col("__kind") == 0, F.col(p))).over(upward).alias(f"__last{p}") for p in names],
         *[F.sum(F.when(F.col("__kind") == i, F.col(p))).over(downward).alias(f"__first{d}{p}") for i, d in enumerate(durations, 1) for p in names],
-        *[F.max(c).over(upward).alias(f"{c}_") for c in pieces],
     ).where("__kind = 0")
-
-    def total(d: int, p: str) -> Column:
-        parts = [f"__first{d}{p}", *([f"__e{d}{p}_"] if d in ends else []), *([f"__w{d}{p}_"] if d in whole else []), f"__last{p}"]
-        return _sum_of(parts).alias(f"__t{d}{p}")
-
+    total = lambda d, p: _sum_of([f"__first{d}{p}", f"__last{p}"]).alias(f"__t{d}{p}")
     return found.select(*keys, "__pos", *carried, *[total(d, p) for d in durations for p in names])
 
 
-def _tiled(base, keys, ts, aggs, keep, policy: SkewPolicy, before=None) -> DataFrame:
+def _tiled(base, keys, ts, aggs, keep, policy: SkewPolicy, before=None, tasks: int = 0) -> DataFrame:
     """The same aggregates in linear work, whatever number of rows a key has.
 
     Rows are combined per (key, second) on the map side, frames put together from tiles
@@ -310,7 +336,7 @@ def _tiled(base, keys, ts, aggs, keep, policy: SkewPolicy, before=None) -> DataF
     if before is not None:
         cut = cut.unionByName(before)
     seconds = cut.groupBy(*keys, F.col("__sec").alias("__pos")).agg(*[F.sum(name).alias(name) for name in partials])
-    framed = _framed(seconds, keys, partials, [a.seconds for a in aggs])
+    framed = _framed(seconds, keys, partials, [a.seconds for a in aggs], tasks)
     types = _types(base, aggs)
 
     def result(a: Rolling) -> Column:

@@ -233,3 +233,26 @@ def test_names_may_repeat_source_columns_but_not_each_other(spark, policy):
     assert rows(result) == [("a", at(), 1.0), ("a", at(days=1), 3.0)]
     with pytest.raises(ValueError, match="differ"):
         hs.rolling(df, ["h"], "s", [hs.Rolling("amount", "sum", "amount", DAYS_3)], keep=["amount"], policy=policy)
+
+
+def test_tasks_of_the_tiled_form_follow_the_counted_rows(spark):
+    """More rows than a round of tasks should hold are dealt over more tasks, with the same result."""
+    data = [(f"a{i % 5}", at(minutes=7 * i), str(i), i / 4) for i in range(200)]
+    df = table(spark, SCHEMA, data)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(module, "TASK_PLACES", 8, raising=False)
+        result = hs.rolling(df, ["acc"], "ts", AGGS, keep=["id"], policy=TILED)
+        assert "25), REPARTITION_BY_NUM" in plan(result)
+        assert rows(result) == roll(spark, data, PLAIN)
+    assert "REPARTITION_BY_NUM" not in plan(hs.rolling(df, ["acc"], "ts", AGGS, policy=TILED))
+
+
+def test_parts_of_frames_share_their_columns(spark):
+    """What a task sorts for a frame is a row of the sums, not of all pieces of all frames."""
+    df = table(spark, SCHEMA, [("a", at(minutes=i), str(i), 1.0) for i in range(5)])
+    widths = []
+    for days in ([3], [3, 5, 7]):
+        aggs = [hs.Rolling(f"s{d}", "sum", "amount", timedelta(days=d)) for d in days]
+        union = plan(hs.rolling(df, ["acc"], "ts", aggs, policy=TILED)).split("Union")[1].splitlines()
+        widths.append(max(line.count(" AS ") + line.count(",") for line in union if "__kind" in line and "Project" in line))
+    assert widths[0] == widths[1]
