@@ -294,7 +294,9 @@ def _framed_by(asked: DataFrame, places: DataFrame, keys, names, tile: int, dura
     # for what the frame of the i-th length has.  What lies between stands behind the tile's end.
     ahead = F.explode(F.array(*[F.struct(F.lit(i).alias("kind"), F.lit(d).alias("shift")) for i, d in enumerate(durations, 1)]))
     rows = asked.select(*keys, in_tile("__pos").alias("__tile"), "__pos", F.lit(0).alias("__kind"), *carried)
-    copies = places.where("__pos IS NOT NULL").select(*keys, "__pos", *names, ahead.alias("__m"))
+    # what is NULL in all columns adds nothing
+    adds = F.coalesce(*[F.col(p).cast("string") for p in names]).isNotNull()
+    copies = places.where(F.col("__pos").isNotNull() & adds).select(*keys, "__pos", *names, ahead.alias("__m"))
     copies = copies.select(*keys, F.expr("__pos + __m.shift").alias("__pos"), F.col("__m.kind").alias("__kind"), *names)
     rows = rows.unionByName(copies.withColumn("__tile", in_tile("__pos")), allowMissingColumns=True)
     kinds = {p: _widest(places.schema[p].dataType) for p in names}
@@ -315,9 +317,15 @@ def _framed_by(asked: DataFrame, places: DataFrame, keys, names, tile: int, dura
     within = Window.partitionBy(*keys, "__tile")
     upward = within.orderBy("__pos").rangeBetween(Window.unboundedPreceding, 0)
     downward = within.orderBy(F.desc("__pos")).rangeBetween(Window.unboundedPreceding, 0)
-    found = rows.select(
-        *keys, "__pos", "__kind", *carried,
-        *[F.sum(F.when(F.col("__kind") == 0, F.col(p))).over(upward).alias(f"__last{p}") for p in names],
+    lasts = [f"__last{p}" for p in names]
+    upwards = rows.select(
+        *keys, "__tile", "__pos", "__kind", *dict.fromkeys([*carried, *names]),
+        *[F.sum(F.when(F.col("__kind") == 0, F.col(p))).over(upward).alias(last) for p, last in zip(names, lasts, strict=True)],
+        F.max(F.col("__kind") == 0).over(upward).alias("__seen"),
+    )
+    # copies behind which no place of their tile stands are in no frame
+    found = upwards.where("__seen").select(
+        *keys, "__pos", "__kind", *carried, *lasts,
         *[F.sum(F.when(F.col("__kind") == i, F.col(p))).over(downward).alias(f"__first{d}{p}") for i, d in enumerate(durations, 1) for p in names],
     ).where("__kind = 0")
     total = lambda d, p: _sum_of([f"__first{d}{p}", f"__last{p}"]).alias(f"__t{d}{p}")

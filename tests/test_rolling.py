@@ -1,3 +1,4 @@
+import re
 from datetime import timedelta
 
 import pytest
@@ -256,3 +257,15 @@ def test_parts_of_frames_share_their_columns(spark):
         union = plan(hs.rolling(df, ["acc"], "ts", aggs, policy=TILED)).split("Union")[1].splitlines()
         widths.append(max(line.count(" AS ") + line.count(",") for line in union if "__kind" in line and "Project" in line))
     assert widths[0] == widths[1]
+
+
+def test_copies_behind_the_last_place_of_their_tile_are_not_sorted_again(spark):
+    """Frames longer than the gaps between rows move most copies to tiles without a row."""
+    data = [("a", at(days=20 * i), str(i), float(i)) for i in range(9)] + [("b", at(), None, None)]
+    df = table(spark, SCHEMA, data)
+    result = hs.rolling(df, ["acc"], "ts", AGGS, keep=["id"], policy=TILED)
+    text = plan(result)
+    above, *below = re.split(r"Filter [^\n]*__seen", text)
+    assert below and "Window" in above and "Window" in below[0]
+    assert "isnotnull(coalesce(cast(__n0" in text  # copies that add nothing are not made
+    assert rows(result) == roll(spark, data, PLAIN)
