@@ -5,13 +5,17 @@ where shingles of one document only, which add nothing to any product, drop out.
 left of a document is ordered from its rarest shingle on.  Sizes bound the rest: a document
 of n shingles that reaches the threshold with any other shares ceil(t * n) of them at least,
 so both have one among their first n - ceil(t * n) + 1 in common: only in the columns of these
-firsts do rows meet.  Pairs that cannot reach the bound, by their sizes, by how many shingles
-they share with anybody, and by a sketch of these, are discarded there; the others get their
-product from the two whole rows.
-
-Only components are asked for, so pairs within one are not needed.  Rows first meet one that
-leads a column of theirs, and are merged if linked, a few times over, and only what lies in
-different components after that meets pairwise.  So a group of near copies costs a few
+firsts do rows meet.  In the first column that two rows have in common, neither shares more
+than what it has from there on, so a row leaves the columns where that is too little for the
+smallest of the others.  Pairs that cannot reach the bound, by their sizes, by what they have
+left, and by a sketch of it, are discarded where they meet; the others get their product from
+the two whole rows.
+
+Only components are asked for, so pairs within one are not needed.  Rows first meet some that
+lead a column of theirs, and are merged if linked, a few times over, and only what lies in
+different components after that meets pairwise.  Leaders are the rows with the most common
+shingles: of near copies those with the fewest changes, which are linked with most others, while
+two of any are not where each has changes of its own.  So a group of near copies costs a few
 products for each copy, and nothing is left out: a pair is never compared only if its two
 documents are known to be connected, or the bounds say that they are not linked.
 
@@ -108,27 +112,46 @@ def _needed(n: Column) -> Column:
     return F.ceil(n * PERCENT / 100)
 
 
+def _needed_of_both(a: Column, b: Column) -> Column:
+    """The least that linked sets of a and of b share."""
+    return F.ceil((a + b) * PERCENT / (100 + PERCENT))
+
+
 def _enough(overlap: Column, a: Column, b: Column) -> Column:
     """100 * overlap >= PERCENT * union."""
     return overlap * (100 + PERCENT) >= (a + b) * PERCENT
 
 
 def rows_of_matrix(docs: DataFrame, bits: int, hot_owners: int = HOT_OWNERS) -> DataFrame:
-    """(set_id, n, shared): what can be linked, with its shared shingles, rarest first."""
+    """(set_id, n, shared, popular): what can be linked, with its shared shingles, rarest first.
+
+    `popular` is in how many sets a shingle of this one is, on average.
+    """
     entries = shared_entries(pack_entries(docs.select("text"), _entries, bits, hot_owners), bits)
     # repeated entries of one set from several slices are one
     grouped = entries.groupBy(F.col("owner").alias("set_id"), F.col("extra").alias("n")).agg(
         F.sort_array(F.collect_set(F.struct(F.col("owners").cast("int").alias("owners"), "key"))).alias("s")
     )
-    return settle(grouped.where(F.size("s") >= _needed(F.col("n"))).select("set_id", "n", F.col("s.key").alias("shared")))
+    popular = F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x["owners"]) / F.col("n")
+    return settle(
+        grouped.where(F.size("s") >= _needed(F.col("n"))).select(
+            "set_id", "n", F.col("s.key").alias("shared"), popular.cast("float").alias("popular")
+        )
+    )
 
 
 def _index(rows: DataFrame) -> DataFrame:
-    """(key, node, n): the first shared shingles of each row, where two rows have them."""
-    firsts = F.slice("shared", F.lit(1), (F.size("shared") - _needed(F.col("n")) + 1).cast("int"))
-    out = rows.select(F.col("set_id").alias("node"), "n", F.explode(firsts).alias("key"))
-    often = out.groupBy("key").count().where("count > 1").select("key")
-    return settle(out.join(often, "key", "left_semi"))
+    """(key, node, n, rest, popular, share): the first shared shingles of each row.
+
+    `rest` is how many it has from that one on, `share` the part of its shingles that are shared.
+    """
+    size = F.size("shared")
+    firsts = F.slice("shared", F.lit(1), (size - _needed(F.col("n")) + 1).cast("int"))
+    out = rows.select(
+        F.col("set_id").alias("node"), "n", size.alias("s"), "popular", (size / F.col("n")).cast("float").alias("share"),
+        F.posexplode(firsts).alias("place", "key"),
+    )
+    return out.select("key", "node", "n", (F.col("s") - F.col("place")).alias("rest"), "popular", "share")
 
 
 def _linked(pairs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -146,17 +169,28 @@ def _sizes_fit(a: str, b: str) -> Column:
 
 
 def _with_component(index: DataFrame, known: DataFrame | None) -> DataFrame:
-    """The index with each row's component, without columns that lie in one component."""
+    """The index with each row's component, without columns that lie in one component.
+
+    A row leaves the columns where it has too little left to be linked with the smallest there.
+    """
     if known is None:
-        return index.withColumn("c", F.col("node"))
-    out = index.join(known, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-    mixed = out.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    return settle(out.join(mixed, "key", "left_semi"))
+        out = index.withColumn("c", F.col("node"))
+    else:
+        out = index.join(known, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+    mixed = out.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("n").alias("least")).where("lo < hi")
+    smallest = F.greatest("least", _needed(F.col("n")))
+    kept = out.join(mixed.select("key", "least"), "key").where(F.col("rest") >= _needed_of_both(F.col("n"), smallest))
+    return settle(kept.drop("least"))
 
 
 def _met_leaders(index: DataFrame, turn: int) -> DataFrame:
-    """(a, b): each row and, in each of LEADERS orders, the first of all rows that lead its columns."""
-    orders = [F.xxhash64("node", F.lit(turn * LEADERS + i)) for i in range(LEADERS)]
+    """(a, b): each row and, in each of LEADERS orders, the first of all rows that lead its columns.
+
+    The orders are by common shingles, by the part that is shared, and by chance; in later turns
+    chance has some weight in all of them.
+    """
+    chance = [F.pmod(F.xxhash64("node", F.lit(turn * LEADERS + i)), F.lit(1 << 20)) / (1 << 20) for i in range(LEADERS)]
+    orders = [-F.col("popular") * (1 + 0.05 * turn * chance[0]), -F.col("share") - 0.02 * turn * chance[1], chance[2]]
     lead = index.groupBy("key").agg(*[F.min(F.struct(o.alias("o"), "node", "n", "c")).alias(f"l{i}") for i, o in enumerate(orders)])
     met = index.join(lead, "key")
     fits = [F.when((F.col("c") != F.col(f"l{i}.c")) & _sizes_fit("n", f"l{i}.n"), F.col(f"l{i}")) for i in range(LEADERS)]
@@ -181,7 +215,7 @@ def _met_pairs(index: DataFrame, rows: DataFrame) -> DataFrame:
 
     In each column the rows outside its largest component meet all others.  Pairs are dropped
     where they meet if they cannot reach the bound: by their sizes, by how many shared shingles
-    they have, and by a sketch, as a bit that only one of two rows has stands for a shingle, at
+    they have from there on, and by a sketch, as a bit that only one of two rows has stands for a shingle, at
     least, that the other has not.
     """
     bits = settle(rows.join(index.select(F.col("node").alias("set_id")).distinct(), "set_id", "left_semi").select(
@@ -191,7 +225,7 @@ def _met_pairs(index: DataFrame, rows: DataFrame) -> DataFrame:
     main = sizes.groupBy("key").agg(F.max(F.struct("k", "c")).alias("m")).select("key", F.col("m.c").alias("main"))
     full = index.join(bits, "node").join(main, "key")
     x, y = full.where("c <> main").alias("x"), full.alias("y")
-    needed = F.ceil((F.col("x.n") + F.col("y.n")) * PERCENT / (100 + PERCENT))
+    needed = _needed_of_both(F.col("x.n"), F.col("y.n"))
 
     def can_have(one: str, other: str) -> Column:
         lacks = [F.bit_count(F.col(f"{one}.w{i}").bitwiseAND(F.bitwise_not(f"{other}.w{i}"))) for i in range(SKETCH)]
@@ -202,7 +236,7 @@ def _met_pairs(index: DataFrame, rows: DataFrame) -> DataFrame:
         & (F.col("x.c") != F.col("y.c"))
         & ((F.col("y.c") == F.col("y.main")) | (F.col("x.c") < F.col("y.c")))
         & _sizes_fit("x.n", "y.n")
-        & (F.least("x.s", "y.s") >= needed)
+        & (F.least("x.rest", "y.rest") >= needed)
         & (can_have("x", "y") >= needed)
         & (can_have("y", "x") >= needed)
     )

@@ -16,8 +16,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from hindsight.llm import bpe, jaccard, neighbours, oracle, pseudonyms, queries, quality, suffix, toolcalls
-from hindsight.llm.shared import components
+from hindsight.llm import bpe, jaccard, neighbours, oracle, pseudonyms, queries, quality, repeats, suffix, toolcalls
+from hindsight.llm.shared import components, ship
 
 SF = "/root/testdata/sf0.001"
 LAST = 2**63 - 1
@@ -101,6 +101,37 @@ def test_a_large_group_of_near_copies_makes_few_pairs(spark, writers, monkeypatc
     assert len(met) == 1 and met[0].count() <= 4 * len(texts)
 
 
+def test_near_copies_that_are_linked_only_through_the_least_changed_make_few_pairs(spark, writers, monkeypatch):
+    """Two changed copies are rarely linked with each other, and some with none at all."""
+    rnd, (prose, changed) = random.Random(5), writers
+    base = prose(rnd, 150)
+    texts = [changed(rnd, base, 0.025) for _ in range(300)] + [prose(rnd, 60) for _ in range(60)]
+    met, columns = [], []
+    pairs, index = jaccard._met_pairs, jaccard._with_component
+    monkeypatch.setattr(jaccard, "_met_pairs", lambda *a: met.append(pairs(*a)) or met[-1])
+    monkeypatch.setattr(jaccard, "_with_component", lambda *a: columns.append(index(*a)) or columns[-1])
+    rows_ = list(enumerate(texts))
+    found = jaccard.similar_documents(spark.createDataFrame(rows_, "doc_id long, text string")).collect()
+    want = sorted((r[0], *w) for r, w in zip(rows_, linked_by(rows_), strict=True))
+    assert sorted(map(tuple, found)) == want
+    groups = Counter(c for _, _, c in want)
+    assert max(groups.values()) > 150 and sum(groups[i] == 1 for i in range(300)) > 20  # one group, and copies outside of it
+    assert len(met) == 1 and met[0].count() <= len(texts)
+    assert columns[-1].count() <= 10 * len(texts)
+
+
+def test_packed_rows_are_as_many_as_the_entries_call_for(spark, writers):
+    rnd, (prose, _) = random.Random(6), writers
+    ship(spark)
+    docs = spark.createDataFrame([(prose(rnd, 1000),) for _ in range(250)], "text string").coalesce(1)
+    entries = 250 * (1000 - 4)
+    packed = repeats.pack_entries(docs, jaccard._entries, 9)
+    assert packed.count() <= (1 << 9) + entries / repeats.ROW_ENTRIES
+    again = docs.unionAll(docs).withColumn("text", F.concat("text", F.lit(" "))).coalesce(1)
+    found = repeats.shared_entries(repeats.pack_entries(again, jaccard._entries, 9), 9).agg(F.count("*"), F.min("extra"), F.max("extra")).first()
+    assert tuple(found)[0] == 0  # a set and its copy are one owner
+
+
 def repeats_of(rows):
     """(bytes, kept bytes, spans) of each row, by a table of all strings."""
     first = {}
