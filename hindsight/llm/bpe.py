@@ -7,8 +7,8 @@ ids that hold a part of it (`character_spans`).
 
 Texts are cut where no match of the splitting patterns ever reaches across: before single
 spaces and around single line breaks between other characters, and where signs follow a
-letter at a chunk's end.  The chunks, mostly words, repeat, so their ids are kept while a
-worker lives, up to a bound after which it starts anew.  The result is that of whole texts;
+letter at a chunk's end.  The chunks, mostly words, repeat, so their ids are kept until a
+task ends, up to a bound after which it starts anew.  The result is that of whole texts;
 texts with longer runs of white space are cut more carefully.
 
 Cases: a null text is an empty one, which has no ids; every row gives one row; no rows give
@@ -18,8 +18,10 @@ no rows.  Strings of special tokens in a text are ordinary text.
 from __future__ import annotations
 
 import base64
+import gc
 import re
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from functools import lru_cache
 from hashlib import sha256
 from pathlib import Path
@@ -31,13 +33,13 @@ from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
 from hindsight.llm.arrays import slices
 
-KEPT_CHUNKS = 200_000
+#: So many chunks a worker keeps, at about 200 bytes each, and those of one text.
+KEPT_CHUNKS = 800_000
 LONGEST_KEPT = 48
 SIGNS = ".,;:!?"
-WORD = re.compile(r" ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+")
+#: One match of the splitting patterns, and signs after it, which are another.
+WORD = re.compile(rf"( ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([{SIGNS}]*)")
 SAFE = re.compile(r"(?<=\S)(?= \S)")
-#: So many characters of new chunks are encoded in one call.
-JOINED = 1 << 16
 
 
 @lru_cache(maxsize=1)
@@ -104,76 +106,75 @@ def character_spans(ids: np.ndarray, table: Sequence[bytes]) -> tuple[np.ndarray
     return number[begin] - 1, number[end - 1]
 
 
+@contextmanager
+def _uncollected() -> Iterator[None]:
+    """No search for cycles: millions of strings in lists have none, and are looked through again and again."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
+class Kept(dict):
+    """Ids of chunks, made when first asked for; None for those that need what stands beside them."""
+
+    def __init__(self, code: Encoder):
+        self.code = code
+
+    def __missing__(self, chunk: str) -> bytes | None:
+        if word := WORD.fullmatch(chunk):
+            core, tail = word.groups()
+            ids = self[core] + self[tail] if tail else self.code.word(core)
+        elif chunk != "\n" and (not chunk or chunk[-1].isspace() or chunk[1:2].isspace() or chunk[0].isspace() and chunk[0] != " "):
+            ids = None
+        else:
+            core = chunk.rstrip(SIGNS)
+            apart = core != chunk and core[-1:].isalpha()
+            ids = self[core] + self[chunk[len(core) :]] if apart else self.code.whole(chunk)
+        if len(chunk) <= LONGEST_KEPT:
+            self[chunk] = ids
+        return ids
+
+
 class Encoder:
     """Ids of texts as little-endian 32-bit bytes."""
 
     def __init__(self, tokenizer: Tokenizer):
-        self.tokenizer, self.model, self.kept = tokenizer, tokenizer.model, {}
+        self.tokenizer, self.model = tokenizer, tokenizer.model
         self.letters = {b: c for b, c in enumerate(byte_characters())}
+        self.raw = [n.to_bytes(4, "little") for n in range(max(tokenizer.get_vocab().values(), default=-1) + 1)]
+        self.forget()
 
-    def _encode(self, text: str) -> bytes:
+    def forget(self) -> None:
+        self.kept = Kept(self)
+
+    def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, chunks: set[str]) -> dict[str, bytes | None]:
-        """Ids of chunks; None for those that need what stands beside them."""
-        found: dict[str, bytes | None] = {"\n": self._encode("\n")}
-        cores, parts = set(), {}
-        for c in chunks:
-            if c == "\n":
-                continue
-            if not c or c[-1].isspace() or c[1:2].isspace() or c[0].isspace() and c[0] != " ":
-                found[c] = None
-                continue
-            core = c.rstrip(SIGNS)
-            if core != c and core[-1:].isalpha():
-                parts[c] = core, c[len(core) :]
-                cores.update(x for x in parts[c] if x not in self.kept)
-            else:
-                cores.add(c)
-        joined, size = [], 0
-        for c in cores:
-            if WORD.fullmatch(c):  # one match of the splitting patterns
-                name = c.encode().decode("latin-1").translate(self.letters)
-                found[c] = np.array([t.id for t in self.model.tokenize(name)], dtype="<u4").tobytes()
-                continue
-            if c[0] != " " or len(c) < 2:
-                found[c] = self._encode(c)
-                continue
-            joined.append(c)
-            size += len(c)
-            if size > JOINED:
-                self._encode_joined(joined, found)
-                joined, size = [], 0
-        self._encode_joined(joined, found)
-        known = lambda x: found[x] if x in found else self.kept[x]
-        found.update({c: known(core) + known(tail) for c, (core, tail) in parts.items()})
-        return found
-
-    def _encode_joined(self, chunks: list[str], found: dict) -> None:
-        if not chunks:
-            return
-        coded = self.tokenizer.encode("".join(chunks), add_special_tokens=False)
-        at = np.cumsum([0, *map(len, chunks)])
-        cut = (4 * np.searchsorted([a for a, _ in coded.offsets], at)).tolist()
-        raw = np.array(coded.ids, dtype="<u4").tobytes()
-        found.update({c: raw[cut[i] : cut[i + 1]] for i, c in enumerate(chunks)})
+    def word(self, word: str) -> bytes:
+        """A word is one match of the splitting patterns, so the merges alone make its ids."""
+        if word.isascii():
+            name = self.letters[0x20] + word[1:] if word[0] == " " else word
+        else:
+            name = word.encode().decode("latin-1").translate(self.letters)
+        raw = self.raw
+        return b"".join([raw[t.id] for t in self.model.tokenize(name)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [[""] if "\0" in t else t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") for t in texts]
-        new = set().union(*cut).difference(self.kept)
-        found = self._learn(new)
-        if len(self.kept) + len(found) > KEPT_CHUNKS:
-            self.kept = {}
-            found = self._learn(set().union(*cut))
-        get = self.kept.get
-        out = []
-        for text, chunks in zip(texts, cut, strict=True):
-            try:
-                out.append(b"".join([found[c] if (x := get(c)) is None else x for c in chunks]))
-            except (TypeError, KeyError):  # runs of white space
-                out.append(b"".join([get(c) or found.get(c) or self._encode(c) for c in SAFE.split(text)]))
-        self.kept.update({c: x for c, x in found.items() if x is not None and len(c) <= LONGEST_KEPT})
-        return out
+        with _uncollected():
+            return [self._encode(t) for t in texts]
+
+    def _encode(self, text: str) -> bytes:
+        if len(self.kept) > KEPT_CHUNKS:
+            self.forget()
+        chunks = [""] if "\0" in text else text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+        try:
+            return b"".join(map(self.kept.__getitem__, chunks))
+        except TypeError:  # runs of white space
+            return b"".join([self.kept.get(c) or self.whole(c) for c in SAFE.split(text)])
 
 
 @lru_cache(maxsize=4)
@@ -202,6 +203,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str | None = None) -> Data
                     [part.column("doc_id"), *[pa.array(c, pa.list_(pa.int32())) for c in columns]],
                     ["doc_id", "ids", "char_begin", "char_end"],
                 )
+        code.forget()
 
     return docs.select("doc_id", "text").mapInArrow(
         run, "doc_id long, ids array<int>, char_begin array<int>, char_end array<int>"
@@ -238,6 +240,7 @@ def round_trips(docs: DataFrame, path: str, pattern: str | None = None) -> DataF
                     ],
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
+        code.forget()
 
     return docs.select("doc_id", "text").mapInArrow(
         run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"

@@ -62,6 +62,7 @@ def pieces(docs: DataFrame, path: str, pattern: str | None, capacity: int, end_i
                     [part.column("doc_id").take(pa.array(owner)), *[pa.array(c, pa.int64()) for c in rest]],
                     ["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
+        code.forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         run, "doc_id long, piece long, start long, length long, ids_crc32 long"

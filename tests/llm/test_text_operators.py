@@ -1,9 +1,11 @@
 """Quality rules, languages, LM scoring, pseudonyms, tokens and packing against plain Python."""
 
+import gc
 import hashlib
 import math
 import re
 from collections import Counter
+from types import SimpleNamespace
 from zlib import crc32
 
 import numpy as np
@@ -324,6 +326,19 @@ def test_a_full_cache_starts_anew(tokenizers, monkeypatch):
         assert len(code.kept) <= 80
 
 
+def test_no_word_is_encoded_twice_in_a_call(tokenizers, monkeypatch):
+    monkeypatch.setattr(bpe, "KEPT_CHUNKS", 40)
+    code, made = bpe.Encoder(tokenizers[3].tokenizer), Counter()
+    model = code.model
+    code.model = SimpleNamespace(tokenize=lambda name: made.update([name]) or model.tokenize(name))
+    texts = [" ".join(f"{'abcdefgh'[(i + j) % 8]}{'stuvwxyz'[j % 8]}ing{'.,'[j % 2]}" for j in range(30)) for i in range(30)]
+    for t in texts:
+        made.clear()
+        assert np.frombuffer(code.encode([t])[0], "<u4").tolist() == code.tokenizer.encode(t, add_special_tokens=False).ids
+        assert max(made.values(), default=0) <= 1
+    assert gc.isenabled()
+
+
 def test_round_trips(docs, no_docs, rows, tokenizers):
     want = []
     for r in rows:
