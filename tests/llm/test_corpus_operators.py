@@ -132,6 +132,16 @@ def test_packed_rows_are_as_many_as_the_entries_call_for(spark, writers):
     assert tuple(found)[0] == 0  # a set and its copy are one owner
 
 
+def test_buckets_of_anchors_are_even(spark, writers):
+    rnd, (prose, _) = random.Random(8), writers
+    ship(spark)
+    docs = spark.createDataFrame([(i, prose(rnd, 1000)) for i in range(60)], "row long, text string")
+    packed = repeats.pack_entries(docs, suffix._entries, 6)
+    sizes = [r["entries"] for r in packed.groupBy("bucket").agg((F.sum(F.octet_length("low")) / 4).alias("entries")).collect()]
+    assert len(sizes) == 1 << 6
+    assert max(sizes) <= 1.5 * sum(sizes) / len(sizes)  # least hashes as keys had the first bucket get 17 times the mean
+
+
 def repeats_of(rows):
     """(bytes, kept bytes, spans) of each row, by a table of all strings."""
     first = {}
