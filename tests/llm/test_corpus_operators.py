@@ -1,6 +1,7 @@
 """Duplicates, neighbours, tool calls and the pipeline against plain Python."""
 
 import hashlib
+import itertools
 import json
 import random
 import re
@@ -168,6 +169,22 @@ def test_repeated_strings(docs, rows, how):
     assert sorted(map(text_key, found)) == sorted(map(str, want))
 
 
+def test_no_stage_of_repeated_strings_has_two_python_nodes(docs):
+    plan = suffix.repeated_strings(docs, hot_owners=3, group_documents=8, group_runs=50)._jdf.queryExecution().executedPlan().toString()
+    above, found = [], 0
+    for line in plan.splitlines():
+        name = line.lstrip(" :+-")
+        depth = len(line) - len(name)
+        while above and above[-1][0] >= depth:
+            above.pop()
+        above.append((depth, name))
+        if "InArrow" in name:
+            found += 1
+            stage = itertools.takewhile(lambda n: "Exchange" not in n, [n for _, n in reversed(above[:-1])])
+            assert not any("InArrow" in n for n in stage)
+    assert found >= 4
+
+
 def test_without_repeats(docs, no_docs, rows):
     found = suffix.without_repeats(docs)
     assert found.columns == docs.columns
