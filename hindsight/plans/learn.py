@@ -95,9 +95,13 @@ def score(
     """Rows with the predicted class, and if named the class probabilities (ML3, ML4).
 
     Inputs are taken by name with missing values as 0.  Keys stay unless dropped.
+
+    The rows are scored by a copy, which has the same trees but no summary of the fit.  The
+    summary holds the session and goes to the tasks with the model, and a session in which
+    something was observed (`DataFrame.observe`, as in `rolling`) cannot be serialised.
     """
     features = model.stages[0].getInputCols()
-    predicted = model.transform(fill_missing(df, features))
+    predicted = model.copy().transform(fill_missing(df, features))
     extra = [vector_to_array("_probability").alias(probability)] if probability else []
     kept = [c for c in df.columns if c not in drop]
     return predicted.select(*kept, F.col("_prediction").cast("int").alias(output), *extra)

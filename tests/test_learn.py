@@ -2,6 +2,7 @@ import re
 
 import pytest
 from helpers import at, plan, rows, table
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 import hindsight as hs
@@ -170,3 +171,16 @@ def test_a_fit_reads_its_rows_from_one_file(spark, tmp_path):
     trained = hs.train(data, "y", ["x"], "k", folder=str(tmp_path / "rows"))
     assert trained.metrics.first().accuracy == 1.0
     assert seen.value == 300
+
+
+def test_a_fitted_model_scores_in_a_session_that_observed(spark):
+    """What a session has observed cannot be sent to tasks, and the summary of a fit holds its session."""
+    seen = Observation()
+    assert spark.range(5).observe(seen, F.count("*").alias("n")).count() == 5 and seen.get == {"n": 5}
+    data = spark.range(300).selectExpr("id AS k", "id % 10 AS x", "id % 10 > 4 AS y")
+    trained = hs.train(data, "y", ["x"], "k")
+    assert trained.metrics.first().accuracy == 1.0
+    scored = hs.score(trained.model, data, probability="p")
+    assert rows(scored.select("k", "predict_is_fraud")) == sorted([(i, int(i % 10 > 4)) for i in range(300)], key=repr)
+    assert scored.where("size(p) = 2 AND p[predict_is_fraud] = array_max(p)").count() == 300
+    assert trained.model.stages[-1].hasSummary, "the fitted model stays as it is"
