@@ -1,4 +1,5 @@
 import re
+from datetime import timedelta
 
 import pytest
 from helpers import at, plan, rows, table
@@ -184,3 +185,16 @@ def test_a_fitted_model_scores_in_a_session_that_observed(spark):
     assert rows(scored.select("k", "predict_is_fraud")) == sorted([(i, int(i % 10 > 4)) for i in range(300)], key=repr)
     assert scored.where("size(p) = 2 AND p[predict_is_fraud] = array_max(p)").count() == 300
     assert trained.model.stages[-1].hasSummary, "the fitted model stays as it is"
+
+
+def test_models_on_rolling_features_score_as_fitted_and_as_loaded(spark, tmp_path):
+    """Features, fit, save, load and scores in one session, as in `rf_score`."""
+    events = spark.range(400).selectExpr("id AS k", "id % 20 AS account", "timestamp_seconds(1704844800 + 3600 * id) AS at", "double(id % 10) AS x")
+    features = hs.rolling(events, ["account"], "at", [hs.Rolling("most", "sum", "x", timedelta(hours=30))], keep=["k", "x"])
+    data = features.withColumn("y", F.col("x") > 4)
+    trained = hs.train(data, "y", ["x", "most"], "k")
+    hs.save_model(trained.model, hs.RetrievalSpec((hs.FeatureRef("most", "s", "1"),)), spark, str(tmp_path / "m"))
+    loaded, _ = hs.load_model(spark, str(tmp_path / "m"))
+    by_fitted, by_loaded = [rows(hs.score(m, data, probability="p").select("k", "predict_is_fraud", "p")) for m in (trained.model, loaded)]
+    assert by_fitted == by_loaded and len(by_fitted) == 400
+    assert [r[:2] for r in by_fitted] == sorted([(i, int(i % 10 > 4)) for i in range(400)], key=repr)
